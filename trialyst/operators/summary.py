@@ -17,7 +17,6 @@ from trialyst.operators.scan import first_by, order_statistic
 STRATEGIES = ["R", "S", "L", "H"]
 PHASES = ["propose", "execute", "review"]
 MAX_CLAIMS = 15
-ONE = F.lit(1)
 
 
 def rows() -> Column:
@@ -52,7 +51,7 @@ def condition_summary(trials: DataFrame) -> DataFrame:
         F.count_if("passed").alias("n_passed"),
         rate("passed").alias("pass_rate"),
         F.avg("total_tokens").alias("mean_tokens"),
-        F.avg(F.coalesce("iterations", ONE)).alias("mean_iterations"),
+        F.avg(F.coalesce("iterations", F.lit(1))).alias("mean_iterations"),
         F.count_if(~F.coalesce("passed", F.lit(False))).alias("n_failed"),
     )
 
@@ -200,7 +199,7 @@ def cell_summary(cells: DataFrame) -> DataFrame:
         rows().alias("total"),
         rate("passed").alias("pass_rate"),
         F.avg("tokens_used").alias("mean_tokens"),
-        F.avg(F.coalesce("num_turns", ONE)).alias("mean_turns"),
+        F.avg(F.coalesce("num_turns", F.lit(1))).alias("mean_turns"),
     )
     median = order_statistic(
         cells, by, "tokens_used", F.floor(F.col("__n") / 2).cast("bigint"), "median_tokens"
@@ -269,7 +268,7 @@ def failures(cells: DataFrame, strategy: str) -> DataFrame:
 
 def run_rates(pairs: DataFrame) -> DataFrame:
     """Per run (default run 1): both rates and token means."""
-    return pairs.groupBy(F.coalesce("run", ONE).alias("run")).agg(
+    return pairs.groupBy(F.coalesce("run", F.lit(1)).alias("run")).agg(
         rows().alias("n"),
         rate("ss_meets").alias("ss_rate"),
         rate("rv_meets").alias("rv_rate"),
@@ -305,7 +304,7 @@ def reduction(pairs: DataFrame) -> DataFrame:
     """Reduction from totals: 100 * (1 - sum rv / max(sum ss, 1))."""
     a, b = F.col("ss_n_defects"), F.col("rv_n_defects")
     both = pairs.filter(a.isNotNull() & b.isNotNull())
-    total = F.greatest(F.sum(a), ONE).cast("double")
+    total = F.greatest(F.sum(a), F.lit(1)).cast("double")
     return both.groupBy("modality").agg(
         rows().alias("n"),
         ((1 - F.sum(b).cast("double") / total) * 100).alias("reduction_pct"),

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from trialyst.plans import ranks, summaries  # noqa: F401
+from trialyst.plans import pairing, ranks, summaries, texts  # noqa: F401
