@@ -24,8 +24,9 @@ def running(
     """Add running values up to and including each row.
 
     ``measures`` maps an output name to (kind, expression); kind is ``sum``,
-    ``max``, ``count`` or ``last`` (latest non-null). ``chunk`` must not
-    decrease along ``order`` inside a group. Order columns must be total.
+    ``max``, ``count``, ``last`` (latest non-null) or ``prev`` (the value of
+    the row before). ``chunk`` must not decrease along ``order`` inside a
+    group. Order columns must be total.
     """
     base = df.withColumn(_RESERVED, chunk)
     for name, (kind, expr) in measures.items():
@@ -48,6 +49,10 @@ def running(
         elif kind == "last":
             totals.append(F.max_by(m, F.when(m.isNotNull(), position)).alias(f"__t_{name}"))
             local = local.withColumn(f"__l_{name}", F.last(m, ignorenulls=True).over(inner))
+        elif kind == "prev":
+            step = Window.partitionBy(*keys, _RESERVED).orderBy(*order)
+            totals.append(F.max_by(F.struct(m.alias("v")), position).alias(f"__t_{name}"))
+            local = local.withColumn(f"__l_{name}", F.lag(F.struct(m.alias("v"))).over(step))
         else:
             raise ValueError(f"unknown running measure {kind!r}")
     chunk_totals = base.groupBy(*keys, _RESERVED).agg(*totals)
@@ -62,6 +67,7 @@ def running(
             "count": F.sum(t),
             "max": F.max(t),
             "last": F.last(t, ignorenulls=True),
+            "prev": F.last(t),
         }[kind]
         offsets = offsets.withColumn(f"__o_{name}", fold.over(before))
     offsets = offsets.select(
@@ -80,6 +86,8 @@ def running(
             value = F.coalesce(here, F.lit(0)) + F.coalesce(prior, F.lit(0))
         elif kind == "max":
             value = F.greatest(here, prior)
+        elif kind == "prev":
+            value = F.coalesce(here, prior)["v"]
         else:
             value = F.coalesce(here, prior)
         out.append(value.alias(name))
