@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from trialyst.plans import layouts, pairing, ranks, summaries, texts  # noqa: F401
+from trialyst.plans import corpora, layouts, pairing, ranks, summaries, texts  # noqa: F401
