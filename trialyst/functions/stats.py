@@ -79,15 +79,18 @@ def binom_test(k, n, p: float = 0.5) -> Column:
         )
     )
 
-    def counted(log_mass: Column) -> Column:
+    def add(acc: Column, log_mass: Column) -> Column:
         mass = F.exp(log_mass)
-        return F.when(mass <= observed + 1e-12, mass).otherwise(F.lit(0.0))
+        return acc["s"] + F.when(mass <= acc["limit"], mass).otherwise(F.lit(0.0))
 
+    # the limit travels in the accumulator, so that it is computed once
     total = F.aggregate(
-        F.sequence(one, F.greatest(n, one)),
-        F.struct(start.alias("lm"), counted(start).alias("s")),
+        F.sequence(F.lit(0).cast("bigint"), n),
+        F.struct(start.alias("lm"), F.lit(0.0).alias("s"), (observed + 1e-12).alias("limit")),
         lambda acc, i: F.struct(
-            step(acc["lm"], i).alias("lm"), (acc["s"] + counted(step(acc["lm"], i))).alias("s")
+            (acc["lm"] + F.ln((n - i).cast("double") / (i + 1).cast("double")) + F.lit(log_odds)).alias("lm"),
+            add(acc, acc["lm"]).alias("s"),
+            acc["limit"].alias("limit"),
         ),
         lambda acc: acc["s"],
     )

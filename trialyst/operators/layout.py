@@ -84,10 +84,14 @@ def text_overlaps(boxes: DataFrame) -> DataFrame:
     for i, side in enumerate(GRID_SIDES[1:-1], 1):
         level = level.when(extent <= side, i)
     t = t.withColumn("lv", level.otherwise(len(GRID_SIDES) - 1))
-    levels = F.sequence(F.col("lv"), F.lit(len(GRID_SIDES) - 1))
     cols = ["elem_id", "dom_path", "text", "x", "y", "r", "b", "lv"]
-    probe = t.withColumn("c", F.explode(F.flatten(F.transform(levels, _cells)))).select(
-        *PAGE, "c.level", "c.gx", "c.gy", *[F.col(c).alias(f"p_{c}") for c in cols]
+    # at most one row per grid, so this side of the join is always tiny
+    used = F.broadcast(t.select(F.col("lv").alias("level")).distinct())
+    probe = (
+        t.withColumn("level", F.explode(F.sequence(F.col("lv"), F.lit(len(GRID_SIDES) - 1))))
+        .join(used, "level")
+        .withColumn("c", F.explode(_cells(F.col("level"))))
+        .select(*PAGE, "c.level", "c.gx", "c.gy", *[F.col(c).alias(f"p_{c}") for c in cols])
     )
     home = t.withColumn("c", F.explode(_cells(F.col("lv")))).select(
         *PAGE, "c.level", "c.gx", "c.gy", *[F.col(c).alias(f"h_{c}") for c in cols]

@@ -10,6 +10,7 @@ from trialyst.operators.reports import defect_text
 from trialyst.plans import fixtures as fx
 from trialyst.plans.registry import query
 from trialyst.plans.summaries import sign_sql
+from trialyst.session import scratch_path
 
 # Up to 28 elements per page and frame, from four orders each.
 BOXES = """raw AS (SELECT l_orderkey // 4 // 2 AS page_id, '1920x1080' AS viewport, l_orderkey // 4 % 2 * 500 AS frame_ms,
@@ -56,6 +57,13 @@ def boxes(spark, sf):
     )
 
 
+def stored(df):
+    """A table several branches read is derived once and kept in the shared folder."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def docs(b):
     return b.groupBy(*L.PAGE).agg(F.max("r").alias("scroll_w"), F.max("b").alias("scroll_h")).select(
         *L.PAGE, F.lit(1920.0).alias("W"), F.lit(1080.0).alias("H"), "scroll_w", "scroll_h", (F.col("page_id") % 2 == 1).alias("web")
@@ -134,8 +142,8 @@ RECURSIVE = f"WITH RECURSIVE {BOXES}, {CARDS}, {CLUSTERS}"
     f"{RECURSIVE} SELECT *, CAST(unequal_size AS BIGINT) + CAST(ragged_edges AS BIGINT) + CAST(uneven_gaps AS BIGINT) AS n_faults FROM mis",
 )
 def _(spark, sf):
-    b = boxes(spark, sf)
-    return L.misalignment(L.cards(b, docs(b)))
+    b = stored(boxes(spark, sf))
+    return L.misalignment(stored(L.cards(b, docs(b))))
 
 
 COUNTS = f"""{RECURSIVE}, {OVERLAPS}, {CLIPPED}, {OVERFLOW},
@@ -151,7 +159,7 @@ COUNTS = f"""{RECURSIVE}, {OVERLAPS}, {CLIPPED}, {OVERFLOW},
     f"{COUNTS} SELECT *, overlap + clipped + overflow + scrollbar AS n_defects, overlap + clipped + overflow + scrollbar = 0 AS clean FROM cnt",
 )
 def _(spark, sf):
-    b = boxes(spark, sf)
+    b = stored(boxes(spark, sf))
     return L.defect_breakdown(L.defect_total(L.defect_counts(b, docs(b))))
 
 
@@ -164,7 +172,7 @@ _ALL = "overlap + clipped + overflow + scrollbar + misalignment"
     SELECT page_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_defects, count(*) FILTER (WHERE n > 0) AS frames_with_defects, count(*) AS n_frames, coalesce(sum(n), 0) = 0 AS clean FROM t GROUP BY 1""",
 )
 def _(spark, sf):
-    b = boxes(spark, sf)
+    b = stored(boxes(spark, sf))
     d = docs(b).withColumn("error", F.when((F.col("page_id") + F.col("frame_ms")) % 9 == 0, "probe failed"))
     return L.animation_total(L.defect_counts(b, d))
 
@@ -176,7 +184,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     width = F.when(F.col("frame_ms") == 0, "1920x1080").otherwise("375x812")
-    b = boxes(spark, sf).withColumn("viewport", width)
+    b = stored(boxes(spark, sf).withColumn("viewport", width))
     d = docs(b).withColumn("error", F.when(F.col("page_id") % 7 == 0, "probe failed"))
     return L.web_total(L.defect_counts(b, d))
 
