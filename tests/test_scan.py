@@ -17,7 +17,7 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k string, t bigint, v bigint").cache()
 
 
-@pytest.mark.parametrize("size", [1, 64, 10_000])
+@pytest.mark.parametrize("size", [None, 1, 64, 10_000])
 def test_running_equals_window(skewed, size):
     w = Window.partitionBy("k").orderBy("t")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -28,7 +28,7 @@ def test_running_equals_window(skewed, size):
     v = F.col("v")
     got = running(
         skewed, ["k"], ["t"], {"s": ("sum", v), "m": ("max", v), "c": ("count", v), "l": ("last", v), "p": ("prev", v)},
-        F.floor(F.col("t") / size),
+        None if size is None else F.floor(F.col("t") / size),
     ).select(*want.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
@@ -64,3 +64,18 @@ def test_results_do_not_depend_on_partitioning(skewed):
     a = order_statistic(skewed.repartition(1), ["k"], "v", ix, "m").collect()
     b = order_statistic(skewed.repartition(33), ["k"], "v", ix, "m").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_long_runs_may_be_chunked(spark):
+    from trialyst.operators import rank as R
+
+    n = 400
+    turns = spark.range(n).select(F.lit(1).alias("g"), (F.col("id") % 2).alias("run_id"), "id", F.concat(F.lit("v"), (F.col("id") % 5 % 2).cast("string")).alias("artifact"))
+    args = (turns.withColumnRenamed("id", "iteration"), ["g"])
+    assert R.identical_retry(*args).collect() == R.identical_retry(*args, chunk=F.floor(F.col("iteration") / 16)).collect()
+    best = turns.select(
+        F.col("run_id").alias("task_id"), F.col("id").alias("iter"), F.lit(False).alias("all_pass"), (F.col("id") * 7 % 31).alias("n_pass"),
+        F.lit(0).alias("n_fail"), F.lit(0).alias("n_error"), F.lit(0).alias("k"), F.col("id").cast("string").alias("code"),
+    )
+    whole = sorted(R.carry_best(best).collect())
+    assert whole == sorted(R.carry_best(best, F.floor(F.col("iter") / 16)).collect())

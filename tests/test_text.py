@@ -147,6 +147,21 @@ def test_open_tool_calls(spark):
     assert [(r["id"], r["name"], json.loads(r["arguments"]), r["closed"]) for r in got] == [(1, "bash", {"command": "</tool_call>"}, True)]
 
 
+def test_broken_open_calls_are_salvaged(spark):
+    text = (
+        '<tool_call>{"name": "write_file", "arguments": {"path": "a.py", "content": "print("x")\\n"}}</tool_call>'
+        '<tool_call>{"name": "bash", "arguments": {"command": "ls \\"a\\"" oops}}</tool_call>'
+        '<tool_call>not json</tool_call><tool_call>{"name": "read_file", "arguments": {"path": "p.png"'
+    )
+    df = spark.createDataFrame([(1, text)], "id int, t string")
+    got = [(r["name"], json.loads(r["arguments"]), r["closed"]) for r in X.open_tool_calls(df, "t").orderBy("pos").collect()]
+    assert got == [
+        ("write_file", {"path": "a.py", "content": 'print("x")\n'}, True),
+        ("bash", {"command": 'ls "a"'}, True),
+        ("read_file", {"path": "p.png"}, False),
+    ]
+
+
 def test_syntax_report(spark):
     df = spark.createDataFrame([(1, "def a(): pass"), (2, "def ("), (3, "def a(): pass")], "id int, c string")
     got = {r["id"]: r for r in R.syntax_report(df, "id", "c").collect()}

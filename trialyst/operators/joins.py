@@ -97,7 +97,7 @@ def case_index(results: DataFrame, images: DataFrame, traces: DataFrame, tasks:
 
 def candidates(tasks: DataFrame, traces: DataFrame, strata: list[str]) -> DataFrame:
     """Tasks whose existing trace falls in one of the strata."""
-    wanted = traces.filter(F.col("stratum").isin(*strata)).select("task_id")
+    wanted = traces.filter(F.col("stratum").isin(*strata)).select("task_id").distinct()
     return tasks.join(wanted, "task_id", "left_semi")
 
 
@@ -108,8 +108,9 @@ def drop_known(new: DataFrame, existing: DataFrame, order: list[str], signature:
     # a digest keeps the shuffled key short; 128 bits leave no real collisions
     fresh = new.withColumn("__sig", F.md5(sig))
     known = existing.select(F.md5(sig).alias("__sig")).distinct()
-    unseen = fresh.join(known, "__sig", "left_anti")
-    return first_by(unseen, ["__sig"], [F.col(c) for c in order]).drop("__sig")
+    # copies collapse before the join, so one text copied very often costs little
+    one = first_by(fresh, ["__sig"], [F.col(c) for c in order])
+    return one.join(known, "__sig", "left_anti").drop("__sig")
 
 
 def resolve_tasks(sources: DataFrame) -> DataFrame:
@@ -179,10 +180,11 @@ def common_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def missing_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    return a.select(key).distinct().join(b.select(key), key, "left_anti")
+    return a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti")
 
 
 def pending(work: DataFrame, done: DataFrame, keys: list[str], usable: Column | None = None) -> DataFrame:
-    """Work items without a usable result yet."""
+    """Work items without a usable result yet. Results reduce to their keys
+    before the shuffle, and the join reuses that shuffle."""
     finished = done if usable is None else done.filter(usable)
-    return work.join(finished.select(*keys), keys, "left_anti")
+    return work.join(finished.select(*keys).distinct(), keys, "left_anti")

@@ -214,10 +214,9 @@ def clusters(card: DataFrame) -> DataFrame:
             )
         ).alias("s"),
     ).select(*PAGE, "elem_id", "s.*")
-    edges = both.select(*PAGE, "axis", "edge").distinct()
-    starts = edges.groupBy(*PAGE, "axis").agg(
+    starts = both.groupBy(*PAGE, "axis").agg(
         F.aggregate(
-            F.array_sort(F.collect_list("edge")),
+            F.array_sort(F.collect_set("edge")),
             F.array().cast("array<double>"),
             lambda acc, v: F.when(
                 (F.size(acc) == 0) | (v - F.get(acc, F.size(acc) - 1) > CLUSTER_TOLERANCE), F.array_append(acc, v)

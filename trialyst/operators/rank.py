@@ -71,12 +71,11 @@ def rank_candidates(df: DataFrame) -> DataFrame:
     return df.groupBy("task_id", "iter").agg(best.alias("b")).select("task_id", "iter", "b.*")
 
 
-def carry_best(best: DataFrame) -> DataFrame:
+def carry_best(best: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Best so far after each iteration; a later one must be strictly better.
-    The window holds one row per iteration of a task."""
-    w = Window.partitionBy("task_id").orderBy("iter").rowsBetween(Window.unboundedPreceding, 0)
+    Tasks with an iteration limit need no chunk."""
     key = F.struct(*_candidate_key(), (-F.col("iter")).alias("i"), F.col("code").alias("code"))
-    return best.withColumn("b", F.max(key).over(w)).select(
+    return running(best, ["task_id"], ["iter"], {"b": ("max", key)}, chunk).select(
         "task_id", "iter", (-F.col("b.i")).alias("best_iter"), F.col("b.code").alias("best_code"),
         F.col("b.a").alias("best_all_pass"), F.col("b.p").alias("best_n_pass"),
     )
@@ -156,17 +155,16 @@ def budget_ledger(calls: DataFrame, budgets: DataFrame, chunk: Column, order: li
     )
 
 
-def stop_reason(iters: DataFrame, budgets: DataFrame, max_iterations: int, high_confidence: float = 0.9) -> DataFrame:
+def stop_reason(
+    iters: DataFrame, budgets: DataFrame, max_iterations: int, high_confidence: float = 0.9, chunk: Column | None = None
+) -> DataFrame:
     """Why each run stopped. Within an iteration the checks come in this order:
     budget before it starts, after propose, tests passed, budget after execute,
-    confident review; otherwise the iteration limit. The window holds one row
-    per iteration of a run, which the iteration limit bounds."""
-    w = Window.partitionBy("run_id").orderBy("iteration").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0)
-    before = F.coalesce(
-        F.sum(F.col("tokens_propose") + F.col("tokens_execute") + F.col("tokens_review")).over(w), zero
-    )
-    x = iters.join(budgets, "run_id").withColumn("before", before)
+    confident review; otherwise the iteration limit. Runs that respect the
+    limit need no chunk."""
+    spent = F.col("tokens_propose") + F.col("tokens_execute") + F.col("tokens_review")
+    total_after = running(iters, ["run_id"], ["iteration"], {"after": ("sum", spent)}, chunk)
+    x = total_after.withColumn("before", F.col("after") - spent).join(budgets, "run_id")
     proposed = F.col("before") + F.col("tokens_propose")
     executed = proposed + F.col("tokens_execute")
     total = F.col("budget")
@@ -256,13 +254,17 @@ def union_at_k(judged: DataFrame, by: list[str], seeds: list[int]) -> DataFrame:
     )
 
 
-def identical_retry(turns: DataFrame, by: list[str], key: str = "run_id", turn: str = "iteration") -> DataFrame:
+def identical_retry(
+    turns: DataFrame, by: list[str], key: str = "run_id", turn: str = "iteration", chunk: Column | None = None
+) -> DataFrame:
     """Share of retries that repeat the previous turn's artifact. Hashes, not
     texts, go through the window."""
-    w = Window.partitionBy(*by, key).orderBy(turn)
-    slim = turns.select(*by, key, turn, F.md5(F.trim("artifact")).alias("h"))
-    retried = slim.withColumn("prev", F.lag("h").over(w)).filter(F.col("h").isNotNull() & F.col("prev").isNotNull())
-    return retried.groupBy(*by).agg(rows().alias("n_retries"), rate(F.col("h") == F.col("prev")).alias("identical_rate"))
+    digest = turns.withColumn("__h", F.md5(F.trim("artifact")))
+    linked = running(digest, [*by, key], [turn], {"__prev": ("prev", F.col("__h"))}, chunk)
+    retried = linked.filter(F.col("__h").isNotNull() & F.col("__prev").isNotNull())
+    return retried.groupBy(*by).agg(
+        rows().alias("n_retries"), rate(F.col("__h") == F.col("__prev")).alias("identical_rate")
+    )
 
 
 def regressed_after_peak(iters: DataFrame, key: str = "run_id", order: str = "iteration", metric: str = "quality") -> DataFrame:

@@ -19,15 +19,18 @@ def running(
     keys: list[str],
     order: list[str],
     measures: dict[str, tuple[str, Column]],
-    chunk: Column,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Add running values up to and including each row.
 
     ``measures`` maps an output name to (kind, expression); kind is ``sum``,
     ``max``, ``count``, ``last`` (latest non-null) or ``prev`` (the value of
     the row before). ``chunk`` must not decrease along ``order`` inside a
-    group. Order columns must be total.
+    group. Order columns must be total. Without a chunk the window takes each
+    group whole, which suits groups of a known small size only.
     """
+    if chunk is None:
+        return _running_whole(df, keys, order, measures)
     base = df.withColumn(_RESERVED, chunk)
     for name, (kind, expr) in measures.items():
         base = base.withColumn(f"__m_{name}", F.lit(1) if kind == "count" else expr)
@@ -94,6 +97,27 @@ def running(
     return joined.select(*out)
 
 
+def _running_whole(df, keys, order, measures) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = []
+    for name, (kind, expr) in measures.items():
+        if kind == "count":
+            value = F.count(F.lit(1)).over(upto)
+        elif kind == "sum":
+            value = F.coalesce(F.sum(expr).over(upto), F.lit(0))
+        elif kind == "max":
+            value = F.max(expr).over(upto)
+        elif kind == "last":
+            value = F.last(expr, ignorenulls=True).over(upto)
+        elif kind == "prev":
+            value = F.lag(expr).over(w)
+        else:
+            raise ValueError(f"unknown running measure {kind!r}")
+        out.append(value.alias(name))
+    return df.select("*", *out)
+
+
 def take_by_rank(
     df: DataFrame,
     keys: list[str],
