@@ -138,6 +138,19 @@ def strategy_delta(cells: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def scaling_report(summary: DataFrame, order: list[str], tests: DataFrame) -> DataFrame:
+    """Seed summary with the best strategy of each budget flagged and the
+    paired test of two strategies alongside. The inputs are small tables of
+    strategies x budgets."""
+    cells = summary.select("strategy", "budget", F.col("mean_rate").alias("pass_rate"), "mean_tokens")
+    best = pareto_best(cells, order).select("budget", "strategy", F.lit(True).alias("is_best"))
+    return (
+        summary.join(best, ["budget", "strategy"], "left")
+        .withColumn("is_best", F.coalesce("is_best", F.lit(False)))
+        .join(tests, "budget", "left")
+    )
+
+
 # --- running state -----------------------------------------------------------
 
 

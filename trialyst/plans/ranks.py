@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from trialyst.operators import rank as R
 from trialyst.operators import summary as S
+from trialyst.operators.inference import sign_test_pairs
+from trialyst.operators.joins import match_strategies
 from trialyst.plans import fixtures as fx
 from trialyst.plans.registry import query
+from trialyst.plans.summaries import SEED_CELLS, sign_sql
 
 RUN_FILES = """rf AS (SELECT l_orderkey % 3 AS category, l_partkey AS task_id, l_quantity > 40 AS has_metric,
       concat(l_returnflag, l_linestatus) AS file,
@@ -156,6 +159,29 @@ def _(spark, sf):
     return R.pareto_best(_grid(spark, sf), fx.STRATEGIES)
 
 
+REPORT = f"""{SEED_CELLS}, ss AS (SELECT strategy, budget, count(*) AS n_seeds, avg(pass_rate) AS mean_rate, stddev_pop(pass_rate) AS sd_rate,
+      avg(mean_tokens) AS mean_tokens FROM per GROUP BY 1, 2),
+    best AS (SELECT *, row_number() OVER (PARTITION BY budget ORDER BY round(mean_rate, 12) DESC, mean_tokens) AS rn FROM ss),
+    m AS (SELECT h.budget, h.passed AS a, l.passed AS b FROM cells h JOIN cells l ON h.budget = l.budget AND h.seed = l.seed AND h.task_id = l.task_id
+      AND h.strategy = 'H' AND l.strategy = 'L'),
+    g AS (SELECT budget, count(*) AS n_pairs, count(*) FILTER (WHERE a AND NOT b) AS plus, count(*) FILTER (WHERE b AND NOT a) AS minus, count(*) FILTER (WHERE a = b) AS ties FROM m GROUP BY 1)"""
+
+
+@query(
+    "scaling_report",
+    f"""WITH {REPORT} SELECT strategy, best.budget, n_seeds, round(mean_rate, 9) AS mean_rate, round(sd_rate, 9) AS sd_rate, round(mean_tokens, 6) AS mean_tokens,
+    rn = 1 AS is_best, n_pairs, plus, minus, ties, round({sign_sql('plus', 'minus')}, 9) AS p_two_sided FROM best JOIN g ON best.budget = g.budget""",
+)
+def _(spark, sf):
+    cells = fx.cells(spark, sf)
+    tests = sign_test_pairs(match_strategies(cells, "H", "L", 1000), "a_passed", "b_passed", ["budget"])
+    out = R.scaling_report(S.seed_summary(cells), fx.STRATEGIES, tests)
+    return out.select(
+        "strategy", "budget", "n_seeds", F.round("mean_rate", 9).alias("mean_rate"), F.round("sd_rate", 9).alias("sd_rate"),
+        F.round("mean_tokens", 6).alias("mean_tokens"), "is_best", "n_pairs", "plus", "minus", "ties", F.round("p_two_sided", 9).alias("p_two_sided"),
+    )
+
+
 @query(
     "saturation",
     f"""WITH {GRID}, t AS (SELECT *, max(pass_rate) OVER (PARTITION BY strategy) AS top FROM g)

@@ -358,6 +358,20 @@ def _(spark, sf):
     return calls.filter("recovered").select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "code", "test_code")
 
 
+@query(
+    "tool_calls_lateral",
+    f"""WITH {CALLED} SELECT conv_id, turn, CAST(0 AS BIGINT) AS pos, 'execute_code' AS name, md5(text) AS code, false AS recovered FROM m
+    UNION ALL SELECT conv_id, turn, 1, 'execute_code', md5(concat('print("', CAST(turn AS VARCHAR), '")', chr(10), '\\n')), true FROM m
+    UNION ALL SELECT conv_id, turn, 2, 'run', md5('c'), false FROM m""",
+)
+def _(spark, sf):
+    X.register_tool_calls(spark)
+    _called(spark, sf).createOrReplaceTempView("tool_answers")
+    return spark.sql(
+        "SELECT conv_id, turn, CAST(t.pos AS BIGINT) AS pos, t.name, md5(t.code) AS code, t.recovered FROM tool_answers a, LATERAL tool_calls(a.out) t"
+    )
+
+
 @query(
     "open_tool_calls",
     f"""WITH {CALLED} SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, name, closed FROM m,
