@@ -374,14 +374,15 @@ def quota_sample(df: DataFrame, ratios: dict[str, float] = QUOTA, total: int = 0
         else F.min(F.when(F.col("share") > 0, F.floor(F.col("n") / F.col("share")).cast("bigint"))).over(Window.partitionBy(F.lit(1)))
     )
     quota = counts.withColumn("n_take", F.bround(F.col("share") * limit, 0).cast("bigint")).filter(F.col("n_take") > 0)
-    return take_by_rank(named, ["stratum"], draw(seed, key), [key], quota.select("stratum", "n_take"))
+    return take_by_rank(named, ["stratum"], draw(seed, key), [key], quota.select("stratum", "n_take"), few_groups=True)
 
 
 def assign_strata(tasks: DataFrame, fraction: float, seed, key: str = "task_id") -> DataFrame:
     """Exactly round(n * fraction) tasks, chosen by hash, become no_revise."""
-    whole = tasks.withColumn("__all", F.lit(0))
+    # one group of everything; a computed key keeps its joins hash joins
+    whole = tasks.withColumn("__all", draw(seed, key) % 1)
     quota = whole.groupBy("__all").agg(F.bround(rows() * F.lit(fraction), 0).cast("bigint").alias("n_take")).filter(F.col("n_take") > 0)
-    chosen = take_by_rank(whole.select("__all", key), ["__all"], draw(seed, key), [key], quota).select(
+    chosen = take_by_rank(whole.select("__all", key), ["__all"], draw(seed, key), [key], quota, few_groups=True).select(
         key, F.lit("no_revise").alias("__s")
     )
     return tasks.join(chosen, key, "left").withColumn("target", F.coalesce("__s", F.lit("revise"))).drop("__s")

@@ -7,7 +7,7 @@ shuffle. Rates and means stay unrounded. Lists that would grow with the data
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialyst.functions.stats import pass_at_k as pass_at_k_col
@@ -172,12 +172,15 @@ def pass_matrix(trials: DataFrame, baselines: list[str], order: list[str]) -> Da
 
 
 def token_efficiency(trials: DataFrame, ref: str) -> DataFrame:
-    """Pass gain over one baseline and what it costs in tokens."""
+    """Pass gain over one baseline and what it costs in tokens. The reference
+    values spread over the table of baselines, which has a row for each."""
     per = trials.groupBy("baseline").agg(rate("passed").alias("pass_rate"), F.avg("total_tokens").alias("mean_tokens"))
-    one = per.filter(F.col("baseline") == ref).select(
-        F.lit(1).alias("j"), F.col("pass_rate").alias("ref_rate"), F.col("mean_tokens").alias("ref_tokens")
+    everyone = Window.partitionBy(F.lit(0))
+    of_ref = lambda c: F.max(F.when(F.col("baseline") == ref, F.col(c))).over(everyone)
+    joined = (
+        per.withColumn("ref_rate", of_ref("pass_rate")).withColumn("ref_tokens", of_ref("mean_tokens"))
+        .filter((F.col("baseline") != ref) & F.col("ref_rate").isNotNull())
     )
-    joined = per.filter(F.col("baseline") != ref).withColumn("j", F.lit(1)).join(F.broadcast(one), "j")
     gain = F.col("pass_rate") - F.col("ref_rate")
     extra = F.col("mean_tokens") - F.col("ref_tokens")
     return joined.select(
@@ -515,8 +518,6 @@ def budget_breakdown(calls: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def claim_accuracy(claims: DataFrame) -> DataFrame:
     """Only the first 15 claims of a report are checked."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("report_id").orderBy("pos")
     head = claims.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= MAX_CLAIMS)
     v = F.col("verdict")
