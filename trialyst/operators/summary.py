@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trialyst.functions.stats import pass_at_k as pass_at_k_col
 from trialyst.functions.stats import safe_ratio, sign_test
-from trialyst.operators.scan import first_by, order_statistic
+from trialyst.operators.scan import order_statistic
 
 STRATEGIES = ["R", "S", "L", "H"]
 PHASES = ["propose", "execute", "review"]
@@ -618,7 +618,3 @@ def dialect_share(corpus: DataFrame, pattern: str = r"\[(GENERATE|EXECUTE|REVIEW
     """Share of examples per task type whose messages use protocol markers."""
     used = F.exists("messages", lambda m: F.coalesce(m["content"].rlike(pattern), F.lit(False)))
     return corpus.groupBy("task_type").agg(rows().alias("n"), rate(used).alias("share"))
-
-
-def first_value_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return first_by(df, keys, order)

@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trialyst.operators.summary import baseline_summary, metrics_summary
+from trialyst.operators.summary import any_pass_rate, baseline_summary, metrics_summary
 from trialyst.plans import fixtures as fx
+from trialyst.plans.corpora import _NSTEPS, RESULTS, _results, _tasks
 from trialyst.plans.registry import ORACLES, query
 from trialyst.session import scratch_path
 from trialyst.sources import readers as I
@@ -118,6 +119,50 @@ def _(spark, sf):
     return metrics_summary(I.read_metrics(spark, path))
 
 
+@query("metrics_import", ORACLES["any_pass_rate"])
+def _(spark, sf):
+    # one file per baseline and range of problems, problems nested by name
+    sample = F.struct("passed", F.col("total_tokens").alias("tokens"), "cost")
+    per = fx.trials(spark, sf).groupBy("baseline", F.col("problem_id").cast("string").alias("p"), F.floor(F.col("problem_id") / 500).alias("c")).agg(
+        F.struct(F.lit(0).alias("n_samples"), F.collect_list(sample).alias("results")).alias("s")
+    )
+    files = per.groupBy("baseline", "c").agg(F.map_from_entries(F.collect_list(F.struct("p", "s"))).alias("m")).select(
+        F.to_json(F.create_map("baseline", "m")).alias("value")
+    )
+    path = scratch_path(spark, "nested")
+    _one_file_each(files, path)
+    return any_pass_rate(I.import_metrics(spark, path))
+
+
+@query(
+    "collect_all",
+    f"""WITH {RESULTS}, n AS (SELECT 'code' AS task_type, {_NSTEPS} AS k, rv_meets AS ok FROM res
+      UNION ALL SELECT 'slide', CASE WHEN rv_iters > 1 AND q1 <> q2 THEN 6 ELSE 3 END, q2 >= 0.7 FROM res)
+    SELECT task_type, count(*) AS n, CAST(sum(k) AS BIGINT) AS n_steps, count(*) FILTER (WHERE ok) AS n_success FROM n GROUP BY 1""",
+)
+def _(spark, sf):
+    base = scratch_path(spark, "families")
+    text = F.col("task_id").cast("string").alias("task_id")
+
+    def put(df, name):
+        rec = F.struct(text, *[c for c in df.columns if c != "task_id"])
+        files = df.groupBy(_chunk("task_id").alias("c")).agg(F.to_json(F.collect_list(rec)).alias("value"))
+        _one_file_each(files.select("value"), f"{base}/{name}")
+
+    tasks = _tasks(spark, sf).select("task_id", "description", "test_code", "common_bugs", "requirements", "expected_issues")
+    put(tasks, "tasks/code/code_tasks.json")
+    put(tasks, "tasks/slides/slide_tasks.json")
+    r = _results(spark, sf)
+    code = r.select("task_id", "ss_passed", "rv_passed", "rv_iters")
+    put(code.filter(F.col("task_id") % 2 == 0), "results/code_swe_results.json")
+    put(code.filter(F.col("task_id") % 2 == 1), "results/code_onpolicy_run1.json")
+    put(r.select("task_id", "ss_quality", "rv_quality", "rv_iters"), "results/slides_results.json")
+    t = I.collect_all(spark, f"{base}/results", f"{base}/tasks")
+    return t.groupBy("task_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("steps")).alias("n_steps"), F.count_if("success").alias("n_success")
+    )
+
+
 @query("corpus_lines", "SELECT doc_id, md5(text) AS text, lang FROM documents")
 def _(spark, sf):
     path = scratch_path(spark, "corpus")

@@ -252,6 +252,20 @@ def _(spark, sf):
     return p
 
 
+@query(
+    "preference_strict",
+    f"""WITH {JUDGED}, v AS (SELECT * FROM jv WHERE modality <> 'BUILDING' OR choice = 'same'),
+    listed AS (SELECT DISTINCT modality FROM v WHERE (decisive AND picked <> 'same') OR (NOT decisive AND choice <> 'same')),
+    g AS (SELECT coalesce(modality, 'OVERALL') AS modality, count(*) FILTER (WHERE decisive AND picked = 'rv') AS rv,
+      count(*) FILTER (WHERE decisive AND picked = 'ss') AS ss, count(*) FILTER (WHERE decisive AND picked = 'same') AS same
+      FROM v WHERE modality IN (SELECT modality FROM listed) GROUP BY ROLLUP (modality)) SELECT * FROM g""",
+)
+def _(spark, sf):
+    # one modality keeps its "same" votes only, and so drops out
+    votes = _judged(spark, sf).filter((F.col("modality") != "BUILDING") | (F.col("choice") == "same"))
+    return M.preference(votes, strict=True).select("modality", "rv", "ss", "same")
+
+
 @query(
     "tie_control",
     f"""WITH {JUDGED}, g AS (SELECT coalesce(modality, 'OVERALL') AS modality, count(*) FILTER (WHERE choice = 'A') AS a,
