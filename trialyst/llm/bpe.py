@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -26,8 +28,11 @@ from pyspark.sql import functions as F
 from trialyst.llm.common import map_texts, texts
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Words and neighbouring pairs that a Python worker remembers; beyond this it starts anew.
+#: Chunks in each of a Python worker's two memories.
 REMEMBERED = 200_000
+#: Marks that Python's split takes for white space and the vocabulary's pattern does not.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+SPACE = regex.compile(r"\s+")
 #: Stands for the word end inside the automaton; no byte letter uses it.
 END = "\ue000"
 
@@ -63,7 +68,7 @@ class WordBpe:
             self.rank[ids[a], ids[b]] = n
             self.halves.setdefault(made, (ids[a], ids[b]))
             self.born.setdefault(made, n)
-        self.fits_memo: dict[tuple[int, int], bool] = {}
+        self.fits_memo: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for t, i in ids.items():
             if self._reachable(i):
@@ -72,7 +77,8 @@ class WordBpe:
         self.automaton.make_automaton()
         letters = byte_letters()
         self.letters = [letters[b] for b in range(256)]
-        self.memo: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.young: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The parts of a token at its right (1) or left (0) edge, smallest first, each with the rank of the merge that ends it."""
@@ -114,7 +120,7 @@ class WordBpe:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether `right` may follow `left` in an encoding."""
-        key = (left, right)
+        key = left << 20 | right
         if (known := self.fits_memo.get(key)) is None:
             if len(self.fits_memo) >= 5 * REMEMBERED:
                 self.fits_memo.clear()
@@ -126,41 +132,58 @@ class WordBpe:
         n = len(letters)
         last = [-1] * (n + 1)
         size = [0] * (n + 1)
+        memo = self.fits_memo
         for at, (token, length) in self.automaton.iter(letters):
             end, start = at + 1, at + 1 - length
-            if start == 0 or last[start] >= 0 and self.fits(last[start], token):
-                last[end], size[end] = token, length
+            if last[end] >= 0:  # the last token of a prefix is unique
+                continue
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                known = memo.get(before << 20 | token)
+                if not (self.fits(before, token) if known is None else known):
+                    continue
+            last[end], size[end] = token, length
         out = []
         while n:
             out.append(last[n])
             n -= size[n]
         return tuple(reversed(out))
 
-    def words(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final form of sigma
-        return self.word.findall(text)
-
-    def encode(self, text: str) -> tuple[list[int], list[str]]:
-        """Ids, and the decoded text of each word."""
-        ids: list[int] = []
-        said: list[str] = []
-        memo = self.memo
+    def _chunk(self, chunk: str) -> tuple[bytes, str]:
+        """Ids, as bytes of 32-bit numbers, and decoded text of a part without white space."""
+        words = self.word.findall(chunk)
+        if words == [chunk]:
+            ids = self.encode_word(chunk)
+            return array("i", ids).tobytes(), self.decode(ids)
+        got = [self.young.get(word) or self._known(word) for word in words]
+        return b"".join([ids for ids, _ in got]), " ".join([said for _, said in got])
+
+    def _known(self, chunk: str) -> tuple[bytes, str]:
+        """A chunk that the young memory doesn't hold: from the old one, or made; a full memory grows old."""
+        got = self.old.get(chunk) or self._chunk(chunk)
+        if len(chunk) <= 64:
+            if len(self.young) >= REMEMBERED:
+                self.young, self.old = {}, self.young
+            self.young[chunk] = got
+        return got
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """Ids of a whole text, as bytes of 32-bit numbers, and their decoded text.
+
+        No word holds white space, so the chunks between white space are encoded each by itself.
+        """
+        got: list[tuple[bytes, str]] = []
         for n, piece in enumerate(self.cut.split(text) if self.cut else [text]):
             if n % 2:
-                ids.append(self.special[piece])
-                said.append(piece)
+                got.append((np.array([self.special[piece]], np.int32).tobytes(), piece))
                 continue
-            for word in self.words(piece):
-                if (known := memo.get(word)) is None:
-                    if len(memo) >= REMEMBERED:
-                        memo.clear()
-                    got = self.encode_word(word)
-                    known = (got, self.decode(got))
-                    if len(word) <= 64:
-                        memo[word] = known
-                ids += known[0]
-                said.append(known[1])
-        return ids, said
+            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()  # no final form of sigma
+            chunks = SPACE.split(piece) if SEPARATORS.search(piece) else piece.split()
+            for chunk in chunks:
+                got.append(self.young.get(chunk) or self._known(chunk))
+        return b"".join([ids for ids, _ in got]), " ".join([said for _, said in got if said])
 
     def decode(self, ids) -> str:
         """Token strings joined by one space, special tokens too, as the file names no decoder; unknown ids say nothing."""
@@ -173,10 +196,9 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-    flat = np.fromiter((i for r in rows for i in r), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+def _lists(rows: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
 
 def round_trip(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,19 +207,14 @@ def round_trip(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id",
     def run(batch: list[str]) -> tuple:
         t = tokenizer(path)
         got = [t.encode(x) for x in batch]
-        return _lists([ids for ids, _ in got]), [" ".join(said) for _, said in got]
+        return _lists([ids for ids, _ in got]), [said for _, said in got]
 
     return map_texts(texts(docs, id_col, text_col), run, "ids array<int>, decoded string")
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ids array<int> of every whole text."""
-
-    def run(batch: list[str]) -> tuple:
-        t = tokenizer(path)
-        return (_lists([t.encode(x)[0] for x in batch]),)
-
-    return map_texts(texts(docs, id_col, text_col), run, "ids array<int>")
+    return round_trip(docs, path, id_col, text_col).select(id_col, "ids")
 
 
 def decode(rows: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -205,7 +222,7 @@ def decode(rows: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", ids_
 
     def run(batch: list) -> tuple:
         t = tokenizer(path)
-        return ([t.decode(x or ()) for x in batch],)
+        return ([t.decode(x or ()) for x in batch],)  # lists of ids stand in the place of texts
 
     return map_texts(rows.select(id_col, F.col(ids_col).alias("text")), run, "decoded string")
 
