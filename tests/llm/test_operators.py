@@ -1,0 +1,476 @@
+"""The text operators against brute force, and on odd rows."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from trialyst.llm import bpe, decontaminate, exact_dedup, near_dedup, pii, quality, secret_scan, token_count, toxicity, wrappers
+from trialyst.llm.common import read
+from trialyst.llm.queries import QUERIES
+
+LONG = "long words and more of them " * 40_000
+CLASH = ["fp", "key", "score", "held_out", "kept", "text_sha256", "component_id", "_kept_id", "_dropped_id", "_leaked_id", "_row", "spans", "ids", "position", "N_TOKENS"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, ties, repeated rows and columns of clashing names."""
+    rows = [(1, "same text here"), (2, "same text here"), (2, "same text here"), (3, None), (4, ""), (None, "same text here"), (None, None), (5, LONG), (6, LONG), (7, "  \n\t "), (8, "one"), (9, "é\x85😀 ſKİ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for c in CLASH:
+        df = df.withColumn(c, F.lit("x"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 10)] + [(None, 1, 1), (3, None, None)], "doc_id bigint, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return {r.doc_id: r.text for r in read(spark, sf, "documents").collect()}
+
+
+@pytest.fixture(scope="module")
+def bench(spark):
+    return spark.createDataFrame([(0, "the quick brown fox jumps over the lazy dog again"), (1, None), (2, ""), (3, "one"), (0, "the quick brown fox jumps over the lazy dog again")], "item_id bigint, text string")
+
+
+def test_every_query_takes_empty_tables(spark, sf, tmp_path):
+    for t in ("documents", "labels", "pages", "benchmark"):
+        read(spark, sf, t).limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    for name, q in QUERIES.items():
+        assert q(spark, str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+# exact duplicates
+
+
+def test_fingerprints_compose():
+    data = random.Random(1).randbytes(50_000)
+    for cut in (0, 1, 4095, 4096, 20_000, 50_000):
+        assert exact_dedup.combine(exact_dedup.fingerprint(data[:cut]), exact_dedup.fingerprint(data[cut:]), 50_000 - cut) == exact_dedup.fingerprint(data)
+    assert exact_dedup.fingerprint(b"\0") != exact_dedup.fingerprint(b"\0\0")
+
+
+def test_exact_odd(odd, none):
+    got = sorted(map(tuple, exact_dedup.group_texts(odd).select("doc_id", "keep_id", "group_size", "kept").collect()), key=str)
+    want = [(1, 2, 4, False), (2, 2, 4, True), (2, 2, 4, False), (3, 4, 3, False), (4, 4, 3, True), (None, 2, 4, False), (None, 4, 3, False), (5, 6, 2, False), (6, 6, 2, True), (7, 7, 1, True), (8, 8, 1, True), (9, 9, 1, True)]
+    assert got == sorted(want, key=str)
+    assert exact_dedup.group_texts(none).count() == 0
+    left = exact_dedup.drop_copies(odd)
+    assert left.columns == odd.columns
+    assert sorted(r.doc_id for r in left.collect()) == [2, 4, 6, 7, 8, 9]
+
+
+def test_equal_fingerprints_of_different_texts(spark, monkeypatch):
+    """With a fingerprint that always collides the comparison alone tells texts apart."""
+    real = exact_dedup.fingerprints
+    monkeypatch.setattr(exact_dedup, "fingerprints", lambda *a: real(*a).withColumn("fp", F.lit("0")))
+    texts = ["a" * 70_000 + c for c in "xyyz"] + ["b" * 70_001, "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.group_texts(df).collect()}
+    assert got == {0: (0, 1), 1: (2, 2), 2: (2, 2), 3: (3, 1), 4: (4, 1), 5: (5, 1)}
+
+
+def test_pieces_of_a_document(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "PIECE_BYTES", 1000)
+    df = spark.createDataFrame([(1, LONG[:9999]), (2, LONG[:9999]), (3, LONG[:9998])], "doc_id bigint, text string")
+    fp = {r.doc_id: (r.fp, r.n_bytes) for r in exact_dedup.fingerprints(df).collect()}
+    whole = "".join(f"{h:08x}" for h in exact_dedup.fingerprint(LONG[:9999].encode()))
+    assert fp[1] == fp[2] == (whole, 9999) and fp[3] != fp[1]
+
+
+# near duplicates
+
+
+def brute_simhash(text):
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def brute_components(marks):
+    root = {i: i for i in marks}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(marks)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if (marks[i] ^ marks[j]).bit_count() <= 3:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i in ids}
+
+
+def test_masks_cover_every_pair():
+    rng = random.Random(2)
+    for places in (list(range(64)), sorted(rng.sample(range(64), 30)), [3, 5]):
+        made = near_dedup.masks(places)
+        for _ in range(3000):
+            differ = sum(1 << p for p in rng.sample(places, min(3, len(places))))
+            assert any(not differ & m for m in made)
+
+
+def test_near_groups(spark, sf, docs):
+    marks = {i: brute_simhash(t) for i, t in docs.items()}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in near_dedup.near_groups(read(spark, sf, "documents")).collect()}
+    comp = brute_components(marks)
+    assert got == {i: (f"{marks[i]:016x}", comp[i]) for i in docs}
+    kept = {r.doc_id for r in near_dedup.keep_one(read(spark, sf, "documents")).collect()}
+    assert kept == set(comp.values())
+
+
+@pytest.mark.parametrize("largest", [1, 3, 2048])
+def test_links_at_any_bucket_size(spark, largest):
+    """Chains and clouds of fingerprints; with small buckets all go through further masks."""
+    rng = random.Random(4)
+    values = {0}
+    for _ in range(12):
+        x = rng.getrandbits(64)
+        for _ in range(12):
+            x ^= sum({1 << rng.randrange(64) for _ in range(rng.randint(1, 4))})
+            values.add(x)
+    df = spark.createDataFrame([(near_dedup.signed(v),) for v in values], "fp bigint").repartition(3)
+    label = {r.fp: r.root for r in near_dedup.components(near_dedup.links(df, largest=largest)).collect()}
+    want = brute_components({near_dedup.signed(v): v for v in values})
+    assert {v: label.get(v, v) for v in want} == want
+
+
+def test_near_odd(odd, none):
+    got = near_dedup.near_groups(odd).collect()
+    assert len(got) == odd.count()
+    assert {r.component_id for r in got if r.fingerprint == "0" * 16} == {3}
+    assert {r.doc_id: r.component_id for r in got if r.doc_id in (1, 2, 5, 6)} == {1: 1, 2: 1, 5: 5, 6: 5}
+    assert near_dedup.near_groups(none).count() == 0
+    assert near_dedup.keep_one(odd).columns == odd.columns
+
+
+# encoding
+
+
+def test_encoding_is_the_library_s(spark, sf, docs):
+    lib = Tokenizer.from_file(bpe.VOCABULARY)
+    lib.no_padding()
+    lib.no_truncation()
+    got = {r.doc_id: r for r in bpe.digests(read(spark, sf, "documents")).collect()}
+    for i, t in docs.items():
+        ids = lib.encode(t, add_special_tokens=False).ids
+        said = lib.decode(ids, skip_special_tokens=False)
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert tuple(got[i]) == (i, len(ids), sha(" ".join(map(str, ids))), sha(said))
+
+
+def test_encoding_of_strange_words():
+    lib = Tokenizer.from_file(bpe.VOCABULARY)
+    own = bpe.WordBpe(bpe.VOCABULARY)
+    rng = random.Random(5)
+    tokens = [t.replace("</w>", "") for t in own.token.values()]
+    letters = "abcdefgh  'ſKıİΣσς́é\n\t\x85\xa0\x1c\x1f<|endoftext|>0½Ⅷ!?人😀ß‍﻿"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(2000)]
+    texts += ["".join(rng.choice(tokens) for _ in range(rng.randint(1, 7))) for _ in range(3000)]
+    texts += ["", "a" * 3000, "the" * 500, "<|startoftext|>x<|endoftext|>", "!" * 999]
+    for t in texts:
+        e = lib.encode(t, add_special_tokens=False)
+        ids, said = own.encode(t)
+        assert np.frombuffer(ids, np.int32).tolist() == e.ids, t
+        assert said == lib.decode(e.ids, skip_special_tokens=False), t
+
+
+def test_encoding_odd(odd, none):
+    got = {r.doc_id: r.n_tokens for r in bpe.digests(odd).collect()}
+    assert got[3] == got[4] == got[7] == 0 and got[5] == got[6] > 0
+    back = bpe.decode(bpe.encode(odd)).collect()
+    assert len(back) == odd.count() and {r.decoded for r in back if r.doc_id == 8} == {"one</w>"}
+    assert bpe.digests(none).count() == 0
+
+
+# token counts
+
+
+def test_token_counts_are_viterbi(spark, sf, docs):
+    table, _, byte = token_count.scores(token_count.PIECES)
+
+    def brute(w):
+        best = [(0, 0)]
+        for e in range(1, len(w) + 1):
+            n = len(w[e - 1].encode())
+            options = [(best[e - 1][0] + n * byte, best[e - 1][1] - n)]
+            options += [(best[s][0] + table[w[s:e]], best[s][1] - 1) for s in range(e) if w[s:e] in table]
+            best.append(max(options))
+        return -best[-1][1]
+
+    got = {r.doc_id: (r.n_tokens, r.n_pretokens) for r in token_count.count_tokens(read(spark, sf, "documents")).collect()}
+    short = sorted(docs, key=lambda i: len(docs[i]))[:60]
+    for i in short:
+        words = token_count.pretokens(docs[i])
+        assert got[i] == (sum(map(brute, words)), len(words))
+        assert "".join(words).replace("▁", " ") == " " + docs[i]
+    assert len(got) == len(docs)
+
+
+def test_token_counts_odd(odd, none):
+    got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(odd).collect()}
+    assert got[3] == got[4] == 0 and got[8] == 1 and got[5] == got[6] > 100_000
+    assert token_count.count_tokens(none).count() == 0
+
+
+# spans
+
+PII_SHAPES = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_pii(text):
+    out = []
+    for kind, shape in PII_SHAPES.items():
+        for m in re.finditer(shape, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card":
+                twice = [int(d) * (1 + i % 2) for i, d in enumerate(digits[::-1])]
+                if not 13 <= len(digits) <= 19 or sum(d // 10 + d % 10 for d in twice) % 10:
+                    continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+def brute_secrets(text):
+    key = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    out = [("assign", *m.span()) for m in re.finditer(rf"""({key})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+
+
+def digest(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_pii_base_spans(spark, sf, docs):
+    rng = random.Random(6)
+    for letters in ("ab@.-+1 ", "0123456789 -", "12.5 6", "+1 ().-2", "@a.b-9+(4) é٣"):
+        for _ in range(4000):
+            t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+            assert [s for s in pii.find(t) if s[0] in pii.BASE] == brute_pii(t), t
+    got = {r.doc_id: r for r in pii.report(read(spark, sf, "documents")).collect()}
+    for i, t in docs.items():
+        want = brute_pii(t)
+        n = Counter(k for k, _, _ in want)
+        assert (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone, got[i].base_sha256) == (n["email"], n["ip"], n["card"], n["phone"], digest(want))
+
+
+def test_pii_added_spans():
+    text = "IBAN: DE89 3704 0044 0532 0130 00, account no. 12345678, ssn 123-45-6789, http://bob:pw1@host.org/x, iban GB00BARC20000000000000"
+    got = {k: text[a:b] for k, a, b in pii.find(text) if k not in pii.BASE}
+    assert got == {"iban": "DE89 3704 0044 0532 0130 00", "account": "12345678", "ssn": "123-45-6789", "login": "http://bob:pw1@host.org"}
+
+
+def test_secret_spans(spark, sf, docs):
+    rng = random.Random(7)
+    parts = ["token", "Password", "secret", "apikey", "API_KEY", "=", ": ", '"', "'", "abc", "AKIA", "A1B2", "deadbeef", "0123", "ſecret", " ", "x.y", "é", "9f"]
+    for _ in range(6000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert [s for s in secret_scan.find(t) if s[0] in secret_scan.BASE] == brute_secrets(t), t
+    got = {r.doc_id: r for r in secret_scan.report(read(spark, sf, "documents")).collect()}
+    for i, t in docs.items():
+        want = brute_secrets(t)
+        n = Counter(k for k, _, _ in want)
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex, got[i].base_sha256) == (n["assign"], n["access"], n["hex"], digest(want))
+
+
+def test_random_strings_stand_out():
+    said = lambda t: [t[a:b] for k, a, b in secret_scan.find(t) if k == "random"]
+    assert said("key ghp_16C7e42F292c6912E7710c838347Ae178B4a end") == ["ghp_16C7e42F292c6912E7710c838347Ae178B4a"]
+    assert said("id 123e4567-e89b-12d3-a456-426614174000 and 9184A5F8471BF132836E82A1A9340B58") == []
+    assert said("getUserNameById2Cached release-2023-10-11-final internationalisation_layer2") == []
+    assert said("x" * 100_000 + "1") == []
+
+
+def test_spans_odd(odd, none):
+    for report in (pii.report, secret_scan.report):
+        got = report(odd).collect()
+        assert len(got) == odd.count() and all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
+        assert report(none).count() == 0
+
+
+# decontamination
+
+
+def test_leaks_are_found(spark, sf, docs):
+    items = {r.item_id: r.text for r in read(spark, sf, "benchmark").collect()}
+    words = lambda t: re.findall(r"\w+", t.lower())
+    windows = defaultdict(set)
+    for i, t in items.items():
+        w = words(t)
+        for k in range(len(w) - 7):
+            windows[tuple(w[k : k + 8])].add((i, k))
+    want = set()
+    for d, t in docs.items():
+        w, hits = words(t), defaultdict(set)
+        for k in range(len(w) - 7):
+            for i, at in windows.get(tuple(w[k : k + 8]), ()):
+                hits[i].add(at)
+        want |= {(d, i) for i, at in hits.items() if len(at) >= 0.5 * (len(words(items[i])) - 7)}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark")).collect()}
+    assert got == want and want
+    left = {r.doc_id for r in decontaminate.drop_leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark")).collect()}
+    assert left == set(docs) - {d for d, _ in want}
+
+
+def test_other_parameters_are_seen_through(spark):
+    item = "A train leaves with 12 people and then Anna adds 30 more, so how many of the 12 people that Anna saw remain after 5 hours in the train"
+    same = "Intro words here. A train leaves with 7 people and then Peter adds 44 more, so how many of the 7 people that Peter saw remain after 9 hours in the train"
+    mixed = same.replace("of the 7", "of the 8").replace("that Peter", "that Maria")
+    rows = [(1, same), (2, mixed), (3, "A train leaves with the milk and nothing else happens on that day in the town"), (4, item.upper())]
+    got = {r.doc_id: r for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(9, item)], "item_id bigint, text string"), coverage=0.9).collect()}
+    assert set(got) == {1} and got[1].changed_slots >= 3
+
+
+def test_decontaminate_odd(spark, odd, none, bench):
+    assert decontaminate.leaks(odd, bench).count() == 0
+    assert decontaminate.drop_leaks(odd, bench).count() == odd.count()
+    assert decontaminate.leaks(none, bench).count() == 0
+    more = odd.union(odd.limit(1).withColumn("doc_id", F.lit(50).cast("bigint")).withColumn("text", F.lit("So: The quick brown fox, jumps over the lazy dog again")))
+    got = decontaminate.leaks(more, bench).collect()
+    assert [(r.doc_id, r.item_id, r.n_matched) for r in got] == [(50, 0, 2)]  # "The" inside a sentence counts as a name
+    assert decontaminate.drop_leaks(more, bench).columns == odd.columns
+    short = decontaminate.leaks(spark.createDataFrame([(1, "x y z nine odd words stay here")], "doc_id bigint, text string"), spark.createDataFrame([(1, "nine odd words stay here"), (2, "x y")], "item_id bigint, text string"))
+    assert [(r.doc_id, r.item_id) for r in short.collect()] == [(1, 1)]
+
+
+# classifiers
+
+
+@pytest.mark.parametrize(("name", "module", "label", "parts", "held"), [("op1_quality", quality, "quality", 4, 2), ("op10_toxicity", toxicity, "toxic", 3, 1)])
+def test_held_out_accuracy(spark, name, module, label, parts, held):
+    import zlib
+
+    big = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in QUERIES[name](spark, big).collect()}
+    truth = {r.doc_id: r[label] for r in read(spark, big, "labels").collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % parts == held) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for i, r in got.items())
+    rows = [(got[i].predicted, y) for i, y in truth.items() if got[i].held_out]
+    assert np.mean([p == y for p, y in rows]) > 0.93
+    assert sum(p and not y for p, y in rows) <= 0.02 * len(rows)
+
+
+def test_interactions_are_learned():
+    """Two terms that mean nothing alone: only their product tells."""
+    rng = np.random.default_rng(1)
+    rows = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(1500)]
+    y = np.array([float(0 in r and 1 in r) for r in rows])
+    m = toxicity.fit(rows, y, rounds=40)
+    z = lambda on: float(m.bias + sum(m.weights[i] for i in on) + m.vectors[list(on)].sum(0) @ m.vectors[list(on)].sum(0) / 2 - sum(m.vectors[i] @ m.vectors[i] for i in on) / 2)
+    assert {0, 1} <= set(m.places.tolist())
+    at = [m.places.tolist().index(k) for k in (0, 1)]
+    assert z(at) > 0 > max(z(at[:1]), z(at[1:]))
+
+
+def test_attention_gradient():
+    """The score is a weighted sum over passages whose weights sum to one."""
+    rng = np.random.default_rng(2)
+    bags = [rng.normal(size=(rng.integers(1, 6), quality.WIDTH)).astype(np.float32) for _ in range(300)]
+    y = np.array([float(b[:, 0].max() > 1) for b in bags])
+    net = quality.fit(bags, y, rounds=120)
+    f = net.forward(bags[0], np.array([0]), np.zeros(len(bags[0]), np.int64))
+    assert abs(f["weight"].sum() - 1) < 1e-9
+    assert np.mean([(net.score(b) > 0.5) == t for b, t in zip(bags, y, strict=True)]) > 0.9
+
+
+def test_classifiers_odd(odd, none, labels):
+    for module in (quality, toxicity):
+        got = module.classify(odd, labels).collect()
+        assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
+        assert module.classify(none, labels).count() == 0
+        assert {r.score for r in module.classify(odd, labels.limit(0)).collect()} <= {0.0, 1e-9} or module is toxicity
+    clean = toxicity.keep_clean(odd, labels, threshold=1.1)
+    assert clean.columns == odd.columns and clean.count() == odd.count()
+
+
+# pages
+
+
+def plain_article(html):
+    import html as entities
+
+    part = re.search(r"<article>(.*?)(?:</article>|$)", html, re.S)[1]
+    rows = [" ".join(entities.unescape(re.sub("</?b>", "", x)).split()) for x in re.split(r"<(?:/?p|/?h1|br)>", part)]
+    return "\n".join(r for r in rows if r)
+
+
+def test_main_text(spark, sf):
+    pages = {r.page_id: r for r in read(spark, sf, "pages").collect()}
+    got = {r.page_id: r for r in QUERIES["op7_wrappers"](spark, sf).collect()}
+    assert got.keys() == pages.keys()
+    for i, p in pages.items():
+        want = plain_article(p.html)
+        assert (got[i].url, got[i].text, got[i].n_chars) == (p.url, want, len(want))
+
+
+def page(title, paragraphs, extra=""):
+    return f"""<html><body><header><a href=/>Site</a></header><div class="top-menu"><ul><li>Home<li>News</ul></div><div id="wrap"><div class="story"><h2>{title}</h2>
+    {"".join(f"<p>{p}" for p in paragraphs)}{extra}</div><div class="comments"><p>{"reader says a lot " * 40}</div></div><div class="sidebar"><p>{"links " * 90}</div><form><p>Mail</form><footer>c</footer></body>"""
+
+
+def test_wrapper_of_a_host(spark):
+    rows = [(1, "http://a.org/1", page("T&amp;1", ["one", "two\n  three"])), (2, "http://a.org/2", page("T2", ["x <b>y</b><br>z", "w"], "<ul><li>i<li>j</ul>")), (3, "http://A.org/3", page("T3", ["p"])), (4, None, None), (5, "no url", ""), (5, "no url", ""), (6, "http://b.org", "just text <!-- c --> here")]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("host", F.lit(1)).withColumn("path", F.lit(2)).withColumn("n_chars", F.lit(3))).collect()}
+    assert got == {1: "T&1\none\ntwo three", 2: "T2\nx y z\nw\ni\nj", 3: "T3\np", 4: "", 5: "", 6: "just text here"}
+
+
+def test_alignment_makes_groups_and_slots():
+    a, b = (wrappers.expression(wrappers.parse(f"<div><h2>same</h2>{x}</div>")) for x in ("<p>1</p><p>2</p>", "<p>3</p><ul><li>k</ul>"))
+    div = wrappers.matched(a, b)["c"][0]
+    assert [(c["k"], c["o"], c["r"]) for c in div["c"]] == [("h2", 0, 0), ("p", 0, 1), ("ul", 1, 0)]
+    assert div["c"][0]["c"][0]["s"] and not div["c"][1]["c"][0]["s"]
+    pairs = wrappers.expression(wrappers.parse("<div>" + "<h3>q</h3><p>a</p>" * 5 + "</div>"))["c"][0]
+    assert [(c["k"], c["r"]) for c in pairs["c"]] == [("h3", 1), ("p", 1)]
+    assert wrappers.main_text("<div>" * 5000 + "deep", None) == "deep"
+
+
+# pipeline
+
+
+def test_pipeline_stages(spark, sf, docs):
+    left = read(spark, sf, "documents")
+    labels = read(spark, sf, "labels")
+    machine = toxicity.train(left, labels)
+    kept = {i: t for i, t in docs.items() if machine.score(t) < 0.7}
+    by_text = {}
+    for i, t in kept.items():
+        by_text[t] = max(i, by_text.get(t, i))
+    kept = {i: docs[i] for i in by_text.values()}
+    comp = brute_components({i: brute_simhash(t) for i, t in kept.items()})
+    kept = {i: kept[i] for i in set(comp.values())}
+    left = spark.createDataFrame(list(kept.items()), "doc_id bigint, text string")
+    leaked = {r.doc_id for r in decontaminate.leaks(left, read(spark, sf, "benchmark")).collect()}
+    got = {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == set(kept) - leaked and leaked

@@ -32,6 +32,8 @@ SEED = 42
 BITS = 64
 #: Fingerprints that a bucket compares at once; larger ones are split by further masks.
 LARGEST = 2048
+#: Open bits down to which masks split a bucket.
+FEW = 11
 
 
 def simhash(text: str) -> int:
@@ -102,6 +104,10 @@ def _bucket_links(radius: int, largest: int):
                     for i in np.flatnonzero(root != np.arange(len(values))):
                         out.append((0, 0, int(values[i].view(np.int64)), int(values[root[i]].view(np.int64))))
 
+        def divisible(row: np.ndarray) -> bool:
+            """Buckets of few open bits hold at most 2^FEW fingerprints and are always compared."""
+            return (int(row[0]) & ((1 << BITS) - 1)).bit_count() > FEW
+
         def batch_of(out: list) -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["large", "open", "fp", "root"])
@@ -122,13 +128,13 @@ def _bucket_links(radius: int, largest: int):
                 if len(whole):
                     cut = np.flatnonzero(np.any(whole[1:, :2] != whole[:-1, :2], axis=1)) + 1
                     edges = [0, *cut.tolist(), len(whole)]
-                    large = [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > largest]
+                    large = [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > largest and divisible(whole[a])]
                     keep = np.ones(len(whole), bool)
                     for a, b in large:
                         keep[a:b] = False
                         out += [(1, int(o), int(f), 0) for o, _, f in whole[a:b].tolist()]
                     links(whole[keep], out)
-                if len(held) > largest:
+                if len(held) > largest and divisible(held[-1]):
                     passing = held[-1, :2].copy()
                     out += [(1, int(o), int(f), 0) for o, _, f in held.tolist()]
                     held = held[:0]

@@ -111,7 +111,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, terms: int = TERMS, factors: int
     p = [np.array([np.log(share / (1 - share))]), np.zeros(k), rng.normal(0, 0.05, (k, factors))]
     m, s = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     decay, step = (0.0, 1e-4, 1e-3), 0
-    for _ in range(max(rounds, 10_000 * rounds // len(y))):
+    for _ in range(max(rounds, min(300, 10_000 * rounds // len(y)))):
         order = rng.permutation(len(y))
         for at in range(0, len(y), 256):
             part = order[at : at + 256]
@@ -127,7 +127,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, terms: int = TERMS, factors: int
             np.add.at(grad[2], idx, g[row, None] * (total[row] - v))
             step += 1
             for x, d, mx, sx, l2 in zip(p, grad, m, s, decay, strict=True):
-                d += l2 * x
+                d = d + l2 * x
                 mx += 0.1 * (d - mx)
                 sx += 0.001 * (d * d - sx)
                 x -= rate * (mx / (1 - 0.9**step)) / (np.sqrt(sx / (1 - 0.999**step)) + 1e-8)
