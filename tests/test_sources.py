@@ -70,8 +70,8 @@ def test_preference_strict_leaves_out_all_same_modalities(spark):
     key = spark.createDataFrame([("p1", "web", "rv", "ss", True), ("p2", "fig", "ss", "rv", True)], "pair_id string, modality string, A_condition string, B_condition string, decisive boolean")
     votes = spark.createDataFrame([("r", "p1", "A"), ("r", "p2", "same"), ("r", "p9", "A")], "rater_id string, pair_id string, choice string")
     j = M.judge_votes(votes, key)
-    assert {r["modality"]: (r["rv"], r["same"]) for r in M.preference(j).collect()} == {"web": (1, 0), "fig": (0, 1), "OVERALL": (1, 1)}
-    assert {r["modality"]: (r["rv"], r["same"]) for r in M.preference(j, strict=True).collect()} == {"web": (1, 0), "OVERALL": (1, 0)}
+    assert {r["modality"]: (r["rv"], r["same"]) for r in M.preference(j).collect()} == {"web": (1, 0), "OVERALL": (1, 0)}
+    assert {r["modality"]: (r["a"], r["b"], r["same"]) for r in M.tie_control(j).collect()} == {"web": (0, 0, 0), "OVERALL": (0, 0, 0)}
 
 
 def test_golden_code_suite(spark, tmp_path):

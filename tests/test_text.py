@@ -124,8 +124,35 @@ def test_first_json(spark, text, want):
 
 
 @pytest.mark.parametrize("raw,want", [(r"a\n\\n\"", 'a\n\\n"'), (r"\u0041\uZZZZ.", "A\\uZZZZ."), (r"A\uZZ", "AuZZ"), (r"\d\/", "d/"), ("end\\", "end\\")])
-def test_unescape_is_one_pass(raw, want):
-    assert X.unescape(raw) == want
+def test_unescape_is_one_pass(spark, raw, want):
+    assert X.unescape(spark.createDataFrame([(raw,)], "s string"), "s", "o").first()["o"] == want
+
+
+def test_unescape_pairs_and_halves(spark):
+    df = spark.createDataFrame([(r"\ud83d\ude00\u00e9 \ud83d!",), ("x" * 200_000 + "\\n",), (None,)], "s string")
+    got = [r["o"] for r in X.unescape(df, "s", "o").collect()]
+    assert got == ["😀é \\ud83d!", "x" * 200_000 + "\n", None]
+
+
+def test_first_json_of_long_texts(spark):
+    text = '{"a": "' + "{\\\"" * 50_000 + '", "b": [' + "{}," * 20_000 + "1]}"
+    df = spark.createDataFrame([("x " + text + " y",), (None,)], "t string")
+    assert [r["o"] for r in X.first_json(df, "t", "o").collect()] == [text, None]
+
+
+def test_unclosed_file_and_timeout(spark):
+    text = (
+        '<tool_call>{"name": "bash", "arguments": {"command": "ls", "timeout": 30, oops}}</tool_call>'
+        '<tool_call>{"name": "write_file", "arguments": {"path": "a", "content": "see <tool_call>"}}'
+        '<tool_call>{"name": "write_file", "arguments": {"path": "b.py", "content": "print(1)\\nleft open'
+    )
+    df = spark.createDataFrame([(1, text)], "id int, t string")
+    got = [(r["name"], json.loads(r["arguments"]), r["closed"]) for r in X.open_tool_calls(df, "t").orderBy("pos").collect()]
+    assert got == [
+        ("bash", {"command": "ls", "timeout": 30}, True),
+        ("write_file", {"path": "a", "content": "see <tool_call>"}, False),
+        ("write_file", {"path": "b.py", "content": "print(1)\nleft open"}, False),
+    ]
 
 
 def test_lenient_tool_calls(spark):
@@ -162,12 +189,10 @@ def test_broken_open_calls_are_salvaged(spark):
     ]
 
 
-def test_syntax_report(spark):
-    df = spark.createDataFrame([(1, "def a(): pass"), (2, "def ("), (3, "def a(): pass")], "id int, c string")
-    got = {r["id"]: r for r in R.syntax_report(df, "id", "c").collect()}
-    assert got[1]["valid"] and got[3]["num_functions"] == 1 and not got[2]["valid"]
-
+def test_only_the_text_true_is_true(spark):
+    from trialyst.operators import normalize as N
 
-def test_asserts_fall_back_to_lines(spark):
-    df = spark.createDataFrame([(1, "assert a\n  assert (b\nx")], "id int, c string")
-    assert [r["statement"] for r in R.explode_asserts(df, "id", "c").collect()] == ["assert a", "  assert (b"]
+    df = spark.createDataFrame([("True", True), ("true", False), ("TRUE", None), ("1", True), (None, True)], "s string, b boolean")
+    got = df.select(N.as_bool(df, "s").alias("s"), N.as_bool(df, "b").alias("b")).collect()
+    assert [r["s"] for r in got] == [True, False, False, False, False]
+    assert [r["b"] for r in got] == [True, False, False, True, True]

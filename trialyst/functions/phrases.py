@@ -101,7 +101,7 @@ REPAIR_PROMPT = (
     "```python\n{test_code}\n```"
 )
 REWARD_PROMPT = (
-    "You are an AI agent solving a task with interaction scaling.\n"
+    "You are an AI agent solving a task step by step.\n"
     "Budget: {budget} steps.\n"
     "Task type: {task_type}\n\n"
     "Task:\n{task}\n\n"

@@ -76,9 +76,10 @@ def scored_pairs(df: DataFrame, metric: str) -> DataFrame:
     return df.filter(F.col(f"ss_{metric}").isNotNull() & F.col(f"rv_{metric}").isNotNull())
 
 
-def as_bool(col: Column) -> Column:
-    """True only for a true boolean or the text True; anything else is false."""
-    return F.coalesce(F.lower(col.cast("string")) == "true", F.lit(False))
+def as_bool(df: DataFrame, column: str) -> Column:
+    """A boolean column as it is; of texts only "True" is true. Null is false."""
+    c = F.col(column)
+    return F.coalesce(c if df.schema[column].dataType.simpleString() == "boolean" else c.cast("string") == "True", F.lit(False))
 
 
 def sft_eligible(df: DataFrame, min_reward: float = 0.5) -> DataFrame:

@@ -53,16 +53,16 @@ def vote_totals(votes: DataFrame, key: DataFrame) -> DataFrame:
     )
 
 
-def preference(judged: DataFrame, strict: bool = False) -> DataFrame:
+def _listed(judged: DataFrame) -> DataFrame:
+    """Votes of modalities with a preference: any other choice than "same" on a decisive or an equal pair."""
+    prefers = F.when(F.col("decisive"), F.col("picked") != "same").otherwise(F.col("choice") != "same")
+    return judged.join(judged.filter(prefers).select("modality").distinct(), "modality", "left_semi")
+
+
+def preference(judged: DataFrame) -> DataFrame:
     """Preference for the reviewed side on decisive pairs, by modality and
-    overall. ``strict`` leaves out modalities whose only votes are "same" on
-    decisive pairs, and so their "same" votes in the overall row."""
-    votes = judged
-    if strict:
-        listed = judged.filter(
-            (F.col("decisive") & (F.col("picked") != "same")) | (~F.col("decisive") & (F.col("choice") != "same"))
-        ).select("modality").distinct()
-        votes = judged.join(listed, "modality", "left_semi")
+    overall. Modalities whose only votes are "same" are in neither."""
+    votes = _listed(judged)
     dec = F.col("decisive")
     g = votes.rollup("modality").agg(
         F.count_if(dec & (F.col("picked") == "rv")).alias("rv"),
@@ -80,11 +80,12 @@ def preference(judged: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def tie_control(judged: DataFrame) -> DataFrame:
-    """Side counts and skew on pairs with equal defects; 50/50 is expected."""
-    c = F.col("choice")
-    g = judged.filter(~F.col("decisive")).rollup("modality").agg(
-        F.count_if(c == "A").alias("a"), F.count_if(~c.isin("A", "same")).alias("b"),
-        F.count_if(c == "same").alias("same"), F.grouping("modality").alias("__g"),
+    """Side counts and skew on pairs with equal defects; 50/50 is expected.
+    The modalities are those of ``preference``, also without such a pair."""
+    c, equal = F.col("choice"), ~F.col("decisive")
+    g = _listed(judged).rollup("modality").agg(
+        F.count_if(equal & (c == "A")).alias("a"), F.count_if(equal & ~c.isin("A", "same")).alias("b"),
+        F.count_if(equal & (c == "same")).alias("same"), F.grouping("modality").alias("__g"),
     )
     return g.select(
         F.when(F.col("__g") == 1, "OVERALL").otherwise(F.col("modality")).alias("modality"), "a", "b", "same",
@@ -107,9 +108,3 @@ def rater_agreement(votes: DataFrame, order: str = "pos") -> DataFrame:
         F.coalesce((F.sum(F.col("raters") * (F.col("raters") - 1)) / 2).cast("bigint"), F.lit(0)).alias("total"),
     )
     return out.withColumn("agreement", safe_ratio("agree", "total"))
-
-
-def invalid_choices(votes: DataFrame) -> DataFrame:
-    """Votes whose choice is none of A, B and same; the tallies count them as
-    single-shot or side B."""
-    return votes.filter(F.col("choice").isNull() | ~F.col("choice").isin("A", "B", "same"))

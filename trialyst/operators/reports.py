@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -278,65 +277,3 @@ def recovery_report(before: DataFrame, after: DataFrame, blocks: DataFrame) -> D
 def leak_rate(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Share of examples the comment scrubber would change."""
     return df.groupBy(*by).agg(rows().alias("n"), rate(scrub(F.col(column)) != F.col(column)).alias("leak_rate"))
-
-
-# --- code --------------------------------------------------------------------
-
-
-def _syntax(code: str) -> tuple:
-    try:
-        body = ast.parse(code).body
-    except SyntaxError as e:
-        return False, f"SyntaxError at line {e.lineno}: {e.msg}", 0, 0
-    except ValueError as e:
-        return False, f"ValueError: {e}", 0, 0
-    funcs = sum(isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) for n in body)
-    return True, None, funcs, sum(isinstance(n, ast.ClassDef) for n in body)
-
-
-def syntax_report(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Whether each code text parses, the error, and its top-level definitions.
-    Equal codes are parsed once."""
-    unique = df.select(F.col(column).alias("code")).filter(F.col("code").isNotNull()).distinct()
-
-    def run(batches):
-        for b in batches:
-            found = [_syntax(c) for c in b["code"]]
-            yield pd.DataFrame(
-                {
-                    "code": b["code"],
-                    "valid": [f[0] for f in found],
-                    "error": [f[1] for f in found],
-                    "num_functions": [f[2] for f in found],
-                    "num_classes": [f[3] for f in found],
-                }
-            )
-
-    checked = unique.mapInPandas(run, "code string, valid boolean, error string, num_functions bigint, num_classes bigint")
-    return df.select(key, F.col(column).alias("code")).join(checked, "code").drop("code")
-
-
-def _statements(test_code: str) -> list[tuple[str, bool]]:
-    try:
-        body = ast.parse(test_code).body
-    except SyntaxError:
-        return [(x, True) for x in test_code.splitlines() if x.strip().startswith("assert")]
-    lines = test_code.splitlines(keepends=True)
-    return [("".join(lines[n.lineno - 1 : n.end_lineno]), isinstance(n, ast.Assert)) for n in body]
-
-
-def explode_asserts(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Top-level statements of a test text in order, with an assert flag."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for b in batches:
-            out = [
-                (k, i, src, flag)
-                for k, code in zip(b[key], b[column])
-                if code is not None
-                for i, (src, flag) in enumerate(_statements(code))
-            ]
-            yield pd.DataFrame(out, columns=[key, "pos", "statement", "is_assert"])
-
-    return df.select(key, column).mapInPandas(run, f"`{key}` {kind}, pos bigint, statement string, is_assert boolean")

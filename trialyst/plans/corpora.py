@@ -574,7 +574,7 @@ def _(spark, sf):
 
 @query(
     "to_reward_rows",
-    f"""WITH {RESULTS}{_DESCR}, n AS (SELECT *, {_NSTEPS} AS k, {_NFB} AS fb FROM rd) SELECT task_id, md5(concat('You are an AI agent solving a task with interaction scaling.', {_N}, 'Budget: 5 steps.', {_N}, 'Task type: code', {_N}, {_N}, 'Task:', {_N}, descr, {_N}, {_N},
+    f"""WITH {RESULTS}{_DESCR}, n AS (SELECT *, {_NSTEPS} AS k, {_NFB} AS fb FROM rd) SELECT task_id, md5(concat('You are an AI agent solving a task step by step.', {_N}, 'Budget: 5 steps.', {_N}, 'Task type: code', {_N}, {_N}, 'Task:', {_N}, descr, {_N}, {_N},
       'Solve this task. Use [EXECUTE] to test your solution, [REVIEW] to analyze feedback, and [SUBMIT] when done.', {_N}, 'Output complete code/content in every [GENERATE] response.')) AS prompt,
     CAST(fb AS BIGINT) AS n_feedback, CAST(CASE WHEN rv_meets THEN 1 ELSE 0 END AS DOUBLE) AS reward FROM n""",
 )

@@ -239,8 +239,8 @@ def _wilson_sql(k, n, sign):
 
 @query(
     "preference",
-    f"""WITH {JUDGED}, g AS (SELECT coalesce(modality, 'OVERALL') AS modality, count(*) FILTER (WHERE decisive AND picked = 'rv') AS rv,
-      count(*) FILTER (WHERE decisive AND picked = 'ss') AS ss, count(*) FILTER (WHERE decisive AND picked = 'same') AS same FROM jv GROUP BY ROLLUP (modality)),
+    f"""WITH {JUDGED}, listed AS (SELECT DISTINCT modality FROM jv WHERE CASE WHEN decisive THEN picked <> 'same' ELSE choice <> 'same' END), g AS (SELECT coalesce(modality, 'OVERALL') AS modality, count(*) FILTER (WHERE decisive AND picked = 'rv') AS rv,
+      count(*) FILTER (WHERE decisive AND picked = 'ss') AS ss, count(*) FILTER (WHERE decisive AND picked = 'same') AS same FROM jv WHERE modality IN (SELECT modality FROM listed) GROUP BY ROLLUP (modality)),
     h AS (SELECT *, CAST(rv AS DOUBLE) AS k, CAST(rv + ss AS DOUBLE) AS n FROM g)
     SELECT modality, rv, ss, same, round(k / nullif(n, 0), 9) AS fraction, round({_wilson_sql('k', 'n', '-')}, 9) AS lo, round({_wilson_sql('k', 'n', '+')}, 9) AS hi,
     round({sign_sql('rv', 'ss')}, 8) AS p, round(same / nullif(n + same, 0), 9) AS same_rate FROM h""",
@@ -263,13 +263,14 @@ def _(spark, sf):
 def _(spark, sf):
     # one modality keeps its "same" votes only, and so drops out
     votes = _judged(spark, sf).filter((F.col("modality") != "BUILDING") | (F.col("choice") == "same"))
-    return M.preference(votes, strict=True).select("modality", "rv", "ss", "same")
+    return M.preference(votes).select("modality", "rv", "ss", "same")
 
 
 @query(
     "tie_control",
-    f"""WITH {JUDGED}, g AS (SELECT coalesce(modality, 'OVERALL') AS modality, count(*) FILTER (WHERE choice = 'A') AS a,
-      count(*) FILTER (WHERE choice NOT IN ('A', 'same')) AS b, count(*) FILTER (WHERE choice = 'same') AS same FROM jv WHERE NOT decisive GROUP BY ROLLUP (modality))
+    f"""WITH {JUDGED}, listed AS (SELECT DISTINCT modality FROM jv WHERE CASE WHEN decisive THEN picked <> 'same' ELSE choice <> 'same' END), g AS (SELECT coalesce(modality, 'OVERALL') AS modality, count(*) FILTER (WHERE NOT decisive AND choice = 'A') AS a,
+      count(*) FILTER (WHERE NOT decisive AND choice NOT IN ('A', 'same')) AS b, count(*) FILTER (WHERE NOT decisive AND choice = 'same') AS same FROM jv
+      WHERE modality IN (SELECT modality FROM listed) GROUP BY ROLLUP (modality))
     SELECT modality, a, b, same, coalesce(round(abs(a - b) / nullif(CAST(a + b AS DOUBLE), 0), 9), 0) AS skew, round({sign_sql('a', 'b')}, 8) AS p FROM g""",
 )
 def _(spark, sf):

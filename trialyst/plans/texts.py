@@ -412,34 +412,6 @@ def _(spark, sf):
     return R.recovery_report(before, after, blocks)
 
 
-# --- code --------------------------------------------------------------------
-
-
-@query(
-    "syntax_report",
-    """SELECT doc_id, doc_id % 3 <> 2 AS valid, CASE WHEN doc_id % 3 = 2 THEN 'SyntaxError at line 1: ''('' was never closed' END AS error,
-    CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS num_functions, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS num_classes FROM documents""",
-)
-def _(spark, sf):
-    i, n = F.col("doc_id") % 3, F.col("n_chars").cast("string")
-    code = F.when(i == 0, F.concat(F.lit("def a():\n    return "), n, F.lit("\nasync def b(): pass\nclass C:\n    def m(self): pass\n")))
-    code = code.when(i == 1, F.concat(F.lit("x = "), n)).otherwise(F.concat(F.lit("f("), n))
-    d = fx.table(spark, sf, "documents").select("doc_id", code.alias("code"))
-    return R.syntax_report(d, "doc_id", "code")
-
-
-@query(
-    "explode_asserts",
-    """SELECT doc_id, CAST(p AS BIGINT) AS pos, CASE p WHEN 0 THEN concat('x = ', CAST(n_chars AS VARCHAR), chr(10)) WHEN 1 THEN concat('assert (x ==', chr(10), '  ', CAST(n_chars AS VARCHAR), ')', chr(10)) ELSE 'assert x' END AS statement, p > 0 AS is_assert
-    FROM documents, (VALUES (0), (1), (2)) v(p)""",
-)
-def _(spark, sf):
-    n = F.col("n_chars").cast("string")
-    code = F.concat(F.lit("x = "), n, F.lit("\nassert (x ==\n  "), n, F.lit(")\nassert x"))
-    d = fx.table(spark, sf, "documents").select("doc_id", code.alias("code"))
-    return R.explode_asserts(d, "doc_id", "code")
-
-
 # --- budgets -----------------------------------------------------------------
 
 
