@@ -32,20 +32,15 @@ def test_draws_match_a_plain_loop(spark, pairs):
         assert got[g] == (n, vals[2], vals[97])
 
 
-def test_counts_agree_with_draws(pairs):
-    a, b = _ci(pairs, resamples=2000, seed=1), _ci(pairs, resamples=2000, seed=1, draw_limit=0)
-    for g in a:
-        assert b[g][1] == pytest.approx(a[g][1], abs=0.05)
-        assert b[g][2] == pytest.approx(a[g][2], abs=0.05)
-
-
-def test_chunked_counts_use_every_draw(pairs, monkeypatch):
-    monkeypatch.setattr(I, "CHUNK_VALUES", 5)
-    sums = I._sums_by_counts(pairs.withColumn("b", pairs.a * 0 + 1), "g", 40, 3).collect()
-    assert len(sums) == 80
-    # b is 1 everywhere, so each resample must add up to the group size
-    assert {r["sb"] for r in sums} == {400.0}
-
-
-def test_counts_do_not_depend_on_partitioning(pairs):
-    assert _ci(pairs.repartition(1), resamples=300, draw_limit=0) == _ci(pairs.repartition(17), resamples=300, draw_limit=0)
+def test_one_more_pair_stays_in_the_same_method(spark, pairs):
+    """A group's interval does not depend on other groups, partitions or on any size limit."""
+    whole = _ci(pairs, resamples=300, seed=2)
+    assert _ci(pairs.repartition(1), resamples=300, seed=2) == whole == _ci(pairs.repartition(17), resamples=300, seed=2)
+    assert _ci(pairs.filter("g = 'x'"), resamples=300, seed=2)["x"] == whole["x"]
+
+
+def test_order_of_equal_pairs_does_not_matter(spark, pairs):
+    by_value = {r["g"]: (r["lo"], r["hi"]) for r in I.bootstrap_ci(pairs.drop("id"), "g", "mean_delta", resamples=300, seed=2).collect()}
+    shuffled = pairs.selectExpr("g", "id * 7919 % 400 as id", "a", "b")
+    again = {r["g"]: (r["lo"], r["hi"]) for r in I.bootstrap_ci(shuffled, "g", "mean_delta", ["a", "b", "id"], resamples=300, seed=2).collect()}
+    assert by_value == again

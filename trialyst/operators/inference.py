@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +9,6 @@ from trialyst.functions.prng import draw_below
 from trialyst.functions.stats import safe_ratio, sign_test
 from trialyst.operators.summary import rows
 
-# Groups up to this size are resampled draw by draw, larger ones through counts.
-DRAW_LIMIT = 100_000
-# Distinct value pairs per task, and resamples per task, in the count method.
-CHUNK_VALUES = 20_000
-BLOCK = 250
-
-
 def sign_test_pairs(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """Plus, minus and tied pairs of two boolean outcomes with the exact p."""
     x, y = F.coalesce(a, F.lit(False)), F.coalesce(b, F.lit(False))
@@ -77,8 +66,11 @@ def _interval(sums: DataFrame, sizes: DataFrame, by: str, stat: str, resamples:
     )
 
 
-def _sums_by_draws(pairs: DataFrame, sizes: DataFrame, by: str, order: list[str], resamples: int, seed) -> DataFrame:
-    """Each draw picks row hash(seed, group, resample, j) mod n of its group."""
+def _sums(pairs: DataFrame, sizes: DataFrame, by: str, order: list[str], resamples: int, seed) -> DataFrame:
+    """Each draw picks row hash(seed, group, resample, j) mod n of its group.
+    Draws are made where their resample is summed, so they are only shuffled
+    if the pairs are too many to be sent to them. The window that numbers a
+    group's n rows is small against the n draws of each resample."""
     w = Window.partitionBy(by).orderBy(*order)
     indexed = pairs.select(by, "a", "b", (F.row_number().over(w) - 1).cast("bigint").alias("ix"))
     draws = (
@@ -90,60 +82,6 @@ def _sums_by_draws(pairs: DataFrame, sizes: DataFrame, by: str, order: list[str]
     return draws.join(indexed, [by, "ix"]).groupBy(by, "r").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
 
 
-def _resample_chunk(by: str, resamples: int, seed: int):
-    """Multinomial counts of one chunk of a group's histogram, for one block
-    of resamples. The split of n over chunks is drawn from a generator that
-    depends on (seed, group, resample) only, so all tasks agree on it."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        group, chunk, block = key
-        pdf = pdf.sort_values(["a", "b"])
-        totals = np.asarray(pdf["totals"].iloc[0], dtype=np.int64)
-        n = int(totals.sum())
-        counts = pdf["c"].to_numpy(np.int64)
-        share = counts / counts.sum()
-        a, b = pdf["a"].to_numpy(float), pdf["b"].to_numpy(float)
-        tag = zlib.crc32(str(group).encode())
-        out = []
-        for r in range(int(block) * BLOCK, min((int(block) + 1) * BLOCK, resamples)):
-            take = n
-            if len(totals) > 1:
-                split = np.random.default_rng([seed, tag, r]).multinomial(n, totals / n)
-                take = int(split[int(chunk)])
-            m = np.random.default_rng([seed, tag, r, int(chunk) + 1]).multinomial(take, share)
-            out.append((group, r, float(m @ a), float(m @ b)))
-        return pd.DataFrame(out, columns=[by, "r", "sa", "sb"])
-
-    return run
-
-
-def _sums_by_counts(pairs: DataFrame, by: str, resamples: int, seed: int) -> DataFrame:
-    """Equal pairs are counted first. Long histograms are cut into chunks, and
-    every (chunk, block of resamples) is an independent task."""
-    hist = pairs.groupBy(by, "a", "b").agg(rows().alias("c"))
-    distinct = hist.groupBy(by).agg(rows().alias("d"))
-    n_chunks = F.ceil(F.col("d") / CHUNK_VALUES).cast("bigint")
-    placed = hist.join(distinct, by).withColumn(
-        "chunk", F.pmod(F.xxhash64("a", "b"), n_chunks).cast("int")
-    )
-    totals = (
-        placed.groupBy(by, "chunk").agg(F.sum("c").alias("t"))
-        .groupBy(by).agg(F.sort_array(F.collect_list(F.struct("chunk", "t"))).alias("ct"))
-        .select(by, F.transform("ct", lambda s: s["chunk"]).alias("ids"), F.transform("ct", lambda s: s["t"]).alias("totals"))
-    )
-    blocks = (resamples + BLOCK - 1) // BLOCK
-    work = (
-        placed.join(totals, by)
-        .withColumn("chunk", (F.array_position("ids", F.col("chunk")) - 1).cast("int"))
-        .select(by, "chunk", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"), "c", "totals",
-                F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    )
-    kind = pairs.schema[by].dataType.simpleString()
-    schema = f"`{by}` {kind}, r bigint, sa double, sb double"
-    parts = work.groupBy(by, "chunk", "block").applyInPandas(_resample_chunk(by, resamples, seed), schema)
-    return parts.groupBy(by, "r").agg(F.sum("sa").alias("sa"), F.sum("sb").alias("sb"))
-
-
 def bootstrap_ci(
     pairs: DataFrame,
     by: str,
@@ -151,23 +89,12 @@ def bootstrap_ci(
     order: list[str] | None = None,
     resamples: int = 10_000,
     seed: int = 0,
-    draw_limit: int = DRAW_LIMIT,
 ) -> DataFrame:
     """Paired bootstrap 95% interval of each group; ``pairs`` has columns
-    (by, a, b). Small groups are resampled draw by draw with the portable hash
-    and need a total ``order``; groups above ``draw_limit`` use exact
-    multinomial counts. ``draw_limit=0`` uses counts throughout."""
+    (by, a, b). Every group, of any size, is resampled draw by draw with the
+    portable hash: n draws for each resample, over the group's rows in a total
+    ``order`` (by default their values, as equal pairs are interchangeable)."""
     clean = pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     sizes = clean.groupBy(by).agg(rows().alias("n"))
-    parts = []
-    if draw_limit > 0:
-        small = sizes.filter(F.col("n") <= draw_limit)
-        rows_small = clean.join(small.select(by), by, "left_semi")
-        parts.append(_sums_by_draws(rows_small, small, by, order or ["a", "b"], resamples, seed))
-    large = sizes.filter(F.col("n") > draw_limit)
-    rows_large = clean.join(large.select(by), by, "left_semi") if draw_limit > 0 else clean
-    parts.append(_sums_by_counts(rows_large, by, resamples, seed))
-    sums = parts[0].select(by, F.col("r").cast("bigint").alias("r"), F.col("sa").cast("double").alias("sa"), F.col("sb").cast("double").alias("sb"))
-    for extra in parts[1:]:
-        sums = sums.unionByName(extra)
+    sums = _sums(clean, sizes, by, order or ["a", "b"], resamples, seed)
     return _interval(sums, sizes, by, stat, resamples)
