@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from trialyst.operators import normalize as N
 from trialyst.operators import raters as M

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,7 +80,8 @@ def test_truncate_middle_keeps_the_limit(spark):
 def test_signature_needs_only_visible_characters(spark):
     text = (" \n\t" * 500).join("Ab" for _ in range(150)) + "tail"
     want = " ".join(text.lower().split())[:200]
-    assert _one(spark, text, T.desc_signature) == want
+    assert _one(spark, text, lambda c: T.desc_signature(c, 200)) == want
+    assert _one(spark, text, T.desc_signature) == re.sub(r"\s+", " ", text.lower())
 
 
 def test_title_case_restarts_after_digits(spark):

@@ -57,8 +57,8 @@ def rstrip(col) -> Column:
     return F.regexp_replace(_c(col), rf"{WS}+\z", "")
 
 
-def head(col, n: int) -> Column:
-    return F.substring(_c(col), 1, n)
+def head(col, n: int | None) -> Column:
+    return _c(col) if n is None else F.substring(_c(col), 1, n)
 
 
 def keep_tail(col, n: int) -> Column:
@@ -153,12 +153,10 @@ def scrub(col) -> Column:
     return F.regexp_replace(c, "\n\n\n+", "\n\n")
 
 
-def desc_signature(col) -> Column:
-    """Lower case, white space collapsed to single blanks, first 200 characters.
-    Those come from the first 200 visible characters, so the rest of a long
-    text need not be rewritten."""
-    needed = F.regexp_extract(_c(col), rf"^(?:{WS}*+{NON_WS}){{0,200}}+{WS}*+", 0)
-    return head(F.regexp_replace(F.lower(needed), rf"{WS}+", " "), 200)
+def desc_signature(col, chars: int | None = None) -> Column:
+    """Lower case, white space collapsed to single blanks; the whole text
+    unless ``chars`` cuts it."""
+    return head(F.regexp_replace(F.lower(_c(col)), rf"{WS}+", " "), chars)
 
 
 def convert_markers(col, target: str = "tags") -> Column:

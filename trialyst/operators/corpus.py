@@ -15,8 +15,6 @@ from trialyst.functions.text import (
     convert_markers,
     extract_artifact,
     flatten_content,
-    head,
-    keep_tail,
     percent,
     scrub,
     strip,
@@ -69,14 +67,14 @@ def _or_blank(c: Column) -> Column:
 
 
 def tool_result(execution: Column) -> Column:
-    """Execution outcome as JSON text, outputs cut to their last 800 characters."""
+    """Execution outcome as JSON text, with whole outputs."""
     blank = F.lit("")
     return F.to_json(
         F.struct(
             execution["passed"].alias("passed"),
             execution["error"].alias("error"),
-            keep_tail(F.coalesce(execution["stdout"], blank), 800).alias("stdout"),
-            keep_tail(F.coalesce(execution["stderr"], blank), 800).alias("stderr"),
+            F.coalesce(execution["stdout"], blank).alias("stdout"),
+            F.coalesce(execution["stderr"], blank).alias("stderr"),
         ),
         {"ignoreNullFields": "false"},
     )
@@ -374,7 +372,7 @@ def quota_sample(df: DataFrame, ratios: dict[str, float] = QUOTA, total: int = 0
         else F.min(F.when(F.col("share") > 0, F.floor(F.col("n") / F.col("share")).cast("bigint"))).over(Window.partitionBy(F.lit(1)))
     )
     quota = counts.withColumn("n_take", F.bround(F.col("share") * limit, 0).cast("bigint")).filter(F.col("n_take") > 0)
-    return take_by_rank(named, ["stratum"], draw(seed, key), [key], quota.select("stratum", "n_take"), few_groups=True)
+    return take_by_rank(named, ["stratum"], draw(seed, key), [key], quota.select("stratum", "n_take"))
 
 
 def assign_strata(tasks: DataFrame, fraction: float, seed, key: str = "task_id") -> DataFrame:
@@ -382,7 +380,7 @@ def assign_strata(tasks: DataFrame, fraction: float, seed, key: str = "task_id")
     # one group of everything; a computed key keeps its joins hash joins
     whole = tasks.withColumn("__all", draw(seed, key) % 1)
     quota = whole.groupBy("__all").agg(F.bround(rows() * F.lit(fraction), 0).cast("bigint").alias("n_take")).filter(F.col("n_take") > 0)
-    chosen = take_by_rank(whole.select("__all", key), ["__all"], draw(seed, key), [key], quota, few_groups=True).select(
+    chosen = take_by_rank(whole.select("__all", key), ["__all"], draw(seed, key), [key], quota).select(
         key, F.lit("no_revise").alias("__s")
     )
     return tasks.join(chosen, key, "left").withColumn("target", F.coalesce("__s", F.lit("revise"))).drop("__s")
@@ -428,7 +426,7 @@ def to_reward_rows(traces: DataFrame) -> DataFrame:
         heard = F.concat(F.lit("[FEEDBACK]:\n"), s["feedback"])
         return F.when(F.length(s["feedback"]) > 0, F.array(s["output_text"], heard)).otherwise(F.array(s["output_text"]))
 
-    prompt = fill(P.REWARD_PROMPT, budget=F.col("budget_steps"), task_type=F.col("task_type"), task=head("task_description", 3000))
+    prompt = fill(P.REWARD_PROMPT, budget=F.col("budget_steps"), task_type=F.col("task_type"), task=F.col("task_description"))
     return traces.select(
         "task_id", "task_type", prompt.alias("prompt"),
         F.array_join(F.flatten(F.transform("steps", step)), "\n\n").alias("completion"), F.col("final_reward").alias("reward"),
@@ -509,7 +507,7 @@ def code_traces(results: DataFrame, tasks: DataFrame) -> DataFrame:
 
     draft = _given(F.col("ss_final_code"), attempt(first))
     fixed = _given(F.col("rv_final_code"), attempt(F.lit(True)))
-    tests = head(F.coalesce("test_code", F.lit("")), 2000)
+    tests = F.coalesce("test_code", F.lit(""))
     opening = F.array(
         _step("generate", fill(T["generate_in"], desc=F.col("description"), tests=tests), fill(T["generate_out"], code=draft)),
         _step("execute", T["execute_in"], "[EXECUTE]", F.when(first, T["passed"]).otherwise(fill(T["stderr"], hint=hint))),
@@ -545,9 +543,9 @@ def visual_traces(results: DataFrame, tasks: DataFrame, kind: str = "slide") ->
     df = scored.join(tasks.select("task_id", "description", "requirements", "expected_issues"), "task_id")
     ss, rv = F.col("ss_quality"), F.col("rv_quality")
     items = F.array_join(
-        F.transform(F.slice("requirements", F.lit(1), F.lit(5)), lambda r: F.concat(F.lit("    <!-- Requirement: "), r, F.lit(" -->"))), "\n"
+        F.transform("requirements", lambda r: F.concat(F.lit("    <!-- Requirement: "), r, F.lit(" -->"))), "\n"
     )
-    stub = fill(T["stub"], title=kind.title(), kind=kind, items=items, desc=head("description", 200))
+    stub = fill(T["stub"], title=kind.title(), kind=kind, items=items, desc=F.col("description"))
     html = _given(F.col("ss_final_code"), stub)
     listed = F.get(F.col("expected_issues"), F.lit(0))
     issue = F.coalesce(listed, F.lit(T["none"]))
@@ -575,7 +573,7 @@ def video_traces(results: DataFrame, tasks: DataFrame) -> DataFrame:
     T = P.VIDEO
     df = results.join(tasks.select("task_id", "description", "requirements", "expected_issues", "source_video"), "task_id")
     ss, rv = F.coalesce("ss_quality", F.lit(0.0)), F.coalesce("rv_quality", F.lit(0.0))
-    stub = fill(T["stub"], desc=head("description", 200), source=F.coalesce("source_video", F.lit(T["source"])))
+    stub = fill(T["stub"], desc=F.col("description"), source=F.coalesce("source_video", F.lit(T["source"])))
     script = _given(F.col("ss_final_code"), stub)
     listed = F.get(F.col("expected_issues"), F.lit(0))
     bad = ss == 0
@@ -605,8 +603,8 @@ def research_traces(results: DataFrame, tasks: DataFrame) -> DataFrame:
     df = results.join(tasks.select("task_id", "description", "requirements"), "task_id")
     ss = F.coalesce("ss_accuracy", "ss_quality", F.lit(0.0))
     rv = F.coalesce("rv_accuracy", "rv_quality", F.lit(0.0))
-    sections = F.array_join(F.transform(F.slice("requirements", F.lit(1), F.lit(5)), lambda r: fill(T["section"], name=r)), "\n\n")
-    report = _given(F.col("ss_final_code"), fill(T["stub"], desc=head("description", 500), sections=sections))
+    sections = F.array_join(F.transform("requirements", lambda r: fill(T["section"], name=r)), "\n\n")
+    report = _given(F.col("ss_final_code"), fill(T["stub"], desc=F.col("description"), sections=sections))
     checked = F.when(ss >= 0.9, fill(T["verified"], q=percent(ss))).otherwise(fill(T["errors"], q=percent(ss)))
     opening = F.array(
         _step("generate", fill(T["generate_in"], desc=F.col("description"), reqs=_bullets()), fill(T["generate_out"], code=report)),

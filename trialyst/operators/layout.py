@@ -27,7 +27,6 @@ NOT_CARD_TAGS = [
     "table", "thead", "tbody", "tfoot", "tr", "td", "th", "svg", "g", "text", "tspan", "path", "rect",
     "circle", "line", "polygon", "ellipse", "html", "body", "ul", "ol", "li", "br", "hr",
 ]
-WEB_VIEWPORTS = ["1920x1080", "375x812"]
 # Side lengths of the search grids: a box lives in the finest one whose cells
 # are at least its size, so it touches at most four cells there.
 GRID_SIDES = [128.0 * 4**i for i in range(8)]
@@ -288,7 +287,7 @@ def defect_rows(boxes: DataFrame, docs: DataFrame) -> DataFrame:
             shape(
                 clipped(boxes, docs), "clipped", F.col("elem_id") + F.when(F.col("as_text"), 0).otherwise(1 << 40),
                 F.when(F.col("as_text"), F.col("text")).otherwise(
-                    F.concat("tag", F.lit(":"), F.substring(F.coalesce("text", F.lit("")), 1, 20))
+                    F.concat("tag", F.lit(":"), F.coalesce("text", F.lit("")))
                 ),
             )
         )
@@ -337,9 +336,10 @@ def animation_total(counts: DataFrame, include_alignment: bool = True) -> DataFr
     ).withColumn("clean", F.col("n_defects") == 0)
 
 
-def web_total(counts: DataFrame, include_alignment: bool = True) -> DataFrame:
-    """Sum over the desktop and the mobile width; a failed width counts 0."""
-    t = defect_total(counts.filter(F.col("viewport").isin(WEB_VIEWPORTS)), include_alignment)
+def web_total(counts: DataFrame, include_alignment: bool = True, viewports: list[str] | None = None) -> DataFrame:
+    """Sum over all measured widths of a page, or over ``viewports``; a failed
+    width counts 0."""
+    t = defect_total(counts if viewports is None else counts.filter(F.col("viewport").isin(viewports)), include_alignment)
     return t.groupBy("page_id").agg(
         F.coalesce(F.sum("n_defects"), F.lit(0)).alias("n_defects"), F.count(F.lit(1)).alias("n_widths")
     ).withColumn("clean", F.col("n_defects") == 0)

@@ -17,7 +17,7 @@ from trialyst.operators.summary import rate, rows
 SOURCE_ORDER = ["natural", "forced", "forced2", "three"]
 # fixed values: stratum by number of attempts
 STRATA = {1: "one_revise", 2: "two_revise", 3: "three_revise"}
-ERROR_CHARS = 180
+BEYOND = "more_revise"
 
 
 def _listing(values: list[str], column: str) -> Column:
@@ -206,14 +206,14 @@ def turns_to_pass(turns: DataFrame, key: str = "run_id", turn: str = "iteration"
 
 
 def with_stratum(traces: DataFrame) -> DataFrame:
-    """Stratum from the number of attempts. Traces whose last attempt failed,
-    or with more attempts than named strata, drop out."""
+    """Stratum from the number of attempts; more attempts than named strata
+    are ``more_revise``. Traces whose last attempt failed drop out."""
     n = F.size("attempts")
     named = F.when(n == 0, "no_revise")
     for count, name in STRATA.items():
         named = named.when(n == count, name)
     good_end = (n == 0) | F.element_at("attempts", -1)["exec"]["passed"]
-    return traces.filter(good_end).withColumn("stratum", named).filter(F.col("stratum").isNotNull())
+    return traces.filter(good_end).withColumn("stratum", named.otherwise(BEYOND))
 
 
 def last_artifact(turns: DataFrame, key: str = "run_id", turn: str = "iteration") -> DataFrame:
@@ -226,17 +226,17 @@ def last_artifact(turns: DataFrame, key: str = "run_id", turn: str = "iteration"
     )
 
 
-def error_history(iters: DataFrame) -> DataFrame:
-    """What each iteration has seen of earlier failures, cut to 180 characters
-    each, and whether its own error came up before. One array per iteration of
-    a run, whose length the iteration limit bounds."""
+def error_history(iters: DataFrame, chars: int | None = None) -> DataFrame:
+    """What each iteration has seen of earlier failures, whole unless ``chars``
+    cuts each, and whether its own whole error came up before. One array per
+    iteration of a run, whose length the iteration limit bounds."""
     w = Window.partitionBy("run_id").orderBy("iteration").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.left("error", F.lit(ERROR_CHARS))).over(w)
-    return iters.withColumn("history", seen).select(
-        "run_id", "iteration", "error", "history",
-        F.size("history").alias("n_prior"),
-        F.coalesce(F.array_contains("history", F.left("error", F.lit(ERROR_CHARS))), F.lit(False)).alias("recurs"),
-    )
+    own = Window.partitionBy("run_id", F.md5("error")).orderBy("iteration")
+    shown = F.col("error") if chars is None else F.left("error", F.lit(chars))
+    return iters.select(
+        "run_id", "iteration", "error", F.collect_list(shown).over(w).alias("history"),
+        (F.col("error").isNotNull() & (F.row_number().over(own) > 1)).alias("recurs"),
+    ).select("run_id", "iteration", "error", "history", F.size("history").alias("n_prior"), "recurs")
 
 
 def with_seq_id(df: DataFrame, prefix: str, order: list[str], chunk: Column, width: int = 4) -> DataFrame:

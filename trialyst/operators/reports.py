@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialyst.functions.text import head, percent, scrub
 from trialyst.operators.summary import rate, rows
 
-# fixed values: examples kept per defect kind, and the kinds in report order
-EXAMPLES = {"overlap": 12, "overflow": 8, "clipped": 8, "misalignment": 8, "scrollbar": 1}
-KINDS = list(EXAMPLES)
+# fixed values: the kinds in report order
+KINDS = ["overlap", "overflow", "clipped", "misalignment", "scrollbar"]
 # fixed values: report lines; {0} and {1} are the example texts, {tag} a width or frame
 LINES = {
     "page": {
@@ -50,28 +48,24 @@ def _fill(template: str, **cols: Column) -> Column:
     return F.concat(*out, F.lit(rest))
 
 
-def defect_text(defects: DataFrame, mode: str = "page") -> DataFrame:
-    """Feedback text per page: one line per example, at most the report's own
-    number of examples of each kind and tag. ``defects`` has page_id, tag,
-    kind, pos, first, second."""
+def defect_text(defects: DataFrame, mode: str = "page", limits: dict[str, int] | None = None) -> DataFrame:
+    """Feedback text per page: one line per defect. ``defects`` has page_id,
+    tag, kind, pos, first, second. ``limits`` may bound the lines of a kind and
+    tag; then ``n_left_out`` counts the defects without a line."""
     order = KIND_RANK.get(mode, KINDS)
-    limit = F.element_at(F.create_map(*[F.lit(x) for k in order for x in (k, EXAMPLES[k])]), F.col("kind"))
     kind_rank = F.array_position(F.array(*[F.lit(k) for k in order]), F.col("kind"))
     w = Window.partitionBy("page_id", "tag", "kind").orderBy("pos")
-    top = (
-        defects.filter(F.col("kind").isin(order))
-        .withColumn("rn", F.row_number().over(w))
-        .filter(F.col("rn") <= max(EXAMPLES.values()))
-        .filter(F.col("rn") <= limit)
-    )
+    top = defects.filter(F.col("kind").isin(order)).withColumn("rn", F.row_number().over(w))
+    shown = F.lit(True)
+    for kind, n in (limits or {}).items():
+        shown = shown & ((F.col("kind") != kind) | (F.col("rn") <= n))
     line = None
     for kind in order:
         text = _fill(LINES[mode][kind], **{"0": F.col("first"), "1": F.col("second"), "tag": F.col("tag")})
         line = F.when(F.col("kind") == kind, text) if line is None else line.when(F.col("kind") == kind, text)
-    lines = F.collect_list(F.struct("tag", kind_rank.alias("k"), "rn", line.alias("line")))
-    return top.groupBy("page_id").agg(
-        F.array_join(F.transform(F.array_sort(lines), lambda s: s["line"]), "\n").alias("feedback")
-    )
+    lines = F.collect_list(F.when(shown, F.struct("tag", kind_rank.alias("k"), "rn", line.alias("line"))))
+    text = F.array_join(F.transform(F.array_sort(lines), lambda s: s["line"]), "\n").alias("feedback")
+    return top.groupBy("page_id").agg(text, *([F.count_if(~shown).alias("n_left_out")] if limits else []))
 
 
 def review_text(issues: Column, suggestions: Column, confidence: Column) -> Column:
@@ -98,13 +92,12 @@ def review_text(issues: Column, suggestions: Column, confidence: Column) -> Colu
     return F.array_join(F.concat(first, second, last), "\n")
 
 
-def claim_text(claims: DataFrame) -> DataFrame:
-    """Fact-check report per document, over its first 15 claims."""
-    w = Window.partitionBy("report_id").orderBy("pos")
-    top = claims.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 15)
-    listed = top.groupBy("report_id").agg(
-        F.array_sort(F.collect_list(F.struct("rn", "claim", "verdict", "evidence"))).alias("cs")
-    )
+def claim_text(claims: DataFrame, first: int | None = None, evidence_chars: int | None = None) -> DataFrame:
+    """Fact-check report per document over all its claims, with whole evidence;
+    with ``first`` over so many, and ``n_left_out`` counts the others."""
+    listed = claims.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("pos", "claim", "verdict", "evidence"))).alias("cs"))
+    if first is not None:
+        listed = listed.withColumn("n_left_out", F.greatest(F.size("cs") - first, F.lit(0))).withColumn("cs", F.slice("cs", 1, first))
 
     def of(kind: str) -> Column:
         return F.filter("cs", lambda c: c["verdict"] == kind)
@@ -121,7 +114,7 @@ def claim_text(claims: DataFrame) -> DataFrame:
             F.array(F.lit("CONTRADICTED CLAIMS:")),
             F.transform(
                 of("contradicted"),
-                lambda c: F.concat(F.lit('  ✗ "'), c["claim"], F.lit('"\n    Evidence: '), head(c["evidence"], 200)),
+                lambda c: F.concat(F.lit('  ✗ "'), c["claim"], F.lit('"\n    Evidence: '), head(c["evidence"], evidence_chars)),
             ),
         ),
     ).otherwise(none)
@@ -188,8 +181,8 @@ def _quoted(c: Column) -> Column:
 
 
 def judge_input(traces: DataFrame, tasks: DataFrame) -> DataFrame:
-    """The text a judge reads: task, requirements, then each step with heads of
-    what was said, tools called and results."""
+    """The text a judge reads: task, requirements, then each step with
+    what was said, tools called and results, all whole."""
     t = traces.join(tasks.select("task_id", "description", "requirements"), "task_id")
     nl = "\n"
 
@@ -198,9 +191,9 @@ def judge_input(traces: DataFrame, tasks: DataFrame) -> DataFrame:
             F.lit("  write_file path="), _quoted(_argument(c, "path")), F.lit(" bytes="),
             F.coalesce(F.length(_argument(c, "content")), F.lit(0)).cast("string"),
         )
-        bash = F.concat(F.lit("  bash "), _quoted(head(F.coalesce(_argument(c, "command"), F.lit("")), 200)))
+        bash = F.concat(F.lit("  bash "), _quoted(F.coalesce(_argument(c, "command"), F.lit(""))))
         read = F.concat(F.lit("  read_file path="), _quoted(_argument(c, "path")))
-        other = F.concat(F.lit("  "), c["name"], F.lit(" "), head(c["arguments"], 150))
+        other = F.concat(F.lit("  "), c["name"], F.lit(" "), c["arguments"])
         return (
             F.when(c["name"] == "write_file", write).when(c["name"] == "bash", bash)
             .when(c["name"] == "read_file", read).otherwise(other)
@@ -209,7 +202,7 @@ def judge_input(traces: DataFrame, tasks: DataFrame) -> DataFrame:
     def result(r: Column) -> Column:
         return F.concat(
             F.lit("TOOL_RESULT: ok="), _yes_no(r["ok"]), F.lit(" kind="), F.coalesce(r["kind"], F.lit("None")),
-            F.lit(" -> "), head(F.coalesce(r["summary"], F.lit("")), 300),
+            F.lit(" -> "), F.coalesce(r["summary"], F.lit("")),
         )
 
     none = F.array().cast("array<string>")
@@ -217,7 +210,7 @@ def judge_input(traces: DataFrame, tasks: DataFrame) -> DataFrame:
     def step(s: Column) -> Column:
         said = F.array(
             F.concat(F.lit("--- STEP "), s["step"].cast("string"), F.lit(" ---")),
-            F.concat(F.lit("AGENT_SAID:\n"), head(F.coalesce(s["assistant_content"], F.lit("")), 1500)),
+            F.concat(F.lit("AGENT_SAID:\n"), F.coalesce(s["assistant_content"], F.lit(""))),
         )
         calls = F.when(
             F.size(s["tool_calls"]) > 0,
@@ -238,7 +231,7 @@ def judge_input(traces: DataFrame, tasks: DataFrame) -> DataFrame:
     top = F.array(
         F.concat(F.lit("CATEGORY: "), F.col("category")),
         F.concat(F.lit("TASK_ID: "), F.col("task_id").cast("string")),
-        F.concat(F.lit("SPEC:\n"), head("description", 2000)),
+        F.concat(F.lit("SPEC:\n"), F.col("description")),
     )
     end = F.array(
         F.concat(

@@ -126,17 +126,14 @@ def take_by_rank(
     quota: DataFrame,
     quota_col: str = "n_take",
     width_bits: int = 32,
-    few_groups: bool = False,
 ) -> DataFrame:
     """Exactly the first ``quota_col`` rows of each group by (rank, tie).
 
     ``rank`` is a whole number below 2^width_bits. A histogram over its upper
     16 bits finds the bucket where the quota runs out; lower buckets pass
-    whole, and only the rows of that one bucket are ordered. Set ``few_groups``
-    where the number of groups is a known small constant: the one row per group
-    that says where to cut is then broadcast, and the rows stay where they are.
+    whole, and only the rows of that one bucket are ordered. The table of cuts
+    has one row per group; Spark broadcasts it where that is small.
     """
-    small = F.broadcast if few_groups else (lambda df: df)
     marked = df.withColumn("__rank", rank).withColumn(
         "__bucket", F.shiftright("__rank", max(width_bits - 16, 0))
     )
@@ -144,7 +141,7 @@ def take_by_rank(
     w = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
     cut = (
         hist.withColumn("__cum", F.sum("__n").over(w))
-        .join(small(quota.select(*keys, quota_col)), keys)
+        .join(quota.select(*keys, quota_col), keys)
         .filter(F.col("__cum") >= F.col(quota_col))
         .groupBy(*keys)
         .agg(
@@ -152,8 +149,8 @@ def take_by_rank(
         )
         .select(*keys, F.col("c.__bucket").alias("__cut"), F.col("c.left").alias("__left"))
     )
-    known = marked.join(small(quota.select(*keys).distinct()), keys, "left_semi")
-    placed = known.join(small(cut), keys, "left")
+    known = marked.join(quota.select(*keys).distinct(), keys, "left_semi")
+    placed = known.join(cut, keys, "left")
     whole = placed.filter(F.col("__cut").isNull() | (F.col("__bucket") < F.col("__cut")))
     edge_order = Window.partitionBy(*keys).orderBy("__rank", *tie)
     edge = (

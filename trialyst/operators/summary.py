@@ -16,7 +16,6 @@ from trialyst.operators.scan import order_statistic
 
 STRATEGIES = ["R", "S", "L", "H"]
 PHASES = ["propose", "execute", "review"]
-MAX_CLAIMS = 15
 
 
 def rows() -> Column:
@@ -516,13 +515,17 @@ def budget_breakdown(calls: DataFrame, budgets: DataFrame) -> DataFrame:
     )
 
 
-def claim_accuracy(claims: DataFrame) -> DataFrame:
-    """Only the first 15 claims of a report are checked."""
-    w = Window.partitionBy("report_id").orderBy("pos")
-    head = claims.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= MAX_CLAIMS)
+def claim_accuracy(claims: DataFrame, first: int | None = None) -> DataFrame:
+    """Verdict counts of all claims of a report, in one pass; with ``first``
+    only of so many, and ``n_left_out`` counts the others."""
+    if first is not None:
+        w = Window.partitionBy("report_id").orderBy("pos")
+        numbered = claims.withColumn("__rn", F.row_number().over(w))
+        left_out = numbered.groupBy("report_id").agg(F.count_if(F.col("__rn") > first).alias("n_left_out"))
+        return claim_accuracy(numbered.filter(F.col("__rn") <= first)).join(left_out, "report_id")
     v = F.col("verdict")
     acc = F.count_if(v == "supported").cast("double") / rows()
-    return head.groupBy("report_id").agg(
+    return claims.groupBy("report_id").agg(
         rows().alias("total_claims"),
         F.count_if(v == "supported").alias("supported"),
         F.count_if(v == "contradicted").alias("contradicted"),

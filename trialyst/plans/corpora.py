@@ -91,7 +91,7 @@ def _stitch_sql(version: int) -> str:
     lead = f"CASE WHEN before_exec IN ('', repeat('x', 301)) THEN {_pick(verify, chr(39) + '5' + chr(39), tid, chr(39) + 'verify' + chr(39))} ELSE 'check it' END"
     draft = f"concat('I start.', {nl2}, '```python', chr(10), {_strip('draft_code')}, chr(10), '```', {nl2}, {lead})"
     ok = """'{"passed":true,"error":null,"stdout":"fine","stderr":""}'"""
-    esc = "CAST(to_json(right(draft_code, 800)) AS VARCHAR)"
+    esc = "CAST(to_json(draft_code) AS VARCHAR)"
     bad = f"""concat('{{"passed":false,"error":"E","stdout":"","stderr":', {esc}, '}}')"""
     last = f"CASE WHEN confirm = 'done' THEN 'done' ELSE {_pick(confirm, chr(39) + '5' + chr(39), tid, chr(39) + 'confirm' + chr(39))} END"
     head = f"""SELECT task_id, 0 AS pos, 'user' AS role, description AS t, 0 AS n_calls FROM s UNION ALL SELECT task_id, 1, 'assistant', {draft}, 1 FROM s
@@ -319,8 +319,8 @@ def _(spark, sf):
 
 @query(
     "judge_input",
-    """WITH a AS (SELECT conv_id, turn, concat_ws(chr(10), concat('--- STEP ', CAST(turn AS VARCHAR), ' ---'), concat('AGENT_SAID:', chr(10), left(text, 1500)),
-      concat('TOOL_CALLS:', chr(10), '  write_file path=''a.html'' bytes=', CAST(length(text) AS VARCHAR), chr(10), '  bash ''ls'''), concat('TOOL_RESULT: ok=True kind=text -> ', left(text, 300)), '') AS s
+    """WITH a AS (SELECT conv_id, turn, concat_ws(chr(10), concat('--- STEP ', CAST(turn AS VARCHAR), ' ---'), concat('AGENT_SAID:', chr(10), text),
+      concat('TOOL_CALLS:', chr(10), '  write_file path=''a.html'' bytes=', CAST(length(text) AS VARCHAR), chr(10), '  bash ''ls'''), concat('TOOL_RESULT: ok=True kind=text -> ', text), '') AS s
       FROM conversations WHERE role = 'assistant'),
     n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), j AS (SELECT n.conv_id, n, string_agg(s, chr(10) ORDER BY turn) AS ss FROM n LEFT JOIN a ON n.conv_id = a.conv_id GROUP BY 1, 2)
     SELECT conv_id, md5(concat_ws(chr(10), concat('CATEGORY: ', CASE WHEN conv_id % 3 = 0 THEN 'code' ELSE 'slides' END), concat('TASK_ID: ', CAST(conv_id AS VARCHAR)), concat('SPEC:', chr(10), 'Do it'),

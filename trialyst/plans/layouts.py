@@ -195,7 +195,7 @@ def _(spark, sf):
       SELECT ov.page_id, ov.frame_ms, 1 AS k, a_elem * 1000000 + b_elem AS pos, concat('- OVERLAP: the text "', a.text, '" overlaps the text "', b.text, '" -- move them apart so their bounding boxes do not intersect.') AS line
       FROM ov JOIN boxes a ON a.page_id = ov.page_id AND a.frame_ms = ov.frame_ms AND a.elem_id = a_elem JOIN boxes b ON b.page_id = ov.page_id AND b.frame_ms = ov.frame_ms AND b.elem_id = b_elem),
     r AS (SELECT *, row_number() OVER (PARTITION BY page_id, frame_ms ORDER BY pos) AS rn FROM l)
-    SELECT page_id, string_agg(line, chr(10) ORDER BY CAST(frame_ms AS VARCHAR), rn) AS feedback FROM r WHERE rn <= 12 GROUP BY 1""",
+    SELECT page_id, string_agg(line, chr(10) ORDER BY CAST(frame_ms AS VARCHAR), rn) AS feedback FROM r GROUP BY 1""",
 )
 def _(spark, sf):
     b = boxes(spark, sf)

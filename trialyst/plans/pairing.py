@@ -256,8 +256,8 @@ WS_RE2 = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
 
 @query(
     "drop_known_tasks",
-    f"""WITH d AS (SELECT doc_id AS task_id, md5(substr(regexp_replace(lower(text), '{WS_RE2}+', ' ', 'g'), 1, 200)) AS sig FROM documents),
-    b AS (SELECT md5(substr(regexp_replace(lower(text), '{WS_RE2}+', ' ', 'g'), 1, 200)) AS sig FROM benchmark)
+    f"""WITH d AS (SELECT doc_id AS task_id, md5(regexp_replace(lower(text), '{WS_RE2}+', ' ', 'g')) AS sig FROM documents),
+    b AS (SELECT md5(regexp_replace(lower(text), '{WS_RE2}+', ' ', 'g')) AS sig FROM benchmark)
     SELECT min(task_id) AS task_id FROM d WHERE sig NOT IN (SELECT sig FROM b) GROUP BY sig""",
 )
 def _(spark, sf):

@@ -257,10 +257,10 @@ def _(spark, sf):
 
 @query(
     "error_history",
-    f"""WITH {fx.ITERS}, w AS (SELECT run_id, iteration, error, coalesce(list(left(error, 180)) FILTER (WHERE error IS NOT NULL) OVER (
+    f"""WITH {fx.ITERS}, w AS (SELECT run_id, iteration, error, coalesce(list(error) FILTER (WHERE error IS NOT NULL) OVER (
       PARTITION BY run_id ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS h FROM iters)
     SELECT run_id, iteration, error, array_to_string(h, ',') AS history, CAST(len(h) AS BIGINT) AS n_prior,
-    coalesce(list_contains(h, left(error, 180)), false) AS recurs FROM w""",
+    coalesce(list_contains(h, error), false) AS recurs FROM w""",
 )
 def _(spark, sf):
     out = R.error_history(fx.iters(spark, sf))

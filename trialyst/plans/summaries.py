@@ -540,13 +540,13 @@ CLAIMS = """claims AS (SELECT user_id AS report_id, event_id AS pos,
 
 @query(
     "claim_accuracy",
-    f"""WITH {CLAIMS}, h AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS rn FROM claims)
+    f"""WITH {CLAIMS}
     SELECT report_id, count(*) AS total_claims, count(*) FILTER (WHERE verdict = 'supported') AS supported,
     count(*) FILTER (WHERE verdict = 'contradicted') AS contradicted,
     count(*) FILTER (WHERE verdict = 'unverifiable') AS unverifiable,
     CAST(count(*) FILTER (WHERE verdict = 'supported') AS DOUBLE) / count(*) AS accuracy,
     CAST(count(*) FILTER (WHERE verdict = 'supported') AS DOUBLE) / count(*) >= 0.8 AS passed,
-    CAST(sum(tokens) AS BIGINT) AS tokens FROM h WHERE rn <= 15 GROUP BY 1""",
+    CAST(sum(tokens) AS BIGINT) AS tokens FROM claims GROUP BY 1""",
 )
 def _(spark, sf):
     kind = F.col("event_type")

@@ -153,7 +153,7 @@ def _(spark, sf):
 
 @query(
     "description_signature",
-    f"SELECT doc_id, substr(regexp_replace(lower(text), '{WS}+', ' ', 'g'), 1, 200) AS sig FROM documents",
+    f"SELECT doc_id, regexp_replace(lower(text), '{WS}+', ' ', 'g') AS sig FROM documents",
 )
 def _(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", T.desc_signature("text").alias("sig"))
@@ -518,7 +518,7 @@ def _(spark, sf):
       CASE event_type WHEN 'view' THEN 'contradicted' WHEN 'error' THEN 'unverifiable' ELSE 'supported' END AS v FROM events),
     g AS (SELECT report_id, count(*) AS n, count(*) FILTER (WHERE v = 'supported') AS s,
       string_agg(concat('  ✗ "', claim, '"', chr(10), '    Evidence: ', 'e'), chr(10) ORDER BY rn) FILTER (WHERE v = 'contradicted') AS bad,
-      string_agg(concat('  ? "', claim, '"'), chr(10) ORDER BY rn) FILTER (WHERE v = 'unverifiable') AS unk FROM c WHERE rn <= 15 GROUP BY 1)
+      string_agg(concat('  ? "', claim, '"'), chr(10) ORDER BY rn) FILTER (WHERE v = 'unverifiable') AS unk FROM c GROUP BY 1)
     SELECT report_id, concat_ws(chr(10), concat('Factual Accuracy: ', CAST(CAST(round_even(CAST(s AS DOUBLE) / n * 100, 0) AS BIGINT) AS VARCHAR), '% (', CAST(s AS VARCHAR), '/', CAST(n AS VARCHAR), ' claims supported)', chr(10)),
       CASE WHEN bad IS NOT NULL THEN concat('CONTRADICTED CLAIMS:', chr(10), bad) END, CASE WHEN unk IS NOT NULL THEN concat(chr(10), 'UNVERIFIABLE CLAIMS:', chr(10), unk) END,
       CASE WHEN s > 0 THEN concat(chr(10), 'SUPPORTED: ', CAST(s AS VARCHAR), ' claims verified') END) AS report FROM g""",

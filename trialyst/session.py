@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -18,19 +18,23 @@ def local_session(cores: str = "8", app: str = "trialyst") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"/tmp/spark-{uuid.uuid4().hex}")  # one machine: its own folder is shared
         .getOrCreate()
     )
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see: ``spark.checkpoint.dir``; a temporary one only
-    where that is unset, as in local tests."""
+    """Folder all executors see: ``spark.checkpoint.dir``. Where it is unset, a
+    session on one machine gets a folder of that machine; on a cluster that
+    would lose data, so it is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = f"/tmp/spark-{uuid.uuid4().hex}"
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
