@@ -29,43 +29,53 @@ PARTS, HELD = 4, 2
 SAMPLE = 6000
 PASSAGE = 48
 SHAPES = 64
-REMEMBERED = 100_000
+#: Words that a Python worker remembers; beyond this it starts anew.
+REMEMBERED = 400_000
 RUNS = re.compile(r"(.)\1+")
 FORMS = 14
 SEQUENCE = 5
 WIDTH = FORMS + SEQUENCE + SHAPES
 
 
-def shape(word: str) -> str:
-    """Letters as a or A, digits as 0, other marks as they are; repeats once."""
-    return RUNS.sub(r"\1", "".join(["0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:64]]))
+class Kinds(dict):
+    """a and A for letters, 0 for digits, other marks as they are."""
 
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
+        return self[code]
 
-def forms(word: str) -> np.ndarray:
-    """Rates of one word, and its shape's place in the histogram last."""
+
+KINDS = Kinds()
+
+
+def forms(word: str) -> tuple[float, ...]:
+    """Rates of one word, and its shape's place in the histogram last; a shape names repeated kinds once."""
     n = len(word)
-    letters = sum(c.isalpha() for c in word)
-    marks = sum(not c.isalnum() for c in word)
-    tail = n - len(word.rstrip("".join({c for c in word if not c.isalnum()}) or " "))
-    return np.array(
-        [
-            min(n, 40) / 10,
-            n == 1,
-            letters == n,
-            any(c.isdigit() for c in word),
-            n > 1 and letters > 0 and word.isupper(),
-            word[0].isupper() and word[1:].islower(),
-            word[-1] in ".!?",
-            word[-1] in ",;:",
-            marks / n,
-            letters == 0,
-            marks == n,
-            tail >= 2,
-            tail >= 3,
-            "/" in word or "@" in word,
-            crc32(shape(word).encode("utf-8", "surrogatepass")) % SHAPES,
-        ],
-        np.float32,
+    kinds = word.translate(KINDS)
+    upper, digits = kinds.count("A"), kinds.count("0")
+    letters = upper + kinds.count("a")
+    marks = n - letters - digits
+    tail = 0
+    while tail < n and kinds[-1 - tail] not in "aA0":
+        tail += 1
+    end = word[-1]
+    return (
+        min(n, 40) / 10,
+        n == 1,
+        letters == n,
+        digits > 0,
+        n > 1 and upper > 0 and upper == letters,
+        kinds[0] == "A" and upper == 1 and letters == n,
+        end in ".!?",
+        end in ",;:",
+        marks / n,
+        letters == 0,
+        marks == n,
+        tail >= 2,
+        tail >= 3,
+        "/" in word or "@" in word,
+        crc32(RUNS.sub(r"\1", kinds[:64]).encode("utf-8", "surrogatepass")) % SHAPES,
     )
 
 
@@ -80,19 +90,22 @@ class Encoder:
         self.table = np.zeros((1024, FORMS + 1), np.float32)
 
     def ids(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.clear()
-            known = self.known
+        known = self.known
+        first = len(known)
+        made: list[tuple[float, ...]] = []
         out = []
         for w in words:
             i = known.get(w)
             if i is None:
                 i = known[w] = len(known)
-                if i >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[i] = forms(w)
+                made.append(forms(w))
             out.append(i)
+        if made:
+            while len(known) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[first : len(known)] = made
         return np.array(out, np.int64)
 
     def encode(self, text: str) -> np.ndarray:
@@ -173,7 +186,7 @@ def fit(bags: list[np.ndarray], y: np.ndarray, hidden: int = 24, gate: int = 12,
         "d": np.array([np.log(share / (1 - share))]),
     }
     m, s, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    for _ in range(max(rounds, 1500 * rounds // len(y))):
+    for _ in range(max(rounds, min(200, 1500 * rounds // len(y)))):
         order = rng.permutation(len(y))
         for at in range(0, len(y), 64):
             part = order[at : at + 64]
