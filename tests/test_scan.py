@@ -79,3 +79,24 @@ def test_long_runs_may_be_chunked(spark):
     )
     whole = sorted(R.carry_best(best).collect())
     assert whole == sorted(R.carry_best(best, F.floor(F.col("iter") / 16)).collect())
+
+
+def test_order_statistic_of_heavy_tails(spark):
+    """One group with a far outlier and many values close together, one of equal values, one of a single row."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from trialyst.operators.scan import order_statistic
+
+    rng = random.Random(9)
+    rows = [("t", float(rng.randrange(10**6)) / 10**6) for _ in range(20_000)] + [("t", 1e18), ("t", -1e18)] + [("e", 5.0)] * 3000 + [("o", 2.0), (None, 4.0), (None, 1.0), ("n", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    for at in (0.0, 0.01, 0.5, 0.99, 1.0):
+        index = F.floor((F.col("__n") - 1) * at)
+        got = {r["k"]: r["m"] for r in order_statistic(df, ["k"], "v", index, "m").collect()}
+        assert got == {k: sorted(v)[int((len(v) - 1) * at)] for k, v in groups.items()}

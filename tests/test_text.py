@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from trialyst.functions import jsontext as X
 from trialyst.functions import text as T
-from trialyst.operators import reports as R
 
 
 def _one(spark, text, fn):

@@ -167,43 +167,43 @@ def order_statistic(
     value: str,
     index: Column,
     out: str,
-    bins: int = 4096,
+    parts: int = 256,
 ) -> DataFrame:
     """The value at a 0-based index of each group's ascending order, exactly.
 
-    ``index`` may use the group's row count ``__n``. Equal values are counted
-    first; a histogram of at most ``bins`` bins per group then finds the bin
-    holding the index, and only that bin's distinct values are ordered.
+    ``index`` may use the group's row count ``__n``. One aggregate sketches the
+    quantiles of each group; their rank error is far below 1 / ``parts``, so
+    the value lies between the neighbours of the index's own part, whatever the
+    values' spread. Only values in between are ordered, those below are counted.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("__c")
-    )
-    span = counts.groupBy(*keys).agg(
-        F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__c").alias("__n")
+    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    sketch = known.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.percentile_approx("__v", [i / parts for i in range(parts + 1)], 100 * parts).alias("__edges"),
+        F.min("__v").alias("__min"),
+        F.max("__v").alias("__max"),
     ).withColumn("__ix", index)
-    width = (F.col("__hi") - F.col("__lo")).cast("double") / bins
-    binned = counts.join(span, keys).withColumn(
-        "__bin",
-        F.when(width == 0, F.lit(0)).otherwise(
-            F.floor((F.col(value) - F.col("__lo")).cast("double") / F.nullif(width, F.lit(0.0)))
-        ).cast("bigint"),
-    )
-    per_bin = binned.groupBy(*keys, "__bin").agg(
-        F.sum("__c").alias("__bc"), F.first("__ix").alias("__bix")
-    )
-    run = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-    hit = (
-        per_bin.withColumn("__cum", F.sum("__bc").over(run))
-        .filter((F.col("__cum") > F.col("__bix")) & (F.col("__cum") - F.col("__bc") <= F.col("__bix")))
-        .select(*keys, "__bin", (F.col("__cum") - F.col("__bc")).alias("__before"))
+    part = F.floor(F.col("__ix") * parts / F.col("__n")).cast("int")
+    # edges are counted from 1: part i lies between edges i + 1 and i + 2
+    bounds = sketch.select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], "__ix",
+        F.when(part < 1, F.col("__min")).otherwise(F.try_element_at("__edges", part)).alias("__lo"),
+        F.when(part >= parts - 2, F.col("__max")).otherwise(F.try_element_at("__edges", part + 3)).alias("__hi"),
+    ).filter((F.col("__ix") >= 0) & F.col("__lo").isNotNull())
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    near = known.join(bounds, on).filter(F.col("__v") <= F.col("__hi"))
+    # all values below the bounds share one row
+    counts = near.groupBy(*keys, F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__at")).agg(
+        F.count(F.lit(1)).alias("__c"), F.first("__ix").alias("__ix")
     )
-    fine = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    fine = Window.partitionBy(*keys).orderBy(F.col("__at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        binned.join(hit, [*keys, "__bin"])
-        .withColumn("__cum", F.sum("__c").over(fine) + F.col("__before"))
-        .filter(F.col("__cum") > F.col("__ix"))
+        counts.withColumn("__cum", F.sum("__c").over(fine))
+        .filter((F.col("__cum") > F.col("__ix")) & F.col("__at").isNotNull())
         .groupBy(*keys)
-        .agg(F.min(value).alias(out))
+        .agg(F.min("__at").alias(out))
     )
 
 
