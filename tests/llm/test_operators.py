@@ -454,6 +454,8 @@ def test_alignment_makes_groups_and_slots():
     pairs = wrappers.expression(wrappers.parse("<div>" + "<h3>q</h3><p>a</p>" * 5 + "</div>"))["c"][0]
     assert [(c["k"], c["r"]) for c in pairs["c"]] == [("h3", 1), ("p", 1)]
     assert wrappers.main_text("<div>" * 5000 + "deep", None) == "deep"
+    assert wrappers.main_text("<body><header>Site</header><p>text of it<p>more</body>", None) == "text of it\nmore"
+    assert wrappers.main_text("<header>Site</header><article><header><h1>Title</h1></header><p>text</article>", None) == "Title\ntext"
 
 
 # pipeline

@@ -138,6 +138,8 @@ def parse(html: str) -> Node:
         if not block and not aside:
             continue
         flush()
+        if tag == "header":  # a page's header; an article's own holds its title
+            aside = aside or not any(n.tag == "article" for n in stack)
         closes = CLOSES.get(tag, ())
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in closes:
