@@ -37,6 +37,16 @@ def test_runs_skip_what_is_no_list(spark, tmp_path):
     assert I.read_runs(spark, [str(tmp_path / "none*.json")]).count() == 0
 
 
+def test_rejects_say_why(spark, tmp_path):
+    files = {"a.json": "[{}]", "b.json": "[{", "c.json": '{"results": [1]}', "d.json": " \n", "e.json": '{"results": 3}'}
+    for name, text in files.items():
+        _put(tmp_path, name, text)
+    said = lambda shape: {r["file"]: r["reason"] for r in I.read_rejects(spark, [f"{tmp_path}/*.json"], shape).collect()}
+    assert said("list") == {"b.json": "not JSON", "c.json": "not a list", "d.json": "empty", "e.json": "not a list"}
+    assert said("bundle") == {"a.json": "no list of results", "b.json": "not JSON", "d.json": "empty", "e.json": "no list of results"}
+    assert I.read_rejects(spark, [f"{tmp_path}/none*.json"]).count() == 0
+
+
 def test_grid(spark, tmp_path):
     p = _put(tmp_path, "s1.json", {"H": {"1000": {"t1": {"passed": True, "tokens_used": 9}, "t2": {}}}, "L": {}})
     rows = I.read_grid(spark, {1: p, 2: str(tmp_path / "no.json")}).orderBy("task_id").collect()
@@ -142,7 +152,7 @@ def test_first_wins_over_restarts(spark, tmp_path):
     def go():
         s = live.stream_trials(spark, str(tmp_path / "in"), schema)
         live.ingest_first(s, ["run", "task"], ["v"], store, mark).awaitTermination()
-        return sorted((r["run"], r["task"], r["v"]) for r in spark.read.parquet(store).collect())
+        return sorted((r["run"], r["task"], r["v"]) for r in live.read_first(spark, store).collect())
 
     _put(tmp_path, "in/a.json", '{"run":1,"task":"t","v":5}\n{"run":1,"task":"t","v":4}')
     assert go() == [(1, "t", 4)]

@@ -62,6 +62,21 @@ def _(spark, sf):
     return r.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("ss_n_defects").alias("ss"), F.sum("rv_n_defects").alias("rv"))
 
 
+@query(
+    "read_rejects",
+    """WITH f AS (SELECT DISTINCT doc_id // 50 AS c FROM documents)
+    SELECT reason, count(*) AS n FROM (SELECT CASE c % 4 WHEN 1 THEN 'not JSON' WHEN 2 THEN 'not a list' END AS reason FROM f) t WHERE reason IS NOT NULL GROUP BY 1""",
+)
+def _(spark, sf):
+    # per file: a list of given texts, a list that breaks off, or an object around it
+    texts = fx.table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 50).alias("c")).agg(F.to_json(F.collect_list(F.struct("doc_id", "text"))).alias("v"))
+    k = F.col("c") % 4
+    value = F.when(k == 1, F.substring("v", F.lit(1), F.length("v") - 1)).when(k == 2, F.concat(F.lit('{"records": '), "v", F.lit("}"))).otherwise(F.col("v"))
+    path = scratch_path(spark, "lists")
+    _one_file_each(texts.select(value.alias("value")), path)
+    return I.read_rejects(spark, [f"{path}/*.txt"]).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "scaling_grid",
     f"WITH {fx.CELLS} SELECT seed, strategy, budget, task_id, passed, tokens_used, num_turns FROM cells",
@@ -276,4 +291,4 @@ def _(spark, sf):
     e = _events(spark, sf).select(F.col("user_id").alias("run_id"), F.col("event_type").alias("category"), "event_id")
     path = scratch_path(spark, "store")
     live.ingest_first(e, ["run_id", "category"], ["event_id"], path, scratch_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(path)
+    return live.read_first(spark, path)

@@ -56,7 +56,8 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
 
 def read_bundles(spark: SparkSession, path: str, name_glob: str = "*.json") -> DataFrame:
     """Trials of all result bundles below a folder, with ``source_file``
-    relative to it. Other files and malformed ones are skipped."""
+    relative to it. Other files and malformed ones are skipped;
+    ``read_rejects`` lists them."""
     schema = f"results array<struct<{_nested(schemas.TRIAL)}>>, _corrupt_record string"
     raw = (
         spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
@@ -75,6 +76,25 @@ def read_bundles(spark: SparkSession, path: str, name_glob: str = "*.json") -> D
     )
 
 
+def read_rejects(spark: SparkSession, paths: list[str], shape: str = "list") -> DataFrame:
+    """Files that the readers pass over: ``file``, ``reason`` and ``n_chars``.
+
+    ``shape`` is what they should hold: a ``list`` of records, or a ``bundle``,
+    an object with a list ``results``. The globs go to Spark as they are. Files
+    of no bytes hold no records and aren't listed; Spark passes over them."""
+    if not existing(spark, paths):
+        return _empty(spark, "file string, reason string, n_chars bigint")
+    v = F.try_parse_json("value")
+    start = F.left(F.ltrim(F.coalesce("value", F.lit(""))), F.lit(1))
+    found = F.try_variant_get(v, "$.results", "array<variant>") if shape == "bundle" else F.try_variant_get(v, "$", "array<variant>")
+    reason = (
+        F.when(start == "", "empty").when(v.isNull(), "not JSON")
+        .when(found.isNull(), "no list of results" if shape == "bundle" else "not a list")
+    )
+    files = _whole_files(spark, paths).select("file", reason.alias("reason"), F.length("value").cast("bigint").alias("n_chars"))
+    return files.filter(F.col("reason").isNotNull() & ~F.col("file").isin(NOT_BUNDLES))
+
+
 def _nested(ddl: str) -> str:
     """Top-level DDL as struct fields: name:type."""
     return re.sub(r"(^|, )(\w+) ", r"\1\2:", ddl)
@@ -87,7 +107,8 @@ def _listed(text: Column, schema: str) -> Column:
 
 def read_runs(spark: SparkSession, paths: list[str], schema: str = schemas.PAIR) -> DataFrame:
     """Records of run lists with ``file`` and ``pos``. Absent files, broken
-    files and files that are not lists are skipped. ``run`` comes from the
+    files and files that are not lists are skipped; ``read_rejects`` lists the
+    latter two. ``run`` comes from the
     record or else from the file name."""
     found = existing(spark, paths)
     if not found:

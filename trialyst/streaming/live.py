@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trialyst.operators.scan import first_by
 from trialyst.session import scratch_path
+from trialyst.sources.readers import existing
 
 
 def stream_trials(spark: SparkSession, folder: str, schema, fmt: str = "json", name_glob: str = "*", per_trigger: int | None = None) -> DataFrame:
@@ -50,7 +51,10 @@ def _ledger(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 
 def stream_ledger(calls: DataFrame, budgets: DataFrame) -> DataFrame:
     """Consumption of each run after each call, in arrival order and by ``seq``
-    within a batch. The state of a run is one number."""
+    within a batch. The state of a run is one number. A call that arrives in a
+    later batch than calls of a higher ``seq`` is added after them: totals are
+    right at any time, but ``consumed`` of single calls then differs from the
+    batch query's."""
     known = calls.join(budgets, "run_id").select("run_id", "seq", "tokens", "budget")
     return known.groupBy("run_id").applyInPandasWithState(
         _ledger, _LEDGER, "consumed bigint", "append", GroupStateTimeout.NoTimeout
@@ -65,20 +69,29 @@ def stream_dedupe(stream: DataFrame, keys: list[str], event_time: str | None = N
     return stream.dropDuplicates(keys)
 
 
+BUCKET, BUCKETS = "__bucket", 256
+
+
+def read_first(spark: SparkSession, path: str) -> DataFrame:
+    """What a first-wins store holds."""
+    return spark.read.parquet(path).drop(BUCKET)
+
+
 def ingest_first(stream: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str):
-    """Append the first record of every key not stored yet. Replaying a batch
-    after a failure adds nothing, because its keys are already there."""
+    """Append the first record of every key not stored yet. The store is
+    partitioned by a hash of the key, and a batch reads the partitions of its
+    own keys only. Replaying a batch after a failure adds nothing, because its
+    keys are already there."""
 
     def store(batch: DataFrame, _: int) -> None:
-        new = first_by(batch, keys, [F.col(c) for c in order])
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(path).select(*keys)
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+        new = first_by(batch, keys, [F.col(c) for c in order]).withColumn(BUCKET, bucket)
+        if existing(spark, [f"{path}/{BUCKET}=*"]):
+            touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most BUCKETS numbers
+            known = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched)).select(*keys)
             new = new.join(known, keys, "left_anti")
-        except Exception as e:  # the store does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new.write.mode("append").parquet(path)
+        new.write.mode("append").partitionBy(BUCKET).parquet(path)
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
