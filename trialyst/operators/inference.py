@@ -73,9 +73,11 @@ def _sums(pairs: DataFrame, sizes: DataFrame, by: str, order: list[str], resampl
     group's n rows is small against the n draws of each resample."""
     w = Window.partitionBy(by).orderBy(*order)
     indexed = pairs.select(by, "a", "b", (F.row_number().over(w) - 1).cast("bigint").alias("ix"))
+    # A given number, as the few rows here would else be put together before they become many.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     draws = (
         sizes.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
-        .repartition(by, "r")
+        .repartition(tasks, by, "r")
         .select(by, "r", "n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("j"))
         .select(by, "r", draw_below(seed, F.col("n"), by, "r", "j").alias("ix"))
     )

@@ -53,27 +53,23 @@ def vote_totals(votes: DataFrame, key: DataFrame) -> DataFrame:
     )
 
 
-def _listed(judged: DataFrame) -> DataFrame:
-    """Votes of modalities with a preference: any other choice than "same" on a decisive or an equal pair."""
+def _by_modality(judged: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """Counts for each modality with a preference, that is any other choice than
+    "same" on a decisive or an equal pair, and their sums as OVERALL."""
     prefers = F.when(F.col("decisive"), F.col("picked") != "same").otherwise(F.col("choice") != "same")
-    return judged.join(judged.filter(prefers).select("modality").distinct(), "modality", "left_semi")
+    per = judged.groupBy("modality").agg(*[F.count_if(c).alias(n) for n, c in counts.items()], F.max(prefers).alias("__p")).filter("__p")
+    sums = per.rollup("modality").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts], F.grouping("modality").alias("__g"))
+    return sums.withColumn("modality", F.when(F.col("__g") == 1, "OVERALL").otherwise(F.col("modality")))
 
 
 def preference(judged: DataFrame) -> DataFrame:
     """Preference for the reviewed side on decisive pairs, by modality and
     overall. Modalities whose only votes are "same" are in neither."""
-    votes = _listed(judged)
-    dec = F.col("decisive")
-    g = votes.rollup("modality").agg(
-        F.count_if(dec & (F.col("picked") == "rv")).alias("rv"),
-        F.count_if(dec & (F.col("picked") == "ss")).alias("ss"),
-        F.count_if(dec & (F.col("picked") == "same")).alias("same"),
-        F.grouping("modality").alias("__g"),
-    )
+    g = _by_modality(judged, {k: F.col("decisive") & (F.col("picked") == k) for k in ("rv", "ss", "same")})
     n = F.col("rv") + F.col("ss")
     ci = wilson(F.col("rv"), n)
     return g.select(
-        F.when(F.col("__g") == 1, "OVERALL").otherwise(F.col("modality")).alias("modality"), "rv", "ss", "same",
+        "modality", "rv", "ss", "same",
         safe_ratio("rv", n).alias("fraction"), ci["lo"].alias("lo"), ci["hi"].alias("hi"),
         binom_test(F.col("rv"), n).alias("p"), safe_ratio("same", n + F.col("same")).alias("same_rate"),
     )
@@ -83,12 +79,9 @@ def tie_control(judged: DataFrame) -> DataFrame:
     """Side counts and skew on pairs with equal defects; 50/50 is expected.
     The modalities are those of ``preference``, also without such a pair."""
     c, equal = F.col("choice"), ~F.col("decisive")
-    g = _listed(judged).rollup("modality").agg(
-        F.count_if(equal & (c == "A")).alias("a"), F.count_if(equal & ~c.isin("A", "same")).alias("b"),
-        F.count_if(equal & (c == "same")).alias("same"), F.grouping("modality").alias("__g"),
-    )
+    g = _by_modality(judged, {"a": equal & (c == "A"), "b": equal & ~c.isin("A", "same"), "same": equal & (c == "same")})
     return g.select(
-        F.when(F.col("__g") == 1, "OVERALL").otherwise(F.col("modality")).alias("modality"), "a", "b", "same",
+        "modality", "a", "b", "same",
         skew("a", "b").alias("skew"), binom_test(F.col("a"), F.col("a") + F.col("b")).alias("p"),
     )
 
