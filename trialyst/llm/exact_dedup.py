@@ -145,8 +145,8 @@ def group_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     marks = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     key = F.concat_ws(":", "fp", "n_bytes")
-    shared = marks.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = marks.withColumn("key", key).join(shared.select("key"), "key", "left_semi")
+    shared = marks.groupBy(F.concat(F.lit("k"), key).alias("_group")).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = marks.withColumn("key", key).join(shared.select(F.expr("substring(_group, 2)").alias("key")), "key", "left_semi")
     differ = unequal(docs, members, id_col, text_col).select(F.concat_ws(":", "fp", "n_bytes").alias("_key"), F.lit(True).alias("_differ"))
     # A fingerprint shared by different texts is told apart by the text's digest.
     keyed = marks.withColumn("_key", key).join(differ, "_key", "left")
