@@ -39,6 +39,12 @@ def test_one_more_pair_stays_in_the_same_method(spark, pairs):
     assert _ci(pairs.filter("g = 'x'"), resamples=300, seed=2)["x"] == whole["x"]
 
 
+def test_many_pairs_are_met_by_a_shuffle(pairs, monkeypatch):
+    whole = _ci(pairs, resamples=100, seed=2)
+    monkeypatch.setattr(I, "SENT_ROWS", 0)
+    assert _ci(pairs, resamples=100, seed=2) == whole
+
+
 def test_order_of_equal_pairs_does_not_matter(spark, pairs):
     by_value = {r["g"]: (r["lo"], r["hi"]) for r in I.bootstrap_ci(pairs.drop("id"), "g", "mean_delta", resamples=300, seed=2).collect()}
     shuffled = pairs.selectExpr("g", "id * 7919 % 400 as id", "a", "b")

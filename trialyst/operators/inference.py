@@ -9,6 +9,10 @@ from trialyst.functions.prng import draw_below
 from trialyst.functions.stats import safe_ratio, sign_test
 from trialyst.operators.summary import rows
 
+# Pairs that may be sent to every task, some 5 MB.
+SENT_ROWS = 200_000
+
+
 def sign_test_pairs(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """Plus, minus and tied pairs of two boolean outcomes with the exact p."""
     x, y = F.coalesce(a, F.lit(False)), F.coalesce(b, F.lit(False))
@@ -68,8 +72,9 @@ def _interval(sums: DataFrame, sizes: DataFrame, by: str, stat: str, resamples:
 
 def _sums(pairs: DataFrame, sizes: DataFrame, by: str, order: list[str], resamples: int, seed) -> DataFrame:
     """Each draw picks row hash(seed, group, resample, j) mod n of its group.
-    Draws are made where their resample is summed, so they are only shuffled
-    if the pairs are too many to be sent to them. The window that numbers a
+    Draws are made where their resample is summed. Counting the pairs first
+    tells whether they can be sent there; more of them are met by a shuffle,
+    with the same result. The window that numbers a
     group's n rows is small against the n draws of each resample."""
     w = Window.partitionBy(by).orderBy(*order)
     indexed = pairs.select(by, "a", "b", (F.row_number().over(w) - 1).cast("bigint").alias("ix"))
@@ -81,6 +86,8 @@ def _sums(pairs: DataFrame, sizes: DataFrame, by: str, order: list[str], resampl
         .select(by, "r", "n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("j"))
         .select(by, "r", draw_below(seed, F.col("n"), by, "r", "j").alias("ix"))
     )
+    if pairs.count() <= SENT_ROWS:  # the size is known, so draws needn't be shuffled to the pairs
+        indexed = F.broadcast(indexed)
     return draws.join(indexed, [by, "ix"]).groupBy(by, "r").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
 
 
