@@ -310,12 +310,12 @@ def _(spark, sf):
 
 @query(
     "first_json",
-    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('{"a": {"b": "}x"}, "n": ', CAST(doc_id AS VARCHAR), '}') WHEN 1 THEN concat('{"n": ', CAST(doc_id AS VARCHAR), '}')
+    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('{"a": {"b": "}', replace(replace(text, '"', ''), chr(92), ''), '"}, "n": ', CAST(doc_id AS VARCHAR), '}') WHEN 1 THEN concat('{"n": ', CAST(doc_id AS VARCHAR), '}')
     ELSE concat('{"open": ', CAST(doc_id AS VARCHAR)) END AS obj FROM documents""",
 )
 def _(spark, sf):
     i, n = F.col("doc_id") % 3, F.col("doc_id").cast("string")
-    t = F.when(i == 0, F.concat(F.lit("<think>{hm}</think>\nSure. "), F.lit('{"a": {"b": "}x"}, "n": '), n, F.lit("} trailing {")))
+    t = F.when(i == 0, F.concat(F.lit("<think>{hm}</think>\nSure. "), F.lit('{"a": {"b": "}'), F.regexp_replace("text", r'["\\]', ""), F.lit('"}, "n": '), n, F.lit("} trailing {")))
     t = t.when(i == 1, F.concat(F.lit('```json\n{"n": '), n, F.lit("}\n```"))).otherwise(F.concat(F.lit('so {"open": '), n))
     d = fx.table(spark, sf, "documents").select("doc_id", t.alias("t"))
     return X.first_json(d, "t", "obj").select("doc_id", "obj")
@@ -327,7 +327,8 @@ CALLED = """m AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'as
 def _called(spark, sf):
     """Assistant turns with a good block, a broken one and an argument string."""
     body = F.to_json(F.struct(F.lit("execute_code").alias("name"), F.struct(F.col("text").alias("code"), F.lit("assert 1").alias("test_code")).alias("arguments")))
-    broken = F.concat(F.lit('{"name": "execute_code", "arguments": {"code": "print("'), F.col("turn").cast("string"), F.lit('")\\n\\\\n", "test_code": "t"}}'))
+    said = F.concat(F.col("turn").cast("string"), F.regexp_replace("text", r'["\\]', ""))
+    broken = F.concat(F.lit('{"name": "execute_code", "arguments": {"code": "print("'), said, F.lit('")\\n\\\\n", "test_code": "t"}}'))
     text_args = F.to_json(F.struct(F.lit("run").alias("name"), F.lit('{"code": "c"}').alias("arguments")))
 
     def block(b):
@@ -351,7 +352,7 @@ def _(spark, sf):
 
 @query(
     "tool_calls_lenient",
-    f"""WITH {CALLED} SELECT conv_id, turn, CAST(1 AS BIGINT) AS pos, concat('print("', CAST(turn AS VARCHAR), '")', chr(10), '\\n') AS code, 't' AS test_code FROM m""",
+    f"""WITH {CALLED} SELECT conv_id, turn, CAST(1 AS BIGINT) AS pos, concat('print("', CAST(turn AS VARCHAR), replace(replace(text, '"', ''), chr(92), ''), '")', chr(10), '\\n') AS code, 't' AS test_code FROM m""",
 )
 def _(spark, sf):
     calls = X.tool_calls(_called(spark, sf), "out", lenient=True)
@@ -361,7 +362,7 @@ def _(spark, sf):
 @query(
     "tool_calls_lateral",
     f"""WITH {CALLED} SELECT conv_id, turn, CAST(0 AS BIGINT) AS pos, 'execute_code' AS name, md5(text) AS code, false AS recovered FROM m
-    UNION ALL SELECT conv_id, turn, 1, 'execute_code', md5(concat('print("', CAST(turn AS VARCHAR), '")', chr(10), '\\n')), true FROM m
+    UNION ALL SELECT conv_id, turn, 1, 'execute_code', md5(concat('print("', CAST(turn AS VARCHAR), replace(replace(text, '"', ''), chr(92), ''), '")', chr(10), '\\n')), true FROM m
     UNION ALL SELECT conv_id, turn, 2, 'run', md5('c'), false FROM m""",
 )
 def _(spark, sf):
