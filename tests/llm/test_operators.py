@@ -354,6 +354,20 @@ def test_other_parameters_are_seen_through(spark):
     assert set(got) == {1} and got[1].changed_slots >= 3
 
 
+def leaked(spark, item, *texts, **more):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r.doc_id: r for r in decontaminate.leaks(rows, spark.createDataFrame([(9, item)], "item_id bigint, text string"), **more).collect()}
+
+
+def test_names_at_any_place_and_in_any_case(spark):
+    anna = "Anna has 12 apples. Anna buys 30 more apples. How many apples does Anna have?"
+    got = leaked(spark, anna, anna.replace("Anna", "Peter").replace("12", "7").replace("30", "44"), "Peter has nothing to do with 7 apples or how many of them somebody may have")
+    assert set(got) == {0} and got[0].changed_slots >= 3
+    item = "A train leaves with 12 people and then Anna adds 30 more, so how many of the 12 people that Anna saw remain after 5 hours in the train"
+    got = leaked(spark, item, item.lower(), item.upper(), "So: " + item.title(), coverage=1.0)
+    assert set(got) == {0, 1, 2}
+
+
 def test_decontaminate_odd(spark, odd, none, bench):
     assert decontaminate.leaks(odd, bench).count() == 0
     assert decontaminate.drop_leaks(odd, bench).count() == odd.count()

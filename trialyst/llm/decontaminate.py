@@ -1,10 +1,11 @@
 """Benchmark decontamination by template windows.
 
-A text becomes a template: lower-case words, with numbers, the units that follow them, and names
-(capitalized words inside a sentence) replaced by typed placeholders; what stood there is kept as the
-slot's value. Windows of `WINDOW` template words are hashed. A document window that equals an item
-window is joined with it by hash; at one offset the slots of both must be consistent: each value of the
-item has one value in the document, so a re-parameterised question with other numbers or names is
+A text becomes lower-case words in three readings: as they are, so that a copy in any case and at any
+place of a sentence is met; with numbers and the units that follow them replaced by typed placeholders;
+and with title-cased words, wherever they stand, replaced as well, since they may be names. What stood
+there is kept as the slot's value. Windows of `WINDOW` words are hashed in each reading that differs. A
+document window that equals an item window in one of them is joined with it by hash; at one offset the
+slots of both must be consistent: each value of the item has one value in the document, so a re-parameterised question with other numbers or names is
 found and a chance mix is not. A document holds an item if consistent windows cover at least `COVERAGE`
 of the item's windows.
 
@@ -91,8 +92,40 @@ TOKENS = Tokens()  # one for each Python worker
 SLOTS = {"n": np.uint64(word_hash(NUMBER)), "u": np.uint64(word_hash(UNIT)), "p": np.uint64(word_hash(NAME))}
 
 
+#: Readings of a window: words as they are, without numbers and units, without names too.
+PLAIN, COUNTED, NAMED = range(3)
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of neighbours, in their order."""
+    mixed = left * np.uint64(0x9E3779B97F4A7C15)
+    mixed += right
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+def _rolled(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A hash for each window, from windows of 1, 2, 4 .. words."""
+    n = len(hashes) - length + 1
+    made, done, size = None, 0, 1 << (length.bit_length() - 1)
+    powers = {1: hashes}
+    k = 1
+    while k < size:
+        powers[2 * k] = _joined(powers[k][:-k], powers[k][k:])
+        k *= 2
+    while size:
+        if length & size:
+            part = powers[size][done : done + n]
+            made = part if made is None else _joined(made, part)
+            done += size
+        size >>= 1
+    return made
+
+
 class Template:
-    """The template of one text: a hash for each word, and which words are slots."""
+    """The readings of one text: a hash for each word, and which words are slots."""
 
     def __init__(self, text: str):
         tokens = TOKEN.findall(text)
@@ -101,35 +134,48 @@ class Template:
         before = np.concatenate([[STOP_KIND], kind[:-1]]) if len(at) else kind
         number = kind == NUMBER_KIND
         unit = TOKENS.unit[at] & (before == NUMBER_KIND)
-        name = TOKENS.title[at] & (before != STOP_KIND) & ~unit
         keep = np.flatnonzero((kind == WORD_KIND) | number | unit)
-        hashes = TOKENS.hash[at]
-        for slot, mark in (("n", number), ("u", unit), ("p", name)):
-            hashes[mark] = SLOTS[slot]
         self.tokens, self.keep = tokens, keep
-        self.hashes = hashes[keep]
-        self.slot = np.select([number[keep], unit[keep], name[keep]], [1, 2, 3], 0)
+        number, unit = number[keep], unit[keep]
+        name = TOKENS.title[at[keep]] & ~unit
+        plain = TOKENS.hash[at[keep]]
+        counted = plain.copy()
+        counted[number] = SLOTS["n"]
+        counted[unit] = SLOTS["u"]
+        named = counted.copy()
+        named[name] = SLOTS["p"]
+        self.hashes = (plain, counted, named)
+        self.slot = np.zeros(len(keep), np.int8)
+        self.slot[number], self.slot[unit], self.slot[name] = 1, 2, 3
 
     def __len__(self) -> int:
         return len(self.keep)
 
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(position, hash) of each window with enough literal words."""
+    def windows(self, length: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(reading, positions, hashes) of the windows: those with enough literal words, once if readings don't differ."""
         n = len(self) - length + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        mixed = np.zeros(n, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(length):
-                mixed = (mixed ^ self.hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(29)
-        literal = np.concatenate([[0], np.cumsum(self.slot == 0)])
-        at = np.flatnonzero(literal[length:] - literal[:-length] >= min(LITERAL, length))
-        return at, mixed[at].view(np.int64)
+            return []
+
+        def held(mark: np.ndarray) -> np.ndarray:
+            ends = np.concatenate([[0], np.cumsum(mark)])
+            return ends[length:] - ends[:-length]
+
+        names, counts = held(self.slot == 3), held((self.slot == 1) | (self.slot == 2))
+        least = min(LITERAL, length)
+        fits = {PLAIN: length - counts >= least, COUNTED: (counts > 0) & (length - counts >= least), NAMED: (names > 0) & (length - counts - names >= least)}
+        out = []
+        for reading, fit in fits.items():
+            at = np.flatnonzero(fit)
+            if len(at):
+                with np.errstate(over="ignore"):
+                    out.append((reading, at, _rolled(self.hashes[reading], length)[at].view(np.int64)))
+        return out
 
-    def values(self, at: int, length: int) -> list[str]:
-        """What stands in each slot of a window; empty for a word of the template."""
-        return ["nup"[k - 1] + ":" + self.tokens[i].lower() if k else "" for i, k in zip(self.keep[at : at + length].tolist(), self.slot[at : at + length].tolist(), strict=True)]
+    def values(self, at: int, length: int, reading: int) -> list[str]:
+        """What stands in each slot of a window; empty for a word that the reading keeps."""
+        last = (0, 2, 3)[reading]
+        return ["nup"[k - 1] + ":" + self.tokens[i].lower() if 0 < k <= last else "" for i, k in zip(self.keep[at : at + length].tolist(), self.slot[at : at + length].tolist(), strict=True)]
 
 
 SHAPE = "length int, position int, hash bigint, slots array<string>, total int"
@@ -143,10 +189,12 @@ def _item_rows(batches):
             length = min(WINDOW, len(t))
             if length < SHORTEST:
                 continue
-            at, hashes = t.windows(length)
-            for a, h in zip(at.tolist(), hashes.tolist(), strict=True):
-                for col, x in zip(out, (i.as_py(), length, a, h, t.values(a, length), len(at)), strict=True):
-                    col.append(x)
+            found = t.windows(length)
+            total = len({a for _, at, _ in found for a in at.tolist()})
+            for reading, at, hashes in found:
+                for a, h in zip(at.tolist(), hashes.tolist(), strict=True):
+                    for col, x in zip(out, (i.as_py(), length, a, h, t.values(a, length, reading), total), strict=True):
+                        col.append(x)
         kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["item_id", "length", "position", "hash", "slots", "total"])
 
@@ -185,12 +233,12 @@ def document_windows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id",
             for i, text in zip(batch.column(0), batch.column(1), strict=True):
                 t = Template(text.as_py())
                 for length in lengths:
-                    at, hashes = t.windows(length)
-                    mark = _mark(hashes)
-                    hit = (sent.value[mark >> 6] >> (mark & 63)) & 1 == 1
-                    for a, h in zip(at[hit].tolist(), hashes[hit].tolist(), strict=True):
-                        for col, x in zip(out, (i.as_py(), length, a, h, t.values(a, length)), strict=True):
-                            col.append(x)
+                    for reading, at, hashes in t.windows(length):
+                        mark = _mark(hashes)
+                        hit = (sent.value[mark >> 6] >> (mark & 63)) & 1 == 1
+                        for a, h in zip(at[hit].tolist(), hashes[hit].tolist(), strict=True):
+                            for col, x in zip(out, (i.as_py(), length, a, h, t.values(a, length, reading)), strict=True):
+                                col.append(x)
             kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[id_col, "length", "position", "hash", "slots"])
 
