@@ -368,6 +368,15 @@ def test_names_at_any_place_and_in_any_case(spark):
     assert set(got) == {0, 1, 2}
 
 
+def test_one_altered_value_costs_its_windows_only(spark):
+    words = [f"w{'abcdefghij'[k // 10]}{'klmnopqrst'[k % 10]}" for k in range(100)]
+    words[20] = words[70] = "2019"
+    item = " ".join(words)
+    words[70] = "2020"
+    got = leaked(spark, item, " ".join(words), " ".join(words).replace("2019", "1999").replace("2020", "1998"))
+    assert got[0].n_matched >= got[0].n_windows - 8 == 85 and got[1].n_matched == 85
+
+
 def test_decontaminate_odd(spark, odd, none, bench):
     assert decontaminate.leaks(odd, bench).count() == 0
     assert decontaminate.drop_leaks(odd, bench).count() == odd.count()

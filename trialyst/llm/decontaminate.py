@@ -5,9 +5,10 @@ place of a sentence is met; with numbers and the units that follow them replaced
 and with title-cased words, wherever they stand, replaced as well, since they may be names. What stood
 there is kept as the slot's value. Windows of `WINDOW` words are hashed in each reading that differs. A
 document window that equals an item window in one of them is joined with it by hash; at one offset the
-slots of both must be consistent: each value of the item has one value in the document, so a re-parameterised question with other numbers or names is
-found and a chance mix is not. A document holds an item if consistent windows cover at least `COVERAGE`
-of the item's windows.
+slots of both must be consistent: each value of the item has one value in the document, the most frequent
+one there, so a re-parameterised question with other numbers or names is found and a chance mix is not.
+Windows that contradict it aren't counted, unless they equal the item's as they are. A document holds
+an item if the windows counted cover at least `COVERAGE` of the item's windows.
 
 Documents are scanned once. A bitmap of the items' window hashes, of a fixed size and made by an
 aggregate, lets only windows that may match out of the scan; the join that follows is exact, so the
@@ -23,6 +24,7 @@ left out of `leaks` and kept by `drop_leaks`.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -246,20 +248,46 @@ def document_windows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id",
     return whole.mapInArrow(run, f"{id_col} {whole.schema[id_col].dataType.simpleString()}, length int, position int, hash bigint, slots array<string>")
 
 
+def _consistent(wins: list[dict]) -> tuple[int, set[int]]:
+    """How many slots changed in the windows that agree, and their places."""
+    slots = [[(w["place"] + k, i, d) for k, (i, d) in enumerate(zip(w["i"], w["d"], strict=True)) if i] for w in wins]
+    met: dict[str, Counter] = {}
+    for _, i, d in {s for w in slots for s in w}:
+        met.setdefault(i, Counter())[d] += 1
+    usual = {i: min(c, key=lambda d: (-c[d], d)) for i, c in met.items()}
+    kept, changed = set(), set()
+    for w, own in zip(wins, slots, strict=True):
+        if all(i == d for _, i, d in own) or all(usual[i] == d for _, i, d in own):
+            kept.add(w["place"])
+            changed.update((i, d) for _, i, d in own if i != d)
+    return len(changed), kept
+
+
+def _kept_windows(batches):
+    """Rows (id, item_id, total, wins) into (id, item_id, total, changed, place): an item value has its most frequent document value."""
+    for batch in batches:
+        at: list[int] = []
+        changes: list[int] = []
+        places: list[int] = []
+        for row, wins in enumerate(batch.column(3)):
+            changed, kept = _consistent(wins.as_py())
+            at += [row] * len(kept)
+            changes += [changed] * len(kept)
+            places += sorted(kept)
+        same = batch.select([0, 1, 2]).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*same.columns, pa.array(changes, pa.int32()), pa.array(places, pa.int32())], names=[*same.schema.names, "changed", "place"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, item_id, n_windows, n_matched, coverage, changed_slots of every document that holds an item."""
     items = item_windows(benchmark)
     mine = document_windows(docs, items, id_col, text_col)
     both = mine.join(items.select("item_id", "total", "length", "hash", F.col("position").alias("item_at"), F.col("slots").alias("item_slots")), ["length", "hash"])
-    pairs = F.filter(F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda p: p["i"] != "")
+    wins = F.collect_set(F.struct(F.col("item_at").alias("place"), F.col("item_slots").alias("i"), F.col("slots").alias("d")))
     # At one offset an item place meets one document place: the lists are as long as the item.
-    placed = both.groupBy(id_col, "item_id", "total", (F.col("position") - F.col("item_at")).alias("offset")).agg(
-        F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"),
-        F.collect_set("item_at").alias("places"),
-    )
-    same = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-    changed = F.size(F.filter("pairs", lambda p: p["i"] != p["d"]))
-    spread = placed.where(same).select(id_col, "item_id", "total", changed.alias("changed"), F.explode("places").alias("place"))
+    placed = both.groupBy(id_col, "item_id", "total", (F.col("position") - F.col("item_at")).alias("offset")).agg(wins.alias("wins")).drop("offset")
+    kind = {c: placed.schema[c].dataType.simpleString() for c in (id_col, "item_id")}
+    spread = placed.mapInArrow(_kept_windows, f"`{id_col}` {kind[id_col]}, item_id {kind['item_id']}, total int, changed int, place int")
     once = spread.groupBy(id_col, "item_id", "total", "place").agg(F.min("changed").alias("changed"))
     held = once.groupBy(id_col, "item_id", "total").agg(F.count(F.lit(1)).alias("n_matched"), F.max("changed").cast("long").alias("changed_slots"))
     share = F.col("n_matched") / F.col("total")
