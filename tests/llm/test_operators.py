@@ -377,6 +377,12 @@ def test_one_altered_value_costs_its_windows_only(spark):
     assert got[0].n_matched >= got[0].n_windows - 8 == 85 and got[1].n_matched == 85
 
 
+def test_items_of_many_slots(spark):
+    for item in ("Compute 12 + 34 * 56 - 78 / 9 and add 10, 11, 12.", "What is 17 plus 25?"):
+        got = leaked(spark, item, "Intro. " + item + " More.", "What is 18 plus 26? Compute 13 + 35 and add 9, 8, 7.")
+        assert set(got) == {0} and got[0].coverage == 1
+
+
 def test_decontaminate_odd(spark, odd, none, bench):
     assert decontaminate.leaks(odd, bench).count() == 0
     assert decontaminate.drop_leaks(odd, bench).count() == odd.count()

@@ -14,7 +14,9 @@ Documents are scanned once. A bitmap of the items' window hashes, of a fixed siz
 aggregate, lets only windows that may match out of the scan; the join that follows is exact, so the
 bitmap changes no result, whatever the number of items.
 
-Null and empty texts have no windows. Windows need `LITERAL` words that aren't placeholders. An item
+Null and empty texts have no windows. Windows need `LITERAL` words that aren't placeholders to be met with
+other values; as they are, all windows are met. Coverage is taken of all windows of an item, or of those
+with so many words if these are covered better; `n_windows` and `n_matched` are those of that share. An item
 shorter than a window is one window of its own length; items of fewer than `SHORTEST` words are passed
 over, as any text holds them. Repeated rows of an id count once, as do repeated items. Rows without an
 id are matched too (as one document without id) and never removed by `drop_leaks`. Other columns are
@@ -153,19 +155,25 @@ class Template:
     def __len__(self) -> int:
         return len(self.keep)
 
+    @staticmethod
+    def held(mark: np.ndarray, length: int) -> np.ndarray:
+        """Marked words of each window."""
+        ends = np.concatenate([[0], np.cumsum(mark)])
+        return ends[length:] - ends[:-length]
+
+    def firm(self, length: int) -> np.ndarray:
+        """Whether each window has enough literal words to be met with all its slots changed."""
+        return self.held(self.slot == 0, length) >= min(LITERAL, length)
+
     def windows(self, length: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(reading, positions, hashes) of the windows: those with enough literal words, once if readings don't differ."""
+        """(reading, positions, hashes) of all windows as they are, and of those with slots and enough literal words."""
         n = len(self) - length + 1
         if n <= 0:
             return []
 
-        def held(mark: np.ndarray) -> np.ndarray:
-            ends = np.concatenate([[0], np.cumsum(mark)])
-            return ends[length:] - ends[:-length]
-
-        names, counts = held(self.slot == 3), held((self.slot == 1) | (self.slot == 2))
+        names, counts = self.held(self.slot == 3, length), self.held((self.slot == 1) | (self.slot == 2), length)
         least = min(LITERAL, length)
-        fits = {PLAIN: length - counts >= least, COUNTED: (counts > 0) & (length - counts >= least), NAMED: (names > 0) & (length - counts - names >= least)}
+        fits = {PLAIN: np.ones(n, bool), COUNTED: (counts > 0) & (length - counts >= least), NAMED: (names > 0) & (length - counts - names >= least)}
         out = []
         for reading, fit in fits.items():
             at = np.flatnonzero(fit)
@@ -180,25 +188,24 @@ class Template:
         return ["nup"[k - 1] + ":" + self.tokens[i].lower() if 0 < k <= last else "" for i, k in zip(self.keep[at : at + length].tolist(), self.slot[at : at + length].tolist(), strict=True)]
 
 
-SHAPE = "length int, position int, hash bigint, slots array<string>, total int"
+SHAPE = "length int, position int, hash bigint, slots array<string>, total int, firm boolean, firm_total int"
 
 
 def _item_rows(batches):
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], [], [], []]
         for i, text in zip(batch.column(0), batch.column(1), strict=True):
             t = Template(text.as_py())
             length = min(WINDOW, len(t))
             if length < SHORTEST:
                 continue
-            found = t.windows(length)
-            total = len({a for _, at, _ in found for a in at.tolist()})
-            for reading, at, hashes in found:
+            firm = t.firm(length).tolist()
+            for reading, at, hashes in t.windows(length):
                 for a, h in zip(at.tolist(), hashes.tolist(), strict=True):
-                    for col, x in zip(out, (i.as_py(), length, a, h, t.values(a, length, reading), total), strict=True):
+                    for col, x in zip(out, (i.as_py(), length, a, h, t.values(a, length, reading), len(firm), firm[a], sum(firm)), strict=True):
                         col.append(x)
-        kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["item_id", "length", "position", "hash", "slots", "total"])
+        kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.bool_(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["item_id", "length", "position", "hash", "slots", "total", "firm", "firm_total"])
 
 
 def _mark(hashes: np.ndarray) -> np.ndarray:
@@ -206,7 +213,7 @@ def _mark(hashes: np.ndarray) -> np.ndarray:
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, length, position, hash, slots, total: the windows of every item."""
+    """item_id, length, position, hash, slots, total, firm, firm_total: the windows of every item in their readings."""
     items = texts(benchmark, id_col, text_col).distinct()
     return items.mapInArrow(_item_rows, f"{id_col} {items.schema[id_col].dataType.simpleString()}, {SHAPE}")
 
@@ -248,8 +255,8 @@ def document_windows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id",
     return whole.mapInArrow(run, f"{id_col} {whole.schema[id_col].dataType.simpleString()}, length int, position int, hash bigint, slots array<string>")
 
 
-def _consistent(wins: list[dict]) -> tuple[int, set[int]]:
-    """How many slots changed in the windows that agree, and their places."""
+def _consistent(wins: list[dict]) -> tuple[int, set[tuple[int, bool]]]:
+    """How many slots changed in the windows that agree, and their places and whether they are firm."""
     slots = [[(w["place"] + k, i, d) for k, (i, d) in enumerate(zip(w["i"], w["d"], strict=True)) if i] for w in wins]
     met: dict[str, Counter] = {}
     for _, i, d in {s for w in slots for s in w}:
@@ -258,40 +265,44 @@ def _consistent(wins: list[dict]) -> tuple[int, set[int]]:
     kept, changed = set(), set()
     for w, own in zip(wins, slots, strict=True):
         if all(i == d for _, i, d in own) or all(usual[i] == d for _, i, d in own):
-            kept.add(w["place"])
+            kept.add((w["place"], w["firm"]))
             changed.update((i, d) for _, i, d in own if i != d)
     return len(changed), kept
 
 
 def _kept_windows(batches):
-    """Rows (id, item_id, total, wins) into (id, item_id, total, changed, place): an item value has its most frequent document value."""
+    """Rows (id, item_id, total, firm_total, wins) into a row for each window that agrees: an item value has its most frequent document value."""
     for batch in batches:
         at: list[int] = []
         changes: list[int] = []
-        places: list[int] = []
-        for row, wins in enumerate(batch.column(3)):
+        places: list[tuple[int, bool]] = []
+        for row, wins in enumerate(batch.column(4)):
             changed, kept = _consistent(wins.as_py())
             at += [row] * len(kept)
             changes += [changed] * len(kept)
             places += sorted(kept)
-        same = batch.select([0, 1, 2]).take(pa.array(at, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*same.columns, pa.array(changes, pa.int32()), pa.array(places, pa.int32())], names=[*same.schema.names, "changed", "place"])
+        same = batch.select([0, 1, 2, 3]).take(pa.array(at, pa.int64()))
+        made = [pa.array(changes, pa.int32()), pa.array([p for p, _ in places], pa.int32()), pa.array([f for _, f in places], pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*same.columns, *made], names=[*same.schema.names, "changed", "place", "firm"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, item_id, n_windows, n_matched, coverage, changed_slots of every document that holds an item."""
     items = item_windows(benchmark)
     mine = document_windows(docs, items, id_col, text_col)
-    both = mine.join(items.select("item_id", "total", "length", "hash", F.col("position").alias("item_at"), F.col("slots").alias("item_slots")), ["length", "hash"])
-    wins = F.collect_set(F.struct(F.col("item_at").alias("place"), F.col("item_slots").alias("i"), F.col("slots").alias("d")))
+    both = mine.join(items.select("item_id", "total", "firm", "firm_total", "length", "hash", F.col("position").alias("item_at"), F.col("slots").alias("item_slots")), ["length", "hash"])
+    wins = F.collect_set(F.struct(F.col("item_at").alias("place"), "firm", F.col("item_slots").alias("i"), F.col("slots").alias("d")))
     # At one offset an item place meets one document place: the lists are as long as the item.
-    placed = both.groupBy(id_col, "item_id", "total", (F.col("position") - F.col("item_at")).alias("offset")).agg(wins.alias("wins")).drop("offset")
+    placed = both.groupBy(id_col, "item_id", "total", "firm_total", (F.col("position") - F.col("item_at")).alias("offset")).agg(wins.alias("wins")).drop("offset")
     kind = {c: placed.schema[c].dataType.simpleString() for c in (id_col, "item_id")}
-    spread = placed.mapInArrow(_kept_windows, f"`{id_col}` {kind[id_col]}, item_id {kind['item_id']}, total int, changed int, place int")
-    once = spread.groupBy(id_col, "item_id", "total", "place").agg(F.min("changed").alias("changed"))
-    held = once.groupBy(id_col, "item_id", "total").agg(F.count(F.lit(1)).alias("n_matched"), F.max("changed").cast("long").alias("changed_slots"))
-    share = F.col("n_matched") / F.col("total")
-    return held.where(share >= coverage).select(id_col, "item_id", F.col("total").cast("long").alias("n_windows"), "n_matched", share.alias("coverage"), "changed_slots")
+    spread = placed.mapInArrow(_kept_windows, f"`{id_col}` {kind[id_col]}, item_id {kind['item_id']}, total int, firm_total int, changed int, place int, firm boolean")
+    once = spread.groupBy(id_col, "item_id", "total", "firm_total", "place", "firm").agg(F.min("changed").alias("changed"))
+    held = once.groupBy(id_col, "item_id", "total", "firm_total").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("firm").alias("n_firm"), F.max("changed").cast("long").alias("changed_slots"))
+    # Of all windows, or of those that can be met with other values, whichever is covered better.
+    of_all, of_firm = F.col("n_all") / F.col("total"), F.coalesce(F.try_divide(F.col("n_firm"), F.col("firm_total")), F.lit(0.0))
+    n_windows, n_matched = (F.when(of_firm > of_all, F.col(a)).otherwise(F.col(b)) for a, b in (("firm_total", "total"), ("n_firm", "n_all")))
+    share = F.greatest(of_all, of_firm)
+    return held.where(share >= coverage).select(id_col, "item_id", n_windows.cast("long").alias("n_windows"), n_matched.alias("n_matched"), share.alias("coverage"), "changed_slots")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
