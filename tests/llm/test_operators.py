@@ -490,6 +490,30 @@ def test_alignment_makes_groups_and_slots():
 # pipeline
 
 
+def test_all_parts_of_the_main_text():
+    def text(html):
+        return wrappers.main_text(html, None).split("\n")
+
+    long = "words of the text " * 9
+    one = f"<body><main><h1>T</h1><p>lead</p><article><p>{long}</p></article><section><p>rest</p></section></main></body>"
+    assert text(one) == ["T", "lead", long.strip(), "rest"]
+    two = f"<body><article class=a><p>first</p></article><article class=b><p>{long}</p></article></body>"
+    assert text(two) == ["first", long.strip()]
+    three = f"<body><nav>menu</nav><div class=intro><p>in</p></div><div class=text><p>{long}</p></div><div class=end><p>out</p></div></body>"
+    assert text(three) == ["in", long.strip(), "out"]
+    four = f"<body><div class=post><h1>T</h1><p>lead</p><div class=body><p>{long}</p><p>more</p></div></div></body>"
+    assert text(four) == ["T", "lead", long.strip(), "more"]
+    pages = [four.replace("<body>", "<body><div class=top>Same</div>").replace("T<", f"T{k}<").replace("lead", f"lead{k}") for k in range(3)]
+    met = wrappers.expression(wrappers.parse(pages[0]))
+    for page in pages[1:]:
+        met = wrappers.matched(met, wrappers.expression(wrappers.parse(page)))
+    assert wrappers.main_text(pages[1], wrappers.content_nodes(met)).split("\n") == ["T1", "lead1", long.strip(), "more"]
+    deep = "<article>" + "<div>" * 130 + "x" + "</div>" * 12 + "<p>y</p>" + "</div>" * 118 + "<p>z</p></article>"
+    assert text(deep) == ["x", "y", "z"]
+    deep = wrappers.parse("<div>" * 119 + "<ul>" + "<b>" + "<div>x</div><div>x</div></ul>" + "</div>" * 118 + "<p>in the first</p>")
+    assert [k.tag for k in deep.kids] == ["div"]
+
+
 def test_pipeline_stages(spark, sf, docs):
     left = read(spark, sf, "documents")
     labels = read(spark, sf, "labels")

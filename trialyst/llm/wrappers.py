@@ -3,17 +3,18 @@
 A page's token stream (block tags and texts) is a regular expression without any choice. Expressions of
 the same host are aligned one after the other: equal tags match and are aligned inside; a tag that only
 one side has becomes an optional group, neighbouring repeats of a group become one repeated group, and
-texts that differ become a slot. What remains is the host's wrapper. The wrapper's content node is its
-article or main part, or else the node whose slots hold most text; page parts that serve as menus,
+texts that differ become a slot. What remains is the host's wrapper. The wrapper's content nodes are its
+outermost article and main parts, or else the smallest node that holds all texts that differ between
+pages (all texts, if none does); page parts that serve as menus,
 headers, footers, sidebars, notices, adverts, forms or comments never count. A page's text is what stands
-in its content node, block by block.
+in its content nodes, block by block.
 
 Alignment is associative in effect, so each task folds its own pages, and the folds of a host meet in
 two steps, salted first: a host of any size is never in one task page by page. Pages are read whole; the
 wrapper table is stored, so that Spark sees its size before it chooses the join.
 
-Null html counts as empty and has an empty text. A null or malformed url has the empty host. A page whose
-host's content node it lacks is its own wrapper. Repeated rows have a result each; other columns are left
+Null html counts as empty and has an empty text. A null or malformed url has the empty host. A page that has
+none of its host's content nodes is its own wrapper. Repeated rows have a result each; other columns are left
 out. Tags nested deeper than `DEPTH` are read as part of their parent; no text is lost by it.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import json
+import os.path
 import re
 
 import pyarrow as pa
@@ -98,6 +100,7 @@ def parse(html: str) -> Node:
     """The tree of block elements; inline tags vanish, unless they mark a part that isn't main text."""
     root = Node("", "", False)
     stack, said, at = [root], [], 0
+    beyond: list[str] = []  # open tags deeper than DEPTH
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(said)).split())
@@ -117,10 +120,15 @@ def parse(html: str) -> Node:
         if m[1]:
             if tag in BLOCKS:
                 flush()
+            if tag in beyond:
+                while beyond.pop() != tag:
+                    pass
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     flush()
                     del stack[i:]
+                    beyond.clear()
                     break
                 if tag not in BLOCKS and stack[i].tag in BLOCKS:
                     break
@@ -141,6 +149,12 @@ def parse(html: str) -> Node:
         if tag == "header":  # a page's header; an article's own holds its title
             aside = aside or not any(n.tag == "article" for n in stack)
         closes = CLOSES.get(tag, ())
+        if beyond:
+            if beyond[-1] in closes:
+                beyond.pop()
+            if tag not in VOID:
+                beyond.append(tag)
+            continue
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in closes:
                 del stack[i:]
@@ -150,7 +164,10 @@ def parse(html: str) -> Node:
         # td and tr may both end: a row ends the cell and the row before it
         if tag == "tr" and stack[-1].tag == "tr":
             stack.pop()
-        if tag in VOID or len(stack) > DEPTH:
+        if tag in VOID:
+            continue
+        if len(stack) > DEPTH:
+            beyond.append(tag)
             continue
         node = Node(tag, key, aside)
         stack[-1].kids.append(node)
@@ -159,7 +176,8 @@ def parse(html: str) -> Node:
     return root
 
 
-# A wrapper item: k key, o optional, r repeated, n characters, s digest of a constant text ("" for a slot), c items.
+# A wrapper item: k key, o optional, r repeated, n characters, s digest of a constant text ("" for a slot), c items;
+# v in what only some pages have. The digest of repeats within a page is that of their digests.
 
 
 def expression(node: Node) -> dict:
@@ -173,12 +191,16 @@ def expression(node: Node) -> dict:
     return {"k": node.key, "o": 0, "r": 0, "n": 0, "s": "", "c": folded(items)}
 
 
-def matched(a: dict, b: dict) -> dict:
-    """Two items of the same key as one."""
-    return {"k": a["k"], "o": a["o"] | b["o"], "r": a["r"] | b["r"], "n": a["n"] + b["n"], "s": a["s"] if a["s"] == b["s"] else "", "c": aligned(a["c"], b["c"])}
+def matched(a: dict, b: dict, within: bool = False) -> dict:
+    """Two items of the same key as one; `within` a page repeats are no slots yet."""
+    said = a["s"] if a["s"] == b["s"] else ""
+    if within and a["s"] and b["s"]:
+        said = hashlib.blake2b((a["s"] + b["s"]).encode(), digest_size=6).hexdigest()
+    made = {"k": a["k"], "o": a["o"] | b["o"], "r": a["r"] | b["r"], "n": a["n"] + b["n"], "s": said, "c": aligned(a["c"], b["c"], within)}
+    return made | {"v": 1} if "v" in a or "v" in b else made
 
 
-def aligned(a: list[dict], b: list[dict]) -> list[dict]:
+def aligned(a: list[dict], b: list[dict], within: bool = False) -> list[dict]:
     """The shortest common order of two item lists; what only one has becomes optional."""
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
@@ -186,15 +208,16 @@ def aligned(a: list[dict], b: list[dict]) -> list[dict]:
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i]["k"] == b[j]["k"] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
+    alone = {"o": 1} if within else {"o": 1, "v": 1}
     while i < n or j < m:
         if i < n and j < m and a[i]["k"] == b[j]["k"]:
-            out.append(matched(a[i], b[j]))
+            out.append(matched(a[i], b[j], within))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append(a[i] | {"o": 1})
+            out.append(a[i] | alone)
             i += 1
         else:
-            out.append(b[j] | {"o": 1})
+            out.append(b[j] | alone)
             j += 1
     return folded(out)
 
@@ -208,38 +231,41 @@ def folded(items: list[dict]) -> list[dict]:
             while len(out) >= 2 * size and [x["k"] for x in out[-size:]] == [x["k"] for x in out[-2 * size : -size]]:
                 last = out[-size:]
                 del out[-size:]
-                out[-size:] = [matched(x, y) | {"r": 1} for x, y in zip(out[-size:], last, strict=True)]
+                out[-size:] = [matched(x, y, True) | {"r": 1} for x, y in zip(out[-size:], last, strict=True)]
         items = out
     return items
 
 
-def content_path(wrapper: dict) -> list[str]:
-    """Keys from the wrapper's root down to its content node."""
-    semantic, best = [], (0, [])
+def content_nodes(wrapper: dict) -> list[list[str]]:
+    """For each content node, the keys from the wrapper's root down to it."""
+    semantic: list[list[str]] = []
+    varied: list[list[str]] = []
+    said: list[list[str]] = []
 
-    def mass(item: dict, deep: bool) -> int:
-        own = item["n"] if item["k"] == "#" else 0
-        return own + (sum(mass(c, deep) for c in item["c"]) if deep or item["k"] == "#" else 0)
+    def mass(item: dict) -> int:
+        return item["n"] if item["k"] == "#" else sum(mass(c) for c in item["c"])
 
-    def walk(item: dict, path: list[str]) -> None:
-        nonlocal best
+    def walk(item: dict, path: list[str], inside: bool, some: bool) -> None:
         tag = item["k"].split(".")[0]
-        if tag in ("article", "main") or item["k"].endswith((".article", ".main")):
-            semantic.append((mass(item, True), path))
-        # Paragraphs that stand in this node, and not in one further down.
-        own = sum(mass(c, True) for c in item["c"] if c["k"].split(".")[0] in ("#", "p", "blockquote", "pre", "h1", "h2", "h3", "h4"))
-        if own > best[0]:
-            best = (own, path)
+        if not inside and (tag in ("article", "main") or item["k"].endswith((".article", ".main"))) and mass(item):
+            inside = True
+            if path not in semantic:
+                semantic.append(path)
         for c in item["c"]:
+            apart = some or "v" in c
             if c["k"] != "#":
-                walk(c, [*path, c["k"]])
+                walk(c, [*path, c["k"]], inside, apart)
+            elif c["n"]:
+                said.append(path)
+                if apart or not c["s"]:
+                    varied.append(path)
 
-    walk(wrapper, [])
+    walk(wrapper, [], False, False)
     if semantic:
-        most = max(m for m, _ in semantic)
-        # The innermost part that holds nearly all of the semantic text.
-        return max((p for m, p in semantic if m >= 0.7 * most), key=len)
-    return best[1]
+        return semantic
+    paths = varied or said
+    # The smallest and the greatest path share what all share.
+    return [os.path.commonprefix([min(paths), max(paths)])] if paths else [[]]
 
 
 def blocks(node: Node) -> list[str]:
@@ -252,19 +278,23 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def at_path(root: Node, path: list[str]) -> list[Node]:
-    found = [root]
-    for key in path:
-        found = [k for n in found for k in n.kids if isinstance(k, Node) and not k.aside and k.key == key]
+def at_paths(root: Node, paths: list[list[str]]) -> list[Node]:
+    """The nodes at these paths in page order, none inside another."""
+    if [] in paths:
+        return [root]
+    found = []
+    for kid in root.kids:
+        if isinstance(kid, Node) and not kid.aside and (left := [p[1:] for p in paths if p[0] == kid.key]):
+            found += at_paths(kid, left)
     return found
 
 
-def main_text(html: str, path: list[str] | None) -> str:
-    """Blocks of the content node, joined by line ends."""
+def main_text(html: str, paths: list[list[str]] | None) -> str:
+    """Blocks of the content nodes, joined by line ends."""
     root = parse(html)
-    nodes = at_path(root, path) if path is not None else []
-    if not nodes:
-        nodes = at_path(root, content_path(expression(root)))
+    nodes = at_paths(root, paths) if paths is not None else []
+    if not any(blocks(n) for n in nodes):
+        nodes = at_paths(root, content_nodes(expression(root)))
     return "\n".join(b for n in nodes for b in blocks(n))
 
 
@@ -292,7 +322,7 @@ def _met(finish: bool):
 
         def done() -> None:
             if key is not None:
-                out.append((key[0], json.dumps(content_path(held) if finish else held)))
+                out.append((key[0], json.dumps(content_nodes(held) if finish else held)))
 
         def batch_of() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.string()), pa.array([w for _, w in out], pa.string())], names=["host", "path" if finish else "wrapper"])
@@ -315,7 +345,7 @@ def _met(finish: bool):
 
 
 def content_paths(pages: DataFrame) -> DataFrame:
-    """(host, path as JSON) for every host of (host, html)."""
+    """(host, paths as JSON) for every host of (host, html)."""
     parts = pages.select("host", "html").mapInArrow(_wrapped, "host string, wrapper string")
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     first = salted.select("host", "salt", "wrapper").repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper")
