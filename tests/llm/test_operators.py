@@ -514,6 +514,13 @@ def test_all_parts_of_the_main_text():
     assert [k.tag for k in deep.kids] == ["div"]
 
 
+def test_names_of_asides_are_whole():
+    for opened in ("<div class='page has-sidebar'>", "<div class='site no-banner'>", "<article class='post comments-open'>", "<div id=content class='search-result login-required'>", "<article class=promo>", "<div class='widget'><article>"):
+        assert wrappers.main_text(f"<body>{opened}<p>text of it</p><div class='ad-top'>buy</div><div class='box sidebar'>side</div><div class=ad>now</div>", None) == "text of it", opened
+    assert wrappers.main_text("<article><p>text</p></article><div class=comments><article>me too</article></div>", None) == "text"
+    assert wrappers.main_text("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds", None) == "So x=1 holds"
+
+
 def test_pipeline_stages(spark, sf, docs):
     left = read(spark, sf, "documents")
     labels = read(spark, sf, "labels")

@@ -45,7 +45,7 @@ BLOCKS = frozenset(
     "blockquote pre figure figcaption form fieldset address details summary center hr dialog menu".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template svg iframe object select button canvas math".split())
+RAW = frozenset("script style title textarea noscript template svg iframe object select button canvas annotation annotation-xml".split())
 CLOSES = {
     **{t: {"p"} for t in BLOCKS - {"html", "body", "head"}},
     "li": {"p", "li"},
@@ -60,12 +60,20 @@ CLOSES = {
 SCOPES = frozenset("html body main article section div table ul ol dl td th blockquote form aside nav header footer".split())
 ASIDE_TAGS = frozenset("head nav footer aside form dialog menu".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-#: Words in classes and ids of parts that aren't main text.
+#: Classes and ids of parts that aren't main text.
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar rail nav navbar navigation menu breadcrumb breadcrumbs footer masthead "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup share sharing social related recommended recommendations trending comment "
     "comments commentlist disqus reply replies respond widget toolbar pagination pager copyright login search skip hidden".split()
 )
+#: Longer names of such parts, whole.
+ASIDE_NAME = re.compile(
+    r"(?:ads?|adsense|advert)[-_].+|(?:site|page|main|global|top|bottom|left|right|primary|secondary)[-_](?:nav|navbar|navigation|menu|footer|masthead|sidebar|banner|breadcrumbs?)"
+    r"|(?:sponsor|sponsored|promo|promotion|banner|sidebar|nav|navbar|navigation|menu|breadcrumbs?|footer|cookies?|consent|gdpr|newsletter|subscribe|share|sharing|social|related|comments?|widget|toolbar|pagination|search|login)"
+    r"[-_](?:[0-9]+|left|right|top|bottom|box|bar|banner|list|links|buttons?|icons?|form|area|block|notice|popup|modal|posts|articles|section)"
+)
+#: Parts that hold articles of others; only `main` within shows that they don't.
+OTHERS = frozenset("related recommended recommendations trending comment comments commentlist disqus reply replies respond".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'"<>])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -74,26 +82,32 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 class Node:
     """An element with blocks of text and elements in page order."""
 
-    __slots__ = ("aside", "key", "kids", "tag")
+    __slots__ = ("aside", "key", "kids", "named", "tag")
 
-    def __init__(self, tag: str, key: str, aside: bool):
-        self.tag, self.key, self.aside = tag, key, aside
+    def __init__(self, tag: str, key: str, aside: bool, named: str = ""):
+        self.tag, self.key, self.aside, self.named = tag, key, aside, named
         self.kids: list[Node | str] = []
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool]:
-    """A key that equal parts of different pages share, and whether the part isn't main text."""
+def _named(tag: str, attributes: str) -> tuple[str, bool, str]:
+    """A key that equal parts of different pages share, whether the part isn't main text, and the name that alone says so."""
     aside = tag in ASIDE_TAGS
     if not attributes.strip(" \t\n/"):
-        return tag, aside
+        return tag, aside, ""
     named = {k.lower(): entities.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(attributes)}
-    words = re.findall(r"[a-z]+", (named.get("class", "") + " " + named.get("id", "")).lower())
+    names = (named.get("class", "") + " " + named.get("id", "")).lower()
+    words = re.findall(r"[a-z]+", names)
+    by_name = ""
     if tag not in ("html", "body", "main"):
-        aside = aside or bool(ASIDE_WORDS & set(words)) or "hidden" in named or named.get("aria-hidden") == "true"
+        aside = aside or "hidden" in named or named.get("aria-hidden") == "true"
+        found = [x for x in names.split() if x in ASIDE_WORDS or ASIDE_NAME.fullmatch(x)]
+        by_name = min(found, key=lambda x: x not in OTHERS, default="")
     role = named.get("role", "").lower()
     aside = aside or role in ASIDE_ROLES
+    by_name = "" if aside else by_name
+    aside = aside or by_name != ""
     key = ".".join([tag, *sorted(set(words))[:4], *([role] if role else [])])
-    return key, aside
+    return key, aside, by_name
 
 
 def parse(html: str) -> Node:
@@ -142,7 +156,7 @@ def parse(html: str) -> Node:
         if tag == "br":
             said.append(" ")
         block = tag in BLOCKS
-        key, aside = _named(tag, m[3]) if block or m[3] else (tag, False)
+        key, aside, by_name = _named(tag, m[3]) if block or m[3] else (tag, False, "")
         if not block and not aside:
             continue
         flush()
@@ -169,9 +183,13 @@ def parse(html: str) -> Node:
         if len(stack) > DEPTH:
             beyond.append(tag)
             continue
-        node = Node(tag, key, aside)
+        node = Node(tag, key, aside, by_name)
         stack[-1].kids.append(node)
         stack.append(node)
+        if tag in ("article", "main"):  # a name doesn't make its holder an aside
+            for n in stack:
+                if n.named and (tag == "main" or re.split("[-_]", n.named)[0] not in OTHERS):
+                    n.aside, n.named = False, ""
     flush()
     return root
 
