@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialyst.llm import bpe, decontaminate, exact_dedup, near_dedup, pii, quality, secret_scan, token_count, toxicity, wrappers
+from trialyst.llm import bpe, chat_format, decontaminate, equal_average, exact_dedup, near_dedup, pii, quality, secret_scan, token_count, toxicity, wrappers
 from trialyst.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_wrappers")
 def op7_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(read(spark, sf_dir, "pages"))
+
+
+@query("op11_equal_average", equal_average.COMPRESS_SQL)
+def op11_equal_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return equal_average.compress(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_chat_format", chat_format.REPORT_SQL)
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.report(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat_format.forged(spark)))
