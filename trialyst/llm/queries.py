@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialyst.llm import bpe, chat_format, decontaminate, equal_average, exact_dedup, near_dedup, pii, quality, secret_scan, token_count, toxicity, wrappers
+from trialyst.llm import bpe, chat_format, decontaminate, equal_average, exact_dedup, near_dedup, phrases, pii, quality, secret_scan, token_count, toxicity, wrappers
 from trialyst.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op11_equal_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_chat_format", chat_format.REPORT_SQL)
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.report(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat_format.forged(spark)))
+
+
+@query("op13_phrases", phrases.COLLOCATIONS_SQL)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
