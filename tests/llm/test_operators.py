@@ -361,7 +361,7 @@ def test_other_parameters_are_seen_through(spark):
     mixed = same.replace("of the 7", "of the 8").replace("that Peter", "that Maria")
     rows = [(1, same), (2, mixed), (3, "A train leaves with the milk and nothing else happens on that day in the town"), (4, item.upper())]
     got = {r.doc_id: r for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(9, item)], "item_id bigint, text string"), coverage=0.9).collect()}
-    assert set(got) == {1} and got[1].changed_slots >= 3
+    assert set(got) == {1, 4} and got[1].changed_slots >= 3
 
 
 def leaked(spark, item, *texts, **more):
@@ -399,7 +399,7 @@ def test_decontaminate_odd(spark, odd, none, bench):
     assert decontaminate.leaks(none, bench).count() == 0
     more = odd.union(odd.limit(1).withColumn("doc_id", F.lit(50).cast("bigint")).withColumn("text", F.lit("So: The quick brown fox, jumps over the lazy dog again")))
     got = decontaminate.leaks(more, bench).collect()
-    assert [(r.doc_id, r.item_id, r.n_matched) for r in got] == [(50, 0, 2)]  # "The" inside a sentence counts as a name
+    assert [(r.doc_id, r.item_id, r.n_matched) for r in got] == [(50, 0, 3)]  # "The" inside a sentence counts as a name
     assert decontaminate.drop_leaks(more, bench).columns == odd.columns
     short = decontaminate.leaks(spark.createDataFrame([(1, "x y z nine odd words stay here")], "doc_id bigint, text string"), spark.createDataFrame([(1, "nine odd words stay here"), (2, "x y")], "item_id bigint, text string"))
     assert [(r.doc_id, r.item_id) for r in short.collect()] == [(1, 1)]

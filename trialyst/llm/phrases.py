@@ -21,7 +21,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,31 +33,83 @@ from trialyst.llm.common import column, stored
 LONGEST, LEAST, TOP = 5, 100, 2000
 OVERLAP, SPREAD = LONGEST - 1, 16
 BITMAP_BITS = 26
-#: Words of a task whose hash is remembered; past that it starts anew.
-REMEMBERED = 1 << 20
-#: Words that are counted together in a task.
-WORDS = 1 << 20
+#: Bytes of text that a task handles together. A piece goes whole, however long.
+BYTES = 1 << 22
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+# of eight bytes the first n
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of more bytes are hashed and compared one by one.
+LONG_WORD = 64
 # piece ends become line ends and tabs blanks
 _CUT = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\t", b"\n" * 9 + b" ")
 
 
-class _Hashes(dict):
-    """The hash of a word."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _MIX
     return h ^ (h >> np.uint64(29))
 
 
+class _Words:
+    """Where the words of a text begin and end, their hashes, and numbers that are equal for equal words."""
+
+    def __init__(self, text: bytes):
+        self.text, self.bytes = text, np.frombuffer(text, np.uint8)
+        gap = (self.bytes == 32) | (self.bytes == 10)
+        edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
+        self.starts, self.ends = edge[::2], edge[1::2]
+        self.sizes = self.ends - self.starts
+        self._eights = np.ndarray((len(text) + 1,), "<u8", text + bytes(8), strides=(1,))  # from every place on
+
+    def _eight(self, words: np.ndarray, skip: int) -> np.ndarray:
+        """The next eight bytes of the words, zeros behind their end."""
+        return self._eights[self.starts[words] + skip] & _FIRST[np.minimum(self.sizes[words] - skip, 8)]
+
+    def _rounds(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(bytes before, words that go on) of the words up to LONG_WORD, eight bytes at a time."""
+        words, skip = np.flatnonzero(self.sizes <= LONG_WORD), 0
+        while len(words):
+            yield skip, words
+            skip += 8
+            words = words[self.sizes[words] > skip]
+
+    def _long(self) -> list[int]:
+        return np.flatnonzero(self.sizes > LONG_WORD).tolist()
+
+    def word(self, i: int) -> bytes:
+        return self.text[self.starts[i] : self.ends[i]]
+
+    def hashes(self) -> np.ndarray:
+        """A value of the bytes of a word alone."""
+        h = self.sizes.astype(np.uint64)
+        for skip, words in self._rounds():
+            h[words] = _mixed(h[words]) + self._eight(words, skip)
+        for i in self._long():
+            h[i] = xxhash.xxh3_64_intdigest(self.word(i))
+        return _mixed(h)
+
+    def numbers(self) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word, and a word of each number. Words are compared, so equal hashes don't matter."""
+        number, found = pd.factorize(self.hashes())
+        n = np.arange(len(number))
+        like = np.empty(len(found), np.int64)
+        like[number[::-1]] = n[::-1]
+        same = self.sizes == self.sizes[like[number]]
+        for skip, words in self._rounds():
+            words = words[same[words]]
+            same[words] = self._eight(words, skip) == self._eight(like[number[words]], skip)
+        if not same.all() or any(self.word(i) != self.word(like[number[i]]) for i in self._long()):
+            each: dict[bytes, int] = {}
+            number = np.array([each.setdefault(self.word(i), len(each)) for i in n.tolist()], np.int64)
+            like = np.empty(len(each), np.int64)
+            like[number[::-1]] = n[::-1]
+        return number, like
+
+    def lines(self) -> np.ndarray:
+        """The line of each word."""
+        return np.cumsum(self.bytes == 10)[self.starts] if len(self.starts) else self.starts
+
+
 def _windows(h: np.ndarray, words: int) -> np.ndarray:
     """Hash of the `words` words from each place on; only as long as they don't pass the end."""
     n = max(0, len(h) - words + 1)
@@ -65,52 +119,69 @@ def _windows(h: np.ndarray, words: int) -> np.ndarray:
     return _mixed(out)
 
 
-def _chunks(texts_: list[bytes], hashes: _Hashes) -> Counter:
-    """(chunk, whether it ends its piece) with their number."""
-    words: list[bytes] = []
-    ends: list[int] = []
-    for text in texts_:
-        for piece in text.lower().translate(_CUT).split(b"\n"):
-            words += piece.split()
-            if len(words) > (ends[-1] if ends else 0):
-                ends.append(len(words))
-    ends_ = np.array(ends, np.int64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    begins = np.concatenate([[0], ends_[:-1]]) if len(ends_) else ends_
-    trigger = np.nonzero(_windows(h, OVERLAP) % np.uint64(SPREAD) == 0)[0]
-    piece = np.searchsorted(ends_, trigger, side="right")
-    # the whole window inside its piece
-    trigger = trigger[trigger + OVERLAP <= ends_[piece]] if len(ends_) else trigger
-    starts = np.union1d(begins, trigger)
-    piece = np.searchsorted(ends_, starts, side="right")
-    ends_ = ends_[piece] if len(starts) else starts
-    following = np.append(starts[1:], len(words))
-    last = following >= ends_
-    stops = np.where(last, ends_, following + OVERLAP)
-    found: Counter = Counter()
-    for a, b, is_last in zip(starts.tolist(), stops.tolist(), last.tolist(), strict=True):
-        found[b" ".join(words[a:b]), is_last] += 1
+def _parts(text: bytes) -> Iterator[bytes]:
+    """The text in parts of about `BYTES`, cut where pieces end."""
+    at = 0
+    while len(text) - at > BYTES:
+        end = text.rfind(b"\n", at, at + BYTES)
+        end = text.find(b"\n", at + BYTES) if end < at else end
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
+
+
+def _chunks(texts_: list[bytes], spread: int = SPREAD) -> tuple[Counter, Counter]:
+    """The chunks that end their piece and the others, with their numbers."""
+    found = Counter(), Counter()
+    for text in _parts(b"\n".join(texts_).lower().translate(_CUT)):
+        words = _Words(text)
+        n = len(words.starts)
+        if not n:
+            continue
+        line = words.lines()
+        trigger = np.flatnonzero(_windows(words.hashes(), OVERLAP) % np.uint64(spread) == 0)
+        begins = np.ones(n, bool)
+        begins[1:] = line[1:] != line[:-1]
+        stops = np.append(np.flatnonzero(begins)[1:], n)[np.cumsum(begins) - 1]  # of each word's piece
+        begins[trigger[trigger + OVERLAP <= stops[trigger]]] = True
+        starts = np.flatnonzero(begins)
+        following = np.append(starts[1:], n)
+        last = following >= stops[starts]
+        until = np.where(last, stops[starts], following + OVERLAP)
+        spans = zip(words.starts[starts].tolist(), words.ends[until - 1].tolist(), strict=True)
+        slices = [text[a:b] for a, b in spans]
+        if b"  " in text:
+            slices = [b" ".join(c.split()) if b"  " in c else c for c in slices]
+        for ends, counter in zip((True, False), found, strict=True):
+            counter.update([slices[i] for i in np.flatnonzero(last == ends).tolist()])
     return found
 
 
-def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """The rows of each language, which is the first column."""
+    sorted_ = batch.take(pc.sort_indices(batch.column(0)))
+    lang = sorted_.column(0)
+    runs = pc.run_end_encode(lang)
+    start = 0
+    for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+        yield name, sorted_.slice(start, end - start)
+        start = end
+
+
+def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", spread: int = SPREAD) -> DataFrame:
     """lang, chunk, last, n: the distinct chunks of every language and how often they occur in the parse."""
     lang = F.coalesce(column(docs, lang_col).cast("string"), F.lit("und"))
     rows = docs.select(lang.alias("lang"), F.encode(F.coalesce(column(docs, text_col).cast("string"), F.lit("")), "UTF-8").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            group: dict[str, list[bytes]] = {}
-            for of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                group.setdefault(of, []).append(text)
-            for of, texts_ in group.items():
-                found = _chunks(texts_, hashes)
-                n = len(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([of] * n, pa.string()), pa.array([k[0] for k in found], pa.binary()).cast(pa.string()), pa.array([k[1] for k in found], pa.bool_()), pa.array(found.values(), pa.int64())],
-                    names=["lang", "chunk", "last", "n"],
-                )
+            for of, mine in _by_lang(batch):
+                for last, found in zip((True, False), _chunks(mine.column(1).to_pylist(), spread), strict=True):
+                    n = len(found)
+                    made = [pa.array([of] * n, pa.string()), pa.array(found, pa.binary()).cast(pa.string()), pa.array([last] * n, pa.bool_()), pa.array(found.values(), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(made, names=["lang", "chunk", "last", "n"])
 
     return rows.mapInArrow(run, "lang string, chunk string, last boolean, n bigint").groupBy("lang", "chunk", "last").agg(F.sum("n").alias("n"))
 
@@ -119,50 +190,44 @@ def _seed(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
 
 
-def _places(h: np.ndarray, lang: str) -> np.ndarray:
-    """Of phrases in the bitmap."""
-    return (_mixed(h ^ _seed(lang)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-
-
-def _dense(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Numbers of the pairs (a, b), equal for equal pairs."""
-    return np.unique((a << 32) | b, return_inverse=True)[1]
+def _places(h: np.ndarray, lang: str, bits: int) -> np.ndarray:
+    """Of phrases in a bitmap of 2^bits."""
+    return (_mixed(h ^ _seed(lang)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class _Batch:
     """Chunks of one language as one row of word numbers."""
 
-    def __init__(self, chunks: list[bytes], last: np.ndarray, n: np.ndarray, hashes: _Hashes):
-        numbers: dict[bytes, int] = {}
-        split = [c.split() for c in chunks]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        flat = [w for c in split for w in c]
-        self.ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in flat), np.int64, len(flat))
-        self.words = list(numbers)
-        vocabulary = np.fromiter(map(hashes.__getitem__, self.words), np.uint64, len(self.words))
-        self.hashes = vocabulary[self.ids]
-        self.left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))  # words from here to the end of the chunk
+    def __init__(self, chunks: list[bytes], last: np.ndarray, n: np.ndarray):
+        all_words = _Words(b"\n".join(chunks))
+        self.ids, like = all_words.numbers()
+        self.words = [all_words.word(i) for i in like.tolist()]
+        self.vocabulary = _Words(b"\n".join(self.words)).hashes()
+        sizes = np.bincount(all_words.lines(), minlength=len(chunks))
+        self.left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(self.ids))  # words from here to the end of the chunk
         self.own = self.left > np.repeat(np.where(last, 0, OVERLAP), sizes)  # phrases that start here are counted here
         self.n = np.repeat(n, sizes)
 
     def counts(self, k: int, marks: np.ndarray | None, lang: str) -> tuple[list[bytes], np.ndarray]:
         """Phrases of k words whose parts are marked, and their weighted number."""
-        at = np.nonzero(self.own & (self.left >= k))[0]
+        at = np.flatnonzero(self.own & (self.left >= k))
         if marks is not None and len(at):
-            place = _places(_windows(self.hashes, k - 1), lang)
+            place = _places(_mixed(self.vocabulary) if k == 2 else _windows(self.vocabulary[self.ids], k - 1), lang, len(marks).bit_length() + 5)
             hit = (marks[place >> 6] >> (place & 63)) & 1 == 1
+            hit = hit[self.ids] if k == 2 else hit
             at = at[hit[at] & hit[at + 1]]
         if not len(at):
             return [], at
-        group = self.ids[at]
+        # numbers of the phrases so far, and the words of each number
+        group, columns, size = self.ids[at], [np.arange(len(self.words))], len(self.words)
         for j in range(1, k):
-            group = _dense(group, self.ids[at + j])
-        _, first, group = np.unique(group, return_index=True, return_inverse=True)
-        totals = np.zeros(len(first), np.int64)
+            found, group = np.unique(group * size + self.ids[at + j], return_inverse=True)
+            columns = [c[found // size] for c in columns] + [found % size]
+        totals = np.zeros(len(columns[0]), np.int64)
         np.add.at(totals, group, self.n[at])
-        places = at[first]
-        columns = [map(self.words.__getitem__, self.ids[places + j].tolist()) for j in range(k)]
-        return list(map(b" ".join, zip(*columns, strict=True))), totals
+        there = np.flatnonzero(totals)
+        texts_ = [map(self.words.__getitem__, c[there].tolist()) for c in columns]
+        return list(map(b" ".join, zip(*texts_, strict=True))), totals[there]
 
 
 def count_phrases(chunks: DataFrame, k: int, marks: np.ndarray | None = None) -> DataFrame:
@@ -170,25 +235,27 @@ def count_phrases(chunks: DataFrame, k: int, marks: np.ndarray | None = None) ->
     sent = None if marks is None else chunks.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        waiting: dict[str, list] = {}
+        waiting: dict[str, list[pa.RecordBatch]] = {}
+        held: Counter = Counter()
 
         def counted(lang: str) -> pa.RecordBatch:
-            _, texts_, last, n = waiting.pop(lang)
-            phrases, totals = _Batch(texts_, np.array(last, bool), np.array(n, np.int64), hashes).counts(k, None if sent is None else sent.value, lang)
+            del held[lang]
+            rows = pa.Table.from_batches(waiting.pop(lang))
+            chunks_, last, n = rows.column(1).to_pylist(), rows.column(2).to_numpy(), rows.column(3).to_numpy()
+            phrases, totals = _Batch(chunks_, last, n).counts(k, None if sent is None else sent.value, lang)
             made = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(totals, pa.int64())]
             return pa.RecordBatch.from_arrays(made, names=["lang", "phrase", "f"])
 
         for batch in batches:
-            for lang, text, last, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held = waiting.setdefault(lang, [0, [], [], []])
-                held[0] += len(text)
-                for to, x in zip(held[1:], (text, last, n), strict=True):
-                    to.append(x)
-                if held[0] > 6 * WORDS:
-                    yield counted(lang)
-            while sum(h[0] for h in waiting.values()) > 24 * WORDS:
-                yield counted(max(waiting, key=lambda x: waiting[x][0]))
+            for lang, mine in _by_lang(batch):
+                for at in range(0, mine.num_rows, 2048):
+                    part = mine.slice(at, 2048)
+                    waiting.setdefault(lang, []).append(part)
+                    held[lang] += part.nbytes
+                    if held[lang] > BYTES:
+                        yield counted(lang)
+            while held.total() > 4 * BYTES:
+                yield counted(max(held, key=held.__getitem__))
         while waiting:
             yield counted(next(iter(waiting)))
 
@@ -196,40 +263,35 @@ def count_phrases(chunks: DataFrame, k: int, marks: np.ndarray | None = None) ->
     return rows.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def marks(phrases: DataFrame) -> np.ndarray:
-    """The bitmap of all given phrases. At most 2^BITMAP_BITS / 64 words come to the driver, however many phrases there are."""
+def marks(phrases: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
+    """The bitmap of all given phrases. At most 2^bits / 64 words come to the driver, however many phrases there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            group: dict[str, list[bytes]] = {}
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                group.setdefault(lang, []).append(phrase)
-            for lang, found in group.items():
-                words = [p.split() for p in found]
-                k = len(words[0])
-                h = np.fromiter((hashes[w] for p in words for w in p), np.uint64, k * len(words)).reshape(-1, k)
+            for lang, mine in _by_lang(batch):
+                found = mine.column(1).to_pylist()
+                h = _Words(b"\n".join(found)).hashes().reshape(len(found), -1)
                 out = h[:, 0]
-                for j in range(1, k):
+                for j in range(1, h.shape[1]):
                     out = _mixed(out) + h[:, j]
-                place = _places(_mixed(out), lang)
+                place = _places(_mixed(out), lang, bits)
                 yield pa.RecordBatch.from_arrays([pa.array(place >> 6), pa.array(np.int64(1) << (place & 63))], names=["at", "bits"])
 
     rows = phrases.select("lang", F.encode("phrase", "UTF-8")).mapInArrow(run, "at bigint, bits bigint")
     got = rows.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros((1 << BITMAP_BITS) // 64, np.int64)
-    bits[got.column("at").to_numpy()] = got.column("bits").to_numpy()
-    return bits
+    out = np.zeros((1 << bits) // 64, np.int64)
+    out[got.column("at").to_numpy()] = got.column("bits").to_numpy()
+    return out
 
 
-def frequent(chunks: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+def frequent(chunks: DataFrame, least: int = LEAST, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f, k) of all phrases of at least `least` occurrences, and (lang, n) of all words."""
     words = stored(count_phrases(chunks, 1), "words")
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     level = words.where(F.col("f") >= least)
     levels = [level.withColumn("k", F.lit(1))]
-    for k in range(2, longest + 1):
-        level = stored(count_phrases(chunks, k, marks(level)).where(F.col("f") >= least), f"phrases-{k}")
+    for k in range(2, LONGEST + 1):
+        level = stored(count_phrases(chunks, k, marks(level, bits)).where(F.col("f") >= least), f"phrases-{k}")
         levels.append(level.withColumn("k", F.lit(k)))
     out = levels[0]
     for x in levels[1:]:
@@ -262,10 +324,10 @@ def scored(found: DataFrame, total: DataFrame) -> DataFrame:
     return cuts.groupBy("lang", "phrase", "a", "n").agg(least).select("lang", "phrase", "a", "c.l", "c.r", "n", "c.score")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, spread: int = SPREAD, bits: int = BITMAP_BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first `top` phrases of every language."""
-    chunks = stored(dictionary(docs, text_col, lang_col), "chunks")
-    found, total = frequent(chunks, least)
+    chunks = stored(dictionary(docs, text_col, lang_col, spread), "chunks")
+    found, total = frequent(chunks, least, bits)
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     # the limit is applied before the shuffle as well
     ranked = scored(found, total).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
