@@ -129,22 +129,6 @@ def test_markdown_starts_with_its_header(spark, tmp_path):
 # --- streams -----------------------------------------------------------------
 
 
-def test_ledger_carries_over_batches_and_restarts(spark, tmp_path):
-    schema = "run_id bigint, seq bigint, tokens bigint"
-    budgets = spark.createDataFrame([(1, 10)], "run_id bigint, budget bigint")
-    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
-
-    def go():
-        s = live.stream_trials(spark, str(tmp_path / "in"), schema, per_trigger=1)
-        live.stream_ledger(s, budgets).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-        return [(r["seq"], r["consumed"], r["exhausted"], r["overshoot"]) for r in spark.read.parquet(out).orderBy("seq").collect()]
-
-    _put(tmp_path, "in/a.json", '{"run_id":1,"seq":1,"tokens":4}\n{"run_id":1,"seq":2,"tokens":6}')
-    assert go() == [(1, 4, False, False), (2, 10, True, False)]
-    _put(tmp_path, "in/b.json", '{"run_id":1,"seq":3,"tokens":1}')
-    assert go() == [(1, 4, False, False), (2, 10, True, False), (3, 11, True, True)]
-
-
 def test_first_wins_over_restarts(spark, tmp_path):
     schema = "run bigint, task string, v bigint"
     store, mark = str(tmp_path / "store"), str(tmp_path / "mark")

@@ -21,7 +21,7 @@ from trialyst.functions.text import (
     with_reasoning,
 )
 from trialyst.operators.normalize import assert_scrub, sft_eligible, unpivot_conditions
-from trialyst.operators.scan import take_by_rank
+from trialyst.operators.scan import histogram, last_by_rank, take_by_rank
 from trialyst.operators.summary import rows
 
 MESSAGE = (
@@ -364,26 +364,34 @@ def quota_sample(df: DataFrame, ratios: dict[str, float] = QUOTA, total: int = 0
     """A seeded sample with fixed stratum shares. Without a total the scarcest
     stratum sets it; a shortfall elsewhere is not made up for."""
     named = df.filter(F.col("stratum").isin(*ratios))
+    rank = draw(seed, key)
+    hist = histogram(named, ["stratum"], rank)
     share = F.element_at(F.create_map(*[F.lit(x) for kv in ratios.items() for x in kv]), F.col("stratum"))
-    counts = named.groupBy("stratum").agg(rows().alias("n")).withColumn("share", share)
+    # one row per named stratum
+    counts = hist.groupBy("stratum").agg(F.sum("__n").alias("n")).withColumn("share", share)
     limit = (
         F.lit(total)
         if total
         else F.min(F.when(F.col("share") > 0, F.floor(F.col("n") / F.col("share")).cast("bigint"))).over(Window.partitionBy(F.lit(1)))
     )
-    quota = counts.withColumn("n_take", F.bround(F.col("share") * limit, 0).cast("bigint")).filter(F.col("n_take") > 0)
-    return take_by_rank(named, ["stratum"], draw(seed, key), [key], quota.select("stratum", "n_take"))
+    quota = counts.withColumn("n_take", F.bround(F.col("share") * limit, 0).cast("bigint"))
+    return take_by_rank(named, ["stratum"], rank, [key], quota.select("stratum", "n_take"), hist=hist)
 
 
 def assign_strata(tasks: DataFrame, fraction: float, seed, key: str = "task_id") -> DataFrame:
-    """Exactly round(n * fraction) tasks, chosen by hash, become no_revise."""
+    """Exactly round(n * fraction) tasks, chosen by hash, become no_revise. Two passes find the
+    last of them, one row; the third marks the tasks, each by itself."""
+    rank = draw(seed, key)
     # one group of everything; a computed key keeps its joins hash joins
-    whole = tasks.withColumn("__all", draw(seed, key) % 1)
-    quota = whole.groupBy("__all").agg(F.bround(rows() * F.lit(fraction), 0).cast("bigint").alias("n_take")).filter(F.col("n_take") > 0)
-    chosen = take_by_rank(whole.select("__all", key), ["__all"], draw(seed, key), [key], quota).select(
-        key, F.lit("no_revise").alias("__s")
-    )
-    return tasks.join(chosen, key, "left").withColumn("target", F.coalesce("__s", F.lit("revise"))).drop("__s")
+    whole = tasks.select(key, (rank % 1).alias("__all"))
+    hist = histogram(whole, ["__all"], rank)
+    quota = hist.groupBy("__all").agg(F.bround(F.sum("__n") * F.lit(fraction), 0).cast("bigint").alias("n_take"))
+    last = last_by_rank(whole, ["__all"], rank, [key], quota, hist=hist).collect()
+    chosen = F.lit(bool(last))
+    if last and last[0]["__last"] is not None:
+        at, name = last[0]["__last"], F.col(key)
+        chosen = (rank < at[0]) | ((rank == at[0]) & F.coalesce(name <= F.lit(at[1]), name.isNull()))
+    return tasks.withColumn("target", F.when(chosen, "no_revise").otherwise("revise"))
 
 
 def draw_candidates(pool: DataFrame, n: int, seed, key: str = "task_id") -> DataFrame:

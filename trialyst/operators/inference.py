@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialyst.functions.prng import draw_below
 from trialyst.functions.stats import safe_ratio, sign_test
 from trialyst.operators.summary import rows
 
-# Pairs that may be sent to every task, some 5 MB.
-SENT_ROWS = 200_000
+# Into which the distinct pairs of a group are dealt, a power of two.
+BLOCKS = 128
 
 
 def sign_test_pairs(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
@@ -54,15 +57,11 @@ def _statistic(name: str, sa: Column, sb: Column, n: Column) -> Column:
     raise ValueError(f"unknown statistic {name!r}")
 
 
-def _interval(sums: DataFrame, sizes: DataFrame, by: str, stat: str, resamples: int) -> DataFrame:
+def _interval(sums: DataFrame, by: str, stat: str, resamples: int) -> DataFrame:
     """Order statistics at int(.025 B) and int(.975 B), no interpolation. A
     group contributes one value per resample, so the array is bounded by B."""
-    values = sums.join(sizes.select(by, "n"), by).withColumn(
-        "v", _statistic(stat, F.col("sa").cast("double"), F.col("sb").cast("double"), F.col("n").cast("double"))
-    )
-    ordered = values.groupBy(by).agg(
-        F.max("n").alias("n"), F.sort_array(F.collect_list("v")).alias("vs")
-    )
+    values = sums.withColumn("v", _statistic(stat, F.col("sa"), F.col("sb"), F.col("n").cast("double")))
+    ordered = values.groupBy(by).agg(F.max("n").alias("n"), F.sort_array(F.collect_list("v")).alias("vs"))
     return ordered.select(
         by, "n",
         F.element_at("vs", int(0.025 * resamples) + 1).alias("lo"),
@@ -70,40 +69,92 @@ def _interval(sums: DataFrame, sizes: DataFrame, by: str, stat: str, resamples:
     )
 
 
-def _sums(pairs: DataFrame, sizes: DataFrame, by: str, order: list[str], resamples: int, seed) -> DataFrame:
-    """Each draw picks row hash(seed, group, resample, j) mod n of its group.
-    Draws are made where their resample is summed. Counting the pairs first
-    tells whether they can be sent there; more of them are met by a shuffle,
-    with the same result. The window that numbers a
-    group's n rows is small against the n draws of each resample."""
-    w = Window.partitionBy(by).orderBy(*order)
-    indexed = pairs.select(by, "a", "b", (F.row_number().over(w) - 1).cast("bigint").alias("ix"))
-    # A given number, as the few rows here would else be put together before they become many.
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    draws = (
-        sizes.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
-        .repartition(tasks, by, "r")
-        .select(by, "r", "n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("j"))
-        .select(by, "r", draw_below(seed, F.col("n"), by, "r", "j").alias("ix"))
+def _generator(*key) -> np.random.Generator:
+    """Random numbers that depend on the key alone."""
+    digest = hashlib.sha256(":".join(map(str, key)).encode()).digest()
+    return np.random.Generator(np.random.Philox(key=int.from_bytes(digest[:16], "big")))
+
+
+def _share(rng_key: tuple, draws: np.ndarray, part: int, whole: int) -> np.ndarray:
+    """How many of each resample's draws from `whole` pairs fall on `part` of them."""
+    if part in (0, whole):
+        return draws if part else np.zeros_like(draws)
+    return _generator(*rng_key).binomial(draws, part / whole)
+
+
+def block_sums(a, b, counts, path: list[int], block: int, resamples: int, key: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """What a block of pairs adds to both sums of every resample.
+
+    ``path`` holds the number of pairs in the halves of halves around the block, the whole group first and the block itself
+    last. The group's n draws are split at every level by a binomial draw that
+    both halves make alike, as its random numbers follow from the node; the
+    draws left for the block are then split among its distinct pairs in their order."""
+    draws = np.full(resamples, path[0], np.int64)
+    for depth in range(1, len(path)):
+        own, whole = path[depth], path[depth - 1]
+        at = block >> (len(path) - 1 - depth)
+        first = whole - own if at & 1 else own
+        left = _share((*key, depth, at >> 1), draws, first, whole)
+        draws = draws - left if at & 1 else left
+    order = np.lexsort((b, a))
+    rest, rng = path[-1], _generator(*key, "block", block)
+    sa, sb = np.zeros(resamples), np.zeros(resamples)
+    for i in order.tolist():
+        mine = rng.binomial(draws, counts[i] / rest) if counts[i] < rest else draws
+        sa += mine * a[i]
+        sb += mine * b[i]
+        draws, rest = draws - mine, rest - counts[i]
+    return sa, sb
+
+
+def resample_sums(pairs: DataFrame, by: str, resamples: int = 10_000, seed: int = 0) -> DataFrame:
+    """(by, n, r, sa, sb): both sums of every resample of n draws, with
+    replacement, from each group's n pairs.
+
+    Equal pairs are counted first, so a resample is a multinomial draw over the
+    distinct pairs. These are dealt into `BLOCKS` blocks by hash, and every
+    block finds its share of the draws by binomial splits down the tree of
+    block counts. A group of any size is spread over its blocks, no pair is
+    numbered, and no draw is a row: the shuffles hold the distinct pairs and at most
+    BLOCKS rows per resample. The result does not depend on partitions,
+    other groups or retries."""
+    block = F.pmod(F.xxhash64("a", "b"), F.lit(BLOCKS)).cast("int").alias("__block")
+    counted = pairs.select(by, F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")).groupBy(by, "a", "b").agg(rows().alias("c"))
+    counted = counted.withColumn("__block", block)
+    totals = counted.groupBy(by, "__block").agg(F.sum("c").alias("t"))
+    every = totals.groupBy(by).agg(F.collect_list(F.struct("__block", "t")).alias("all"))  # at most BLOCKS entries
+
+    def within(of, s):
+        return F.aggregate(F.filter("all", lambda x: F.shiftright(x["__block"], s) == F.shiftright(of, s)), F.lit(0).cast("bigint"), lambda acc, x: acc + x["t"])
+
+    levels = BLOCKS.bit_length() - 1
+    paths = every.select(by, "all", F.explode("all").alias("e")).select(
+        F.col(by).alias("__by"), F.col("e.__block").alias("__at"), F.array(*[within(F.col("e.__block"), s) for s in range(levels, -1, -1)]).alias("__path")
     )
-    if pairs.count() <= SENT_ROWS:  # the size is known, so draws needn't be shuffled to the pairs
-        indexed = F.broadcast(indexed)
-    return draws.join(indexed, [by, "ix"]).groupBy(by, "r").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
+    placed = counted.join(paths, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__block") == F.col("__at"))).withColumn("__name", F.col(by).cast("string"))
+    kind = counted.schema[by].dataType.simpleString()
+
+    def summed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        a, b, c = (frame[x].to_numpy() for x in "abc")
+        path = [int(x) for x in frame["__path"].iloc[0]]
+        sa, sb = block_sums(a, b, c, path, int(key[1]), resamples, (seed, frame["__name"].iloc[0]))
+        return pd.DataFrame({by: pd.Series([key[0]] * resamples, dtype=frame[by].dtype), "n": path[0], "block": key[1], "r": np.arange(resamples), "sa": sa, "sb": sb})
+
+    parts = placed.select(by, "__block", "__name", "__path", "a", "b", "c").groupBy(by, "__block").applyInPandas(summed, f"`{by}` {kind}, n bigint, block int, r int, sa double, sb double")
+    # added in the order of the blocks, so that fractions round alike each time
+    adding = lambda x: F.aggregate(F.sort_array("parts"), F.lit(0.0), lambda acc, p: acc + p[x])
+    return parts.groupBy(by, "n", "r").agg(F.collect_list(F.struct("block", "sa", "sb")).alias("parts")).select(by, "n", "r", adding("sa").alias("sa"), adding("sb").alias("sb"))
 
 
 def bootstrap_ci(
     pairs: DataFrame,
     by: str,
     stat: str = "mean_delta",
-    order: list[str] | None = None,
     resamples: int = 10_000,
     seed: int = 0,
 ) -> DataFrame:
     """Paired bootstrap 95% interval of each group; ``pairs`` has columns
-    (by, a, b). Every group, of any size, is resampled draw by draw with the
-    portable hash: n draws for each resample, over the group's rows in a total
-    ``order`` (by default their values, as equal pairs are interchangeable)."""
+    (by, a, b), one row per pair. Pairs with a null side are left out. Its cost is the number of
+    distinct pairs times the resamples, whatever the number of pairs."""
     clean = pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    sizes = clean.groupBy(by).agg(rows().alias("n"))
-    sums = _sums(clean, sizes, by, order or ["a", "b"], resamples, seed)
-    return _interval(sums, sizes, by, stat, resamples)
+    return _interval(resample_sums(clean, by, resamples, seed), by, stat, resamples)

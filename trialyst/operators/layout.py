@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialyst.operators.scan import running
+from trialyst.session import stored
 
 PAGE = ["page_id", "viewport", "frame_ms"]
+AXIS = [*PAGE, "axis"]
+# pixels of a page side that are walked through at once
+CHUNK = 1024
 # fixed values: thresholds in pixels, tag lists
 EDGE_SLACK = 4
 MIN_OVERLAP = 6
@@ -40,6 +44,11 @@ def texts(boxes: DataFrame) -> DataFrame:
     )
 
 
+def with_pages(boxes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Boxes with the size of their page, one join for all checks that need it."""
+    return boxes if "W" in boxes.columns else boxes.join(docs.select(*PAGE, "W", "H", "web"), PAGE, "left")
+
+
 def ancestor_paths(path: Column) -> Column:
     """Proper prefixes of a path, outermost first: /0/3/7/ gives /0/ and /0/3/."""
     parts = F.split(path, "/")
@@ -119,7 +128,6 @@ def text_overlaps(boxes: DataFrame) -> DataFrame:
 def clipped(boxes: DataFrame, docs: DataFrame) -> DataFrame:
     """Texts and painted shapes partly in view that cross a viewport edge; on
     web pages only the left and right edges count. One row per element."""
-    d = docs.select(*PAGE, "W", "H", "web")
     x, y, r, b = (F.col(c) for c in "xyrb")
     in_view = (r > 0) & (x < F.col("W")) & (F.col("web") | ((b > 0) & (y < F.col("H"))))
     sides = (r > F.col("W") + EDGE_SLACK) | (x < -EDGE_SLACK)
@@ -127,8 +135,7 @@ def clipped(boxes: DataFrame, docs: DataFrame) -> DataFrame:
     text = F.col("is_text") & ~F.col("tag").isin(UNSEEN_TAGS) & (r > x) & (b > y)
     shape = F.col("tag").isin(SHAPE_TAGS) & ~((r - x < 2) & (b - y < 2))
     return (
-        boxes.filter(F.col("visible") & (text | shape))
-        .join(d, PAGE)
+        with_pages(boxes.filter(F.col("visible") & (text | shape)), docs)
         .filter(in_view & (sides | ends))
         .select(*PAGE, "elem_id", "tag", "text", text.alias("as_text"))
     )
@@ -174,34 +181,77 @@ def doc_overflow(docs: DataFrame) -> DataFrame:
 
 
 def cards(boxes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Bordered or filled boxes of card size that are not inside another one."""
-    d = docs.select(*PAGE, "W", "H")
+    """Bordered or filled boxes of card size that are not inside another one.
+
+    In the order of their paths everything inside a box follows it and ends
+    before the path that closes it, so the largest closing path so far tells whether one is
+    still open: one running maximum instead of a join with all ancestors."""
     w, h = F.col("r") - F.col("x"), F.col("b") - F.col("y")
     cand = (
-        boxes.filter(
-            F.col("visible") & ~F.col("tag").isin(NOT_CARD_TAGS) & ((F.col("n_borders") >= 2) | F.col("has_bg"))
-            & (w >= 80) & (h >= 30)
+        with_pages(
+            boxes.filter(
+                F.col("visible") & ~F.col("tag").isin(NOT_CARD_TAGS) & ((F.col("n_borders") >= 2) | F.col("has_bg"))
+                & (w >= 80) & (h >= 30)
+            ),
+            docs,
         )
-        .join(d, PAGE)
         .filter((w <= F.col("W") * 0.72) & (h <= F.col("H") * 0.88))
         .select(*PAGE, "elem_id", "dom_path", "x", "y", "r", "b", w.alias("w"), h.alias("h"))
     )
-    outer = cand.select(*PAGE, F.col("dom_path").alias("path"))
-    inside = (
-        cand.select(*PAGE, "elem_id", F.explode(ancestor_paths(F.col("dom_path"))).alias("path"))
-        .join(outer, [*PAGE, "path"], "left_semi")
-        .select(*PAGE, "elem_id")
+    # the character after the slash closes a path: nothing that begins with the path sorts behind it
+    closing = F.concat(F.expr("left(dom_path, length(dom_path) - 1)"), F.lit("0"))
+    open_until = running(cand, PAGE, ["dom_path", "elem_id"], {"__open": ("max", closing)})
+    return open_until.filter(F.col("__open") == closing).drop("__open")
+
+
+def _edges_after(edges: DataFrame) -> DataFrame:
+    """For each distinct edge the next one and the first more than the cluster
+    tolerance away (``jump``), from one walk down the positions: asking rows
+    take the last edge passed, and ask before an edge at the same place."""
+    def row(kind, pos):
+        return F.struct((-pos).alias("down"), F.lit(kind).alias("kind"))
+
+    edge = F.col("edge")
+    events = edges.select(*AXIS, "edge", F.explode(F.array(row(0, edge), row(1, edge + CLUSTER_TOLERANCE), row(2, edge))).alias("v")).select(*AXIS, "edge", "v.*")
+    passed = running(events, AXIS, ["down", "kind", "edge"], {"at": ("last", F.when(F.col("kind") == 2, edge))}, F.floor(F.col("down") / CHUNK))
+    return passed.filter("kind < 2").groupBy(*AXIS, "edge").agg(
+        F.max(F.when(F.col("kind") == 0, F.col("at"))).alias("next"), F.max(F.when(F.col("kind") == 1, F.col("at"))).alias("jump")
     )
-    return cand.join(inside, [*PAGE, "elem_id"], "left_anti")
+
+
+def cluster_starts(edges: DataFrame) -> DataFrame:
+    """The edges at which the greedy clusters of a page axis begin: the first
+    one, and from each the first that is more than 16 px away.
+
+    An edge more than 16 px behind its neighbour begins a cluster in any case; most pages are
+    settled by that. Between such edges the starts are found by pointer
+    doubling: each round adds the starts that lie as many jumps further as have been
+    covered and doubles the jumps, until none is new. Rounds grow with the logarithm of
+    the longest chain, shuffles with the edges that still have a jump."""
+    after = stored(_edges_after(edges), "edges")
+    far = after.filter(F.col("next") - F.col("edge") > CLUSTER_TOLERANCE).select(*AXIS, F.col("next").alias("edge"))
+    roots = far.unionByName(after.groupBy(*AXIS).agg(F.min("edge").alias("edge")))
+    links = stored(after.filter(F.col("jump").isNotNull()).select(*AXIS, "edge", "jump").join(roots.withColumnRenamed("edge", "jump"), [*AXIS, "jump"], "left_anti"), "links")
+    starts = stored(roots.join(links, [*AXIS, "edge"], "left_semi"), "starts")
+    found = [roots]
+    while True:
+        reached = starts.join(links, [*AXIS, "edge"]).select(*AXIS, F.col("jump").alias("edge")).distinct()
+        new = stored(reached.join(starts, [*AXIS, "edge"], "left_anti"), "starts")
+        if new.isEmpty():
+            break
+        found.append(new)
+        starts = starts.unionByName(new)
+        beyond = links.select(*AXIS, F.col("edge").alias("jump"), F.col("jump").alias("beyond"))
+        links = stored(links.join(beyond, [*AXIS, "jump"]).select(*AXIS, "edge", F.col("beyond").alias("jump")), "links")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def clusters(card: DataFrame) -> DataFrame:
     """Cards as rows (shared top) and columns (shared left). A cluster takes in
-    everything within 16 px of its first edge.
-
-    The greedy rule runs over a page's distinct edge positions and keeps only
-    the cluster starts, at most one per 16 px; cards then find their start.
-    """
+    everything within 16 px of its first edge, its ``anchor``."""
     both = card.select(
         *PAGE, "elem_id",
         F.explode(
@@ -213,18 +263,10 @@ def clusters(card: DataFrame) -> DataFrame:
             )
         ).alias("s"),
     ).select(*PAGE, "elem_id", "s.*")
-    starts = both.groupBy(*PAGE, "axis").agg(
-        F.aggregate(
-            F.array_sort(F.collect_set("edge")),
-            F.array().cast("array<double>"),
-            lambda acc, v: F.when(
-                (F.size(acc) == 0) | (v - F.get(acc, F.size(acc) - 1) > CLUSTER_TOLERANCE), F.array_append(acc, v)
-            ).otherwise(acc),
-        ).alias("starts")
-    )
-    return both.join(starts, [*PAGE, "axis"]).withColumn(
-        "anchor", F.array_max(F.filter("starts", lambda a: a <= F.col("edge")))
-    ).drop("starts")
+    edges = stored(both.select(*AXIS, "edge").distinct(), "edges")
+    marked = edges.join(cluster_starts(edges).withColumn("first", F.lit(True)), [*AXIS, "edge"], "left")
+    anchored = running(marked, AXIS, ["edge"], {"anchor": ("last", F.when(F.col("first"), F.col("edge")))}, F.floor(F.col("edge") / CHUNK))
+    return both.join(anchored.drop("first"), [*AXIS, "edge"])
 
 
 def _spread(c: str) -> Column:
@@ -235,9 +277,9 @@ def misalignment(card: DataFrame) -> DataFrame:
     """Faults per cluster of three or more cards: unequal size, ragged far
     edges, uneven gaps."""
     keys = [*PAGE, "axis", "anchor"]
-    placed = clusters(card)
+    placed = stored(clusters(stored(card, "cards")), "placed")
     gaps = running(
-        placed, keys, ["start", "edge", "elem_id"], {"before": ("prev", F.col("stop"))}, F.floor(F.col("start") / 1024)
+        placed, keys, ["start", "edge", "elem_id"], {"before": ("prev", F.col("stop"))}, F.floor(F.col("start") / CHUNK)
     ).withColumn("gap", F.col("start") - F.col("before"))
     g = gaps.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), _spread("size").alias("size_spread"), F.avg("size").alias("size_avg"),
@@ -265,6 +307,13 @@ def defect_rows(boxes: DataFrame, docs: DataFrame) -> DataFrame:
     def shape(df, kind, pos, first, second=none):
         return df.select(*PAGE, F.lit(kind).alias("kind"), pos.cast("bigint").alias("pos"), first.alias("first"), second.alias("second"))
 
+    # all checks read this one table
+    boxes = stored(
+        with_pages(boxes, docs).filter("visible OR has_border OR has_bg OR overflow_hidden").select(
+            *PAGE, "elem_id", "dom_path", "tag", "text", "x", "y", "r", "b", "display", "n_borders", "has_border", "has_bg", "overflow_hidden", "visible", "is_text", "W", "H", "web"
+        ),
+        "boxes",
+    )
     m = misalignment(cards(boxes, docs))
     group = F.when(F.col("axis") == "row", "row").otherwise("col")
     wide = F.when(F.col("axis") == "row", "unequal box widths (x").otherwise("unequal box heights (x")

@@ -72,8 +72,7 @@ def rank_candidates(df: DataFrame) -> DataFrame:
 
 
 def carry_best(best: DataFrame, chunk: Column | None = None) -> DataFrame:
-    """Best so far after each iteration; a later one must be strictly better.
-    Tasks with an iteration limit need no chunk."""
+    """Best so far after each iteration; a later one must be strictly better."""
     key = F.struct(*_candidate_key(), (-F.col("iter")).alias("i"), F.col("code").alias("code"))
     return running(best, ["task_id"], ["iter"], {"b": ("max", key)}, chunk).select(
         "task_id", "iter", (-F.col("b.i")).alias("best_iter"), F.col("b.code").alias("best_code"),
@@ -173,8 +172,7 @@ def stop_reason(
 ) -> DataFrame:
     """Why each run stopped. Within an iteration the checks come in this order:
     budget before it starts, after propose, tests passed, budget after execute,
-    confident review; otherwise the iteration limit. Runs that respect the
-    limit need no chunk."""
+    confident review; otherwise the iteration limit."""
     spent = F.col("tokens_propose") + F.col("tokens_execute") + F.col("tokens_review")
     total_after = running(iters, ["run_id"], ["iteration"], {"after": ("sum", spent)}, chunk)
     x = total_after.withColumn("before", F.col("after") - spent).join(budgets, "run_id")
@@ -226,28 +224,41 @@ def last_artifact(turns: DataFrame, key: str = "run_id", turn: str = "iteration"
     )
 
 
-def error_history(iters: DataFrame, chars: int | None = None) -> DataFrame:
-    """What each iteration has seen of earlier failures, whole unless ``chars``
-    cuts each, and whether its own whole error came up before. One array per
-    iteration of a run, whose length the iteration limit bounds."""
-    w = Window.partitionBy("run_id").orderBy("iteration").rowsBetween(Window.unboundedPreceding, -1)
-    own = Window.partitionBy("run_id", F.md5("error")).orderBy("iteration")
+def error_history(iters: DataFrame) -> DataFrame:
+    """What each iteration can see of earlier failures, as an index: their
+    number, the latest of them (``previous``, from which the rows lead back to the first), and where its own whole error first came up.
+    Rows keep their size however long a run is; ``errors_before`` spells out the texts of chosen iterations."""
+    failed = F.col("error").isNotNull()
+    seen = running(
+        iters.select("run_id", "iteration", "error"), ["run_id"], ["iteration"],
+        {"__n": ("sum", failed.cast("bigint")), "previous": ("before", F.when(failed, F.col("iteration")))},
+    ).withColumn("__error", F.md5("error"))
+    first = iters.filter(failed).groupBy("run_id", F.md5("error").alias("__error")).agg(F.min("iteration").alias("first_seen"))
+    return seen.join(first, ["run_id", "__error"], "left").select(
+        "run_id", "iteration", "error", (F.col("__n") - failed.cast("bigint")).alias("n_prior"), "previous", "first_seen",
+        F.coalesce(F.col("first_seen") < F.col("iteration"), F.lit(False)).alias("recurs"),
+    )
+
+
+def errors_before(iters: DataFrame, asked: DataFrame, chars: int | None = None) -> DataFrame:
+    """The errors before each asked (run_id, iteration) in their order, whole
+    unless ``chars`` cuts each. One array per asked iteration."""
     shown = F.col("error") if chars is None else F.left("error", F.lit(chars))
-    return iters.select(
-        "run_id", "iteration", "error", F.collect_list(shown).over(w).alias("history"),
-        (F.col("error").isNotNull() & (F.row_number().over(own) > 1)).alias("recurs"),
-    ).select("run_id", "iteration", "error", "history", F.size("history").alias("n_prior"), "recurs")
+    failed = iters.filter(F.col("error").isNotNull()).select("run_id", F.col("iteration").alias("at"), shown.alias("shown"))
+    met = asked.select("run_id", "iteration").join(failed, "run_id", "left")
+    earlier = F.when(F.col("at") < F.col("iteration"), F.struct("at", "shown"))
+    return met.groupBy("run_id", "iteration").agg(F.transform(F.sort_array(F.collect_list(earlier)), lambda x: x["shown"]).alias("history"))
 
 
-def with_seq_id(df: DataFrame, prefix: str, order: list[str], chunk: Column, width: int = 4) -> DataFrame:
+def with_seq_id(df: DataFrame, prefix: str, order: list[str], width: int = 4) -> DataFrame:
     """Display ids p0001, p0002, ... along a total order. Rows are numbered
-    inside chunks; only the chunk totals meet in one place."""
-    whole = df.withColumn("__all", F.lit(0))
-    numbered = running(whole, ["__all"], order, {"seq": ("count", F.lit(1))}, chunk)
+    inside range partitions; what meets in one place is the count of each
+    partition, whose number does not depend on the rows."""
+    numbered = running(df, [], order, {"seq": ("count", F.lit(1))})
     digits = F.greatest(F.length(F.col("seq").cast("string")), F.lit(width))
     return numbered.withColumn(
         "pair_id", F.concat(F.lit(prefix), F.lpad(F.col("seq").cast("string"), digits, F.lit("0")))
-    ).drop("__all")
+    )
 
 
 def union_at_k(judged: DataFrame, by: list[str], seeds: list[int]) -> DataFrame:

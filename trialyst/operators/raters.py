@@ -12,7 +12,7 @@ from trialyst.operators.rank import with_seq_id
 from trialyst.operators.summary import rows
 
 
-def build_pairs(runs: DataFrame, seed, chunk: Column, order: list[str]) -> tuple[DataFrame, DataFrame]:
+def build_pairs(runs: DataFrame, seed, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """Blind manifest and separate key. Records without both artifacts drop out
     before numbering; the reviewed side is a coin flip per pair; the manifest
     comes in hash order and does not tell the sides."""
@@ -21,7 +21,7 @@ def build_pairs(runs: DataFrame, seed, chunk: Column, order: list[str]) -> tuple
         "modality", "task_id", "file", "ss_n_defects", "rv_n_defects",
         *[c for c in order if c not in ("modality", "task_id", "file")],
     )
-    numbered = with_seq_id(slim, "p", order, chunk)
+    numbered = with_seq_id(slim, "p", order)
     single_first = draw(seed, "pair_id") % 2 == 0
     sided = numbered.select(
         "pair_id", "modality", "task_id", seed_tag("file").alias("seed"),

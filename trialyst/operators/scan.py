@@ -11,9 +11,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialyst.session import stored
+
 _RESERVED = "__chunk"
 
 
+def ranged(df: DataFrame, order: list[str], chunk: str = _RESERVED) -> DataFrame:
+    """The rows kept in the shared folder with a chunk number that follows a
+    total order. Spark samples the order and cuts it into as many chunks as
+    there are shuffle partitions, of about equal row counts, so one group may
+    have many. The chunks are written once, as another run of the
+    sampling could cut elsewhere."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(parts, *order).withColumn(chunk, F.spark_partition_id()), "chunks")
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -24,16 +36,15 @@ def running(
     """Add running values up to and including each row.
 
     ``measures`` maps an output name to (kind, expression); kind is ``sum``,
-    ``max``, ``count``, ``last`` (latest non-null) or ``prev`` (the value of
-    the row before). ``chunk`` must not decrease along ``order`` inside a
-    group. Order columns must be total. Without a chunk the window takes each
-    group whole, which suits groups of a known small size only.
+    ``max``, ``count``, ``last`` (latest non-null), ``before`` (latest non-null
+    of earlier rows) or ``prev`` (the value of the row before). Order columns must be total. Without ``keys`` all rows are
+    one group. By default the chunks are cut by ``ranged``, which writes the rows once; a ``chunk``
+    expression that does not decrease along ``order`` inside a group saves that.
     """
-    if chunk is None:
-        return _running_whole(df, keys, order, measures)
-    base = df.withColumn(_RESERVED, chunk)
+    base = df
     for name, (kind, expr) in measures.items():
         base = base.withColumn(f"__m_{name}", F.lit(1) if kind == "count" else expr)
+    base = ranged(base, [*keys, *order]) if chunk is None else base.withColumn(_RESERVED, chunk)
     inner = (
         Window.partitionBy(*keys, _RESERVED)
         .orderBy(*order)
@@ -52,6 +63,9 @@ def running(
         elif kind == "last":
             totals.append(F.max_by(m, F.when(m.isNotNull(), position)).alias(f"__t_{name}"))
             local = local.withColumn(f"__l_{name}", F.last(m, ignorenulls=True).over(inner))
+        elif kind == "before":
+            totals.append(F.max_by(m, F.when(m.isNotNull(), position)).alias(f"__t_{name}"))
+            local = local.withColumn(f"__l_{name}", F.last(m, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, -1)))
         elif kind == "prev":
             step = Window.partitionBy(*keys, _RESERVED).orderBy(*order)
             totals.append(F.max_by(F.struct(m.alias("v")), position).alias(f"__t_{name}"))
@@ -70,6 +84,7 @@ def running(
             "count": F.sum(t),
             "max": F.max(t),
             "last": F.last(t, ignorenulls=True),
+            "before": F.last(t, ignorenulls=True),
             "prev": F.last(t),
         }[kind]
         offsets = offsets.withColumn(f"__o_{name}", fold.over(before))
@@ -97,28 +112,14 @@ def running(
     return joined.select(*out)
 
 
-def _running_whole(df, keys, order, measures) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = []
-    for name, (kind, expr) in measures.items():
-        if kind == "count":
-            value = F.count(F.lit(1)).over(upto)
-        elif kind == "sum":
-            value = F.coalesce(F.sum(expr).over(upto), F.lit(0))
-        elif kind == "max":
-            value = F.max(expr).over(upto)
-        elif kind == "last":
-            value = F.last(expr, ignorenulls=True).over(upto)
-        elif kind == "prev":
-            value = F.lag(expr).over(w)
-        else:
-            raise ValueError(f"unknown running measure {kind!r}")
-        out.append(value.alias(name))
-    return df.select("*", *out)
+def histogram(df: DataFrame, keys: list[str], rank: Column, width_bits: int = 32) -> DataFrame:
+    """Rows of each group by the upper 16 bits of their rank: (keys, __bucket, __n), at
+    most 65,536 rows per group, kept in the shared folder."""
+    bucket = F.shiftright(rank, max(width_bits - 16, 0)).alias("__bucket")
+    return stored(df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("__n")), "histogram")
 
 
-def take_by_rank(
+def last_by_rank(
     df: DataFrame,
     keys: list[str],
     rank: Column,
@@ -126,39 +127,48 @@ def take_by_rank(
     quota: DataFrame,
     quota_col: str = "n_take",
     width_bits: int = 32,
+    hist: DataFrame | None = None,
 ) -> DataFrame:
-    """Exactly the first ``quota_col`` rows of each group by (rank, tie).
+    """(keys, __last): the last row, as struct(rank, tie), of the first ``quota_col`` rows of each group
+    with a positive quota; null for groups that have no more rows than that.
 
-    ``rank`` is a whole number below 2^width_bits. A histogram over its upper
-    16 bits finds the bucket where the quota runs out; lower buckets pass
-    whole, and only the rows of that one bucket are ordered. The table of cuts
-    has one row per group; Spark broadcasts it where that is small.
-    """
-    marked = df.withColumn("__rank", rank).withColumn(
-        "__bucket", F.shiftright("__rank", max(width_bits - 16, 0))
-    )
-    hist = marked.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    ``rank`` is a whole number below 2^width_bits. A histogram finds the bucket
+    where the quota runs out, and the rows of that bucket are counted through in
+    range partitions, so it may hold any share of the group."""
+    hist = histogram(df, keys, rank, width_bits) if hist is None else hist
     w = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = quota.select(*keys, quota_col).filter(F.col(quota_col) > 0)
     cut = (
         hist.withColumn("__cum", F.sum("__n").over(w))
-        .join(quota.select(*keys, quota_col), keys)
+        .join(wanted, keys)
         .filter(F.col("__cum") >= F.col(quota_col))
         .groupBy(*keys)
-        .agg(
-            F.min(F.struct("__bucket", (F.col(quota_col) - F.col("__cum") + F.col("__n")).alias("left"))).alias("c")
-        )
+        .agg(F.min(F.struct("__bucket", (F.col(quota_col) - F.col("__cum") + F.col("__n")).alias("left"))).alias("c"))
         .select(*keys, F.col("c.__bucket").alias("__cut"), F.col("c.left").alias("__left"))
     )
-    known = marked.join(quota.select(*keys).distinct(), keys, "left_semi")
-    placed = known.join(cut, keys, "left")
-    whole = placed.filter(F.col("__cut").isNull() | (F.col("__bucket") < F.col("__cut")))
-    edge_order = Window.partitionBy(*keys).orderBy("__rank", *tie)
-    edge = (
-        placed.filter(F.col("__bucket") == F.col("__cut"))
-        .withColumn("__rn", F.row_number().over(edge_order))
-        .filter(F.col("__rn") <= F.col("__left"))
-    )
-    return whole.select(*df.columns).unionByName(edge.select(*df.columns))
+    ranked = df.select(*dict.fromkeys([*keys, *tie]), rank.alias("__rank"))
+    edge = ranked.join(cut, keys).filter(F.shiftright("__rank", max(width_bits - 16, 0)) == F.col("__cut"))
+    counted = running(edge, keys, ["__rank", *tie], {"__seen": ("count", F.lit(1))})
+    last = counted.filter(F.col("__seen") == F.col("__left")).select(*keys, F.struct("__rank", *tie).alias("__last"))
+    return wanted.select(*keys).join(last, keys, "left")
+
+
+def take_by_rank(
+    df: DataFrame,
+    keys: list[str],
+    rank: Column,
+    tie: list[str],
+    quota: DataFrame,
+    quota_col: str = "n_take",
+    width_bits: int = 32,
+    hist: DataFrame | None = None,
+) -> DataFrame:
+    """Exactly the first ``quota_col`` rows of each group by (rank, tie), which
+    is a total order: the rows up to the last one, in one more pass. The table of last rows has one row per group; Spark
+    broadcasts it where that is small."""
+    last = stored(last_by_rank(df, keys, rank, tie, quota, quota_col, width_bits, hist), "last")
+    placed = df.withColumn("__at", F.struct(rank.alias("__rank"), *tie)).join(last, keys)
+    return placed.filter(F.col("__last").isNull() | (F.col("__at") <= F.col("__last"))).select(*df.columns)
 
 
 def order_statistic(

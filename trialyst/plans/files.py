@@ -268,13 +268,24 @@ def _(spark, sf):
     return live.drain(live.stream_scoreboard(t, ["baseline"]), "complete")
 
 
+def _arrivals(spark, sf):
+    """The events as files of a folder, dealt at random, with one row far behind them all, by which
+    the watermark passes the last."""
+    e = fx.table(spark, sf, "events")
+    path = scratch_path(spark, "arrivals")
+    e.repartition(4, F.hash("event_id")).write.parquet(path)
+    end = e.orderBy(F.col("ts").desc()).limit(1).withColumn("ts", F.col("ts") + F.expr("interval 2 days"))
+    end.write.mode("append").parquet(path)
+    return live.stream_trials(spark, path, e.schema, "parquet")
+
+
 @query(
     "stream_ledger",
-    f"""WITH {fx.CALLS}, {fx.BUDGETS_SQL}, s AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS consumed FROM calls)
-    SELECT s.run_id, seq, tokens, consumed, budget, consumed >= budget AS exhausted, consumed > budget AS overshoot FROM s JOIN budgets b ON s.run_id = b.run_id""",
+    f"""WITH {fx.CALLS}, {fx.BUDGETS_SQL}, s AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY run_id ORDER BY epoch_ms(ts), seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS consumed FROM calls)
+    SELECT s.run_id, seq, tokens, consumed, budget, consumed >= budget AS exhausted, consumed > budget AS overshoot, false AS late FROM s JOIN budgets b ON s.run_id = b.run_id""",
 )
 def _(spark, sf):
-    return live.drain(live.stream_ledger(fx.calls_of(_events(spark, sf)), fx.budgets(spark, sf)))
+    return live.drain(live.stream_ledger(fx.calls_of(_arrivals(spark, sf)), fx.budgets(spark, sf)))
 
 
 @query("stream_dedupe", "SELECT DISTINCT user_id AS run_id, event_type AS category FROM events")
@@ -283,6 +294,20 @@ def _(spark, sf):
     return live.drain(live.stream_dedupe(e, ["run_id", "category"]))
 
 
+@query(
+    "stream_dedupe_event_time",
+    """WITH RECURSIVE e AS (SELECT user_id AS run_id, event_type AS category, event_id, ts, epoch_ms(ts) AS ms,
+      row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_ms(ts), event_id) AS k FROM events),
+    w AS (SELECT *, ms AS first_ms, true AS is_first FROM e WHERE k = 1
+      UNION ALL SELECT e.*, CASE WHEN e.ms >= w.first_ms + 86400000 THEN e.ms ELSE w.first_ms END, e.ms >= w.first_ms + 86400000
+      FROM w JOIN e ON e.run_id = w.run_id AND e.category = w.category AND e.k = w.k + 1)
+    SELECT run_id, category, event_id, CASE WHEN is_first THEN 'first' ELSE 'duplicate' END AS status FROM w""",
+)
+def _(spark, sf):
+    e = _arrivals(spark, sf).select(F.col("user_id").alias("run_id"), F.col("event_type").alias("category"), "event_id", "ts")
+    return live.drain(live.stream_dedupe(e, ["run_id", "category"], "ts", "1 day", ["event_id"])).drop("ts")
+
+
 @query(
     "stream_first_wins",
     "SELECT user_id AS run_id, event_type AS category, min(event_id) AS event_id FROM events GROUP BY 1, 2",

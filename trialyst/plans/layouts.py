@@ -10,7 +10,7 @@ from trialyst.operators.reports import defect_text
 from trialyst.plans import fixtures as fx
 from trialyst.plans.registry import query
 from trialyst.plans.summaries import sign_sql
-from trialyst.session import scratch_path
+from trialyst.session import stored
 
 # Up to 28 elements per page and frame, from four orders each.
 BOXES = """raw AS (SELECT l_orderkey // 4 // 2 AS page_id, '1920x1080' AS viewport, l_orderkey // 4 % 2 * 500 AS frame_ms,
@@ -57,13 +57,6 @@ def boxes(spark, sf):
     )
 
 
-def stored(df):
-    """A table several branches read is derived once and kept in the shared folder."""
-    path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def docs(b):
     return b.groupBy(*L.PAGE).agg(F.max("r").alias("scroll_w"), F.max("b").alias("scroll_h")).select(
         *L.PAGE, F.lit(1920.0).alias("W"), F.lit(1080.0).alias("H"), "scroll_w", "scroll_h", (F.col("page_id") % 2 == 1).alias("web")
@@ -142,8 +135,8 @@ RECURSIVE = f"WITH RECURSIVE {BOXES}, {CARDS}, {CLUSTERS}"
     f"{RECURSIVE} SELECT *, CAST(unequal_size AS BIGINT) + CAST(ragged_edges AS BIGINT) + CAST(uneven_gaps AS BIGINT) AS n_faults FROM mis",
 )
 def _(spark, sf):
-    b = stored(boxes(spark, sf))
-    return L.misalignment(stored(L.cards(b, docs(b))))
+    b = boxes(spark, sf)
+    return L.misalignment(L.cards(b, docs(b)))
 
 
 COUNTS = f"""{RECURSIVE}, {OVERLAPS}, {CLIPPED}, {OVERFLOW},
@@ -304,8 +297,7 @@ def _runs(spark, sf):
 
 
 def _study(spark, sf):
-    chunk = F.struct(F.col("modality"), F.floor(F.col("task_id") / 100000))
-    return M.build_pairs(_runs(spark, sf), 11, chunk, ["modality", "task_id"])
+    return M.build_pairs(_runs(spark, sf), 11, ["modality", "task_id"])
 
 
 @query(

@@ -257,14 +257,26 @@ def _(spark, sf):
 
 @query(
     "error_history",
-    f"""WITH {fx.ITERS}, w AS (SELECT run_id, iteration, error, coalesce(list(error) FILTER (WHERE error IS NOT NULL) OVER (
-      PARTITION BY run_id ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS h FROM iters)
-    SELECT run_id, iteration, error, array_to_string(h, ',') AS history, CAST(len(h) AS BIGINT) AS n_prior,
-    coalesce(list_contains(h, error), false) AS recurs FROM w""",
+    f"""WITH {fx.ITERS} SELECT run_id, iteration, error, n_prior, previous, first_seen, coalesce(first_seen < iteration, false) AS recurs FROM (
+      SELECT run_id, iteration, error, count(error) OVER w AS n_prior, max(iteration) FILTER (WHERE error IS NOT NULL) OVER w AS previous,
+      CASE WHEN error IS NOT NULL THEN min(iteration) OVER (PARTITION BY run_id, error) END AS first_seen FROM iters
+      WINDOW w AS (PARTITION BY run_id ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
 )
 def _(spark, sf):
-    out = R.error_history(fx.iters(spark, sf))
-    return out.withColumn("history", F.array_join("history", ",")).withColumn("n_prior", F.col("n_prior").cast("bigint"))
+    return R.error_history(fx.iters(spark, sf))
+
+
+@query(
+    "errors_before",
+    f"""WITH {fx.ITERS}, l AS (SELECT run_id, max(iteration) AS iteration FROM iters GROUP BY 1)
+    SELECT l.run_id, l.iteration, coalesce(string_agg(left(error, 180), chr(10) ORDER BY i.iteration), '') AS history
+    FROM l LEFT JOIN iters i ON i.run_id = l.run_id AND i.iteration < l.iteration GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    # what the last iteration of each run is told
+    iters = fx.iters(spark, sf)
+    last = iters.groupBy("run_id").agg(F.max("iteration").alias("iteration"))
+    return R.errors_before(iters, last, 180).withColumn("history", F.array_join("history", "\n"))
 
 
 @query(
@@ -278,8 +290,7 @@ def _(spark, sf):
     o = fx.table(spark, sf, "orders").filter(F.col("o_orderstatus") != "P").select(
         F.col("o_orderpriority").alias("modality"), F.col("o_orderkey").alias("pos")
     )
-    chunk = F.struct(F.col("modality"), F.floor(F.col("pos") / 100000))
-    return R.with_seq_id(o, "p", ["modality", "pos"], chunk)
+    return R.with_seq_id(o, "p", ["modality", "pos"])
 
 
 @query(
