@@ -6,7 +6,7 @@ and frame. ``dom_path`` ends with a slash, so containment is a prefix test.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialyst.operators.scan import running
@@ -15,7 +15,7 @@ from trialyst.session import stored
 PAGE = ["page_id", "viewport", "frame_ms"]
 AXIS = [*PAGE, "axis"]
 # pixels of a page side that are walked through at once
-CHUNK = 1024
+CHUNK, STRIP = 1024, 4096
 # fixed values: thresholds in pixels, tag lists
 EDGE_SLACK = 4
 MIN_OVERLAP = 6
@@ -200,23 +200,32 @@ def cards(boxes: DataFrame, docs: DataFrame) -> DataFrame:
     )
     # the character after the slash closes a path: nothing that begins with the path sorts behind it
     closing = F.concat(F.expr("left(dom_path, length(dom_path) - 1)"), F.lit("0"))
-    open_until = running(cand, PAGE, ["dom_path", "elem_id"], {"__open": ("max", closing)})
+    # the first names of a path never decrease along the paths
+    open_until = running(cand, PAGE, ["dom_path", "elem_id"], {"__open": ("max", closing)}, F.substring_index("dom_path", "/", 4))
     return open_until.filter(F.col("__open") == closing).drop("__open")
 
 
-def _edges_after(edges: DataFrame) -> DataFrame:
-    """For each distinct edge the next one and the first more than the cluster
-    tolerance away (``jump``), from one walk down the positions: asking rows
-    take the last edge passed, and ask before an edge at the same place."""
-    def row(kind, pos):
-        return F.struct((-pos).alias("down"), F.lit(kind).alias("kind"))
-
-    edge = F.col("edge")
-    events = edges.select(*AXIS, "edge", F.explode(F.array(row(0, edge), row(1, edge + CLUSTER_TOLERANCE), row(2, edge))).alias("v")).select(*AXIS, "edge", "v.*")
-    passed = running(events, AXIS, ["down", "kind", "edge"], {"at": ("last", F.when(F.col("kind") == 2, edge))}, F.floor(F.col("down") / CHUNK))
-    return passed.filter("kind < 2").groupBy(*AXIS, "edge").agg(
-        F.max(F.when(F.col("kind") == 0, F.col("at"))).alias("next"), F.max(F.when(F.col("kind") == 1, F.col("at"))).alias("jump")
-    )
+def _edges_seen(edges: DataFrame) -> DataFrame:
+    """For each distinct edge whether a cluster begins there in any case (``root``:
+    no other edge in the tolerance before it), and the ``jump`` to the first edge beyond its tolerance, unless that is a root.
+
+    All this lies within two tolerances of the edge, so strips of a page side
+    are walked apart, each with what its neighbours have that near."""
+    edge, near = F.col("edge"), 2 * CLUSTER_TOLERANCE
+    strip = lambda c: F.floor(c / STRIP)
+    strips = F.array_distinct(F.array(strip(edge), strip(edge - near), strip(edge + near)))
+    dealt = edges.select(*AXIS, "edge", F.explode(strips).alias("strip"))
+    # the bounds leave out the edge itself and one at the tolerance; boxes lie on multiples of 1/64 pixel
+    over = f"OVER (PARTITION BY {', '.join(AXIS)}, strip ORDER BY edge RANGE BETWEEN"
+    t, step = float(CLUSTER_TOLERANCE), 1e-6
+    walked = dealt.select(
+        "*",
+        F.expr(f"count(edge) {over} {t}D PRECEDING AND {step}D PRECEDING) = 0").alias("root"),
+        F.expr(f"max(edge) {over} CURRENT ROW AND {t}D FOLLOWING)").alias("__within"),
+        F.expr(f"min(edge) {over} {t + step}D FOLLOWING AND {2 * t}D FOLLOWING)").alias("__beyond"),
+    ).filter(F.col("strip") == strip(edge))
+    jump = F.when(F.col("__beyond") - F.col("__within") <= CLUSTER_TOLERANCE, F.col("__beyond"))
+    return walked.select(*AXIS, "edge", "root", jump.alias("jump"))
 
 
 def cluster_starts(edges: DataFrame) -> DataFrame:
@@ -228,25 +237,20 @@ def cluster_starts(edges: DataFrame) -> DataFrame:
     doubling: each round adds the starts that lie as many jumps further as have been
     covered and doubles the jumps, until none is new. Rounds grow with the logarithm of
     the longest chain, shuffles with the edges that still have a jump."""
-    after = stored(_edges_after(edges), "edges")
-    far = after.filter(F.col("next") - F.col("edge") > CLUSTER_TOLERANCE).select(*AXIS, F.col("next").alias("edge"))
-    roots = far.unionByName(after.groupBy(*AXIS).agg(F.min("edge").alias("edge")))
-    links = stored(after.filter(F.col("jump").isNotNull()).select(*AXIS, "edge", "jump").join(roots.withColumnRenamed("edge", "jump"), [*AXIS, "jump"], "left_anti"), "links")
-    starts = stored(roots.join(links, [*AXIS, "edge"], "left_semi"), "starts")
-    found = [roots]
-    while True:
+    seen = stored(_edges_seen(edges), "edges")
+    roots = seen.filter("root").select(*AXIS, "edge")
+    links = seen.filter(F.col("jump").isNotNull()).select(*AXIS, "edge", "jump")
+    first = seen.filter(F.col("root") & F.col("jump").isNotNull()).select(*AXIS, F.explode(F.array("edge", "jump")).alias("edge"))
+    starts = stored(first.distinct(), "starts")
+    more = not starts.isEmpty()
+    while more:
+        beyond = links.select(*AXIS, F.col("edge").alias("jump"), F.col("jump").alias("beyond"))
+        links = stored(links.join(beyond, [*AXIS, "jump"]).select(*AXIS, "edge", F.col("beyond").alias("jump")), "links")
         reached = starts.join(links, [*AXIS, "edge"]).select(*AXIS, F.col("jump").alias("edge")).distinct()
         new = stored(reached.join(starts, [*AXIS, "edge"], "left_anti"), "starts")
-        if new.isEmpty():
-            break
-        found.append(new)
+        more = not new.isEmpty()
         starts = starts.unionByName(new)
-        beyond = links.select(*AXIS, F.col("edge").alias("jump"), F.col("jump").alias("beyond"))
-        links = stored(links.join(beyond, [*AXIS, "jump"]).select(*AXIS, "edge", F.col("beyond").alias("jump")), "links")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return roots.unionByName(starts).distinct()
 
 
 def clusters(card: DataFrame) -> DataFrame:
@@ -263,28 +267,36 @@ def clusters(card: DataFrame) -> DataFrame:
             )
         ).alias("s"),
     ).select(*PAGE, "elem_id", "s.*")
-    edges = stored(both.select(*AXIS, "edge").distinct(), "edges")
-    marked = edges.join(cluster_starts(edges).withColumn("first", F.lit(True)), [*AXIS, "edge"], "left")
-    anchored = running(marked, AXIS, ["edge"], {"anchor": ("last", F.when(F.col("first"), F.col("edge")))}, F.floor(F.col("edge") / CHUNK))
-    return both.join(anchored.drop("first"), [*AXIS, "edge"])
-
-
-def _spread(c: str) -> Column:
-    return F.max(c) - F.min(c)
+    starts = cluster_starts(both.select(*AXIS, "edge").distinct())
+    # a start lies at most the tolerance before its cards: in their cell of that width or the one before
+    cell = lambda c: F.floor(c / CLUSTER_TOLERANCE)
+    reach = starts.select(*AXIS, F.col("edge").alias("anchor"), F.explode(F.array(cell(F.col("edge")), cell(F.col("edge")) + 1)).alias("cell"))
+    placed = both.withColumn("cell", cell(F.col("edge"))).join(reach, [*AXIS, "cell"])
+    return placed.filter((F.col("anchor") <= F.col("edge")) & (F.col("edge") - F.col("anchor") <= CLUSTER_TOLERANCE)).drop("cell")
 
 
 def misalignment(card: DataFrame) -> DataFrame:
     """Faults per cluster of three or more cards: unequal size, ragged far
-    edges, uneven gaps."""
-    keys = [*PAGE, "axis", "anchor"]
-    placed = stored(clusters(stored(card, "cards")), "placed")
-    gaps = running(
-        placed, keys, ["start", "edge", "elem_id"], {"before": ("prev", F.col("stop"))}, F.floor(F.col("start") / CHUNK)
-    ).withColumn("gap", F.col("start") - F.col("before"))
-    g = gaps.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), _spread("size").alias("size_spread"), F.avg("size").alias("size_avg"),
-        _spread("far").alias("far_spread"), F.count("gap").alias("n_gaps"),
-        _spread("gap").alias("gap_spread"), F.avg("gap").alias("gap_avg"),
+    edges, uneven gaps. A cluster is summed up in chunks along its axis; the
+    gap between two chunks comes from the end of the one and the begin of the
+    other."""
+    keys = [*AXIS, "anchor"]
+    along = ["start", "edge", "elem_id"]
+    placed = clusters(stored(card, "cards")).withColumn("chunk", F.floor(F.col("start") / CHUNK))
+    inner = Window.partitionBy(*keys, "chunk").orderBy(*along)
+    place = F.struct(*along)
+    gap = F.col("start") - F.lag("stop").over(inner)
+    chunks = placed.withColumn("gap", gap).groupBy(*keys, "chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.min("size").alias("size_lo"), F.max("size").alias("size_hi"), F.sum("size").alias("size_sum"),
+        F.min("far").alias("far_lo"), F.max("far").alias("far_hi"), F.min("gap").alias("gap_lo"), F.max("gap").alias("gap_hi"),
+        F.sum("gap").alias("gap_sum"), F.min("start").alias("begin"), F.max_by("stop", place).alias("end"),
+    )
+    across = F.col("begin") - F.lag("end").over(Window.partitionBy(*keys).orderBy("chunk"))
+    g = chunks.withColumn("across", across).groupBy(*keys).agg(
+        F.sum("n").alias("n"), (F.max("size_hi") - F.min("size_lo")).alias("size_spread"), (F.sum("size_sum") / F.sum("n")).alias("size_avg"),
+        (F.max("far_hi") - F.min("far_lo")).alias("far_spread"), (F.sum("n") - 1).alias("n_gaps"),
+        (F.max(F.greatest("gap_hi", "across")) - F.min(F.least("gap_lo", "across"))).alias("gap_spread"),
+        ((F.coalesce(F.sum("gap_sum"), F.lit(0.0)) + F.coalesce(F.sum("across"), F.lit(0.0))) / F.nullif(F.sum("n") - 1, F.lit(0))).alias("gap_avg"),
     )
     size = F.col("size_spread") > F.greatest(F.lit(float(SIZE_SLACK)), F.col("size_avg") * SIZE_SHARE)
     far = F.col("far_spread") > FAR_EDGE_SLACK

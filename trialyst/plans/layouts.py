@@ -152,8 +152,8 @@ COUNTS = f"""{RECURSIVE}, {OVERLAPS}, {CLIPPED}, {OVERFLOW},
     f"{COUNTS} SELECT *, overlap + clipped + overflow + scrollbar AS n_defects, overlap + clipped + overflow + scrollbar = 0 AS clean FROM cnt",
 )
 def _(spark, sf):
-    b = stored(boxes(spark, sf))
-    return L.defect_breakdown(L.defect_total(L.defect_counts(b, docs(b))))
+    b = boxes(spark, sf)
+    return L.defect_breakdown(L.defect_total(L.defect_counts(b, stored(docs(b)))))
 
 
 _ALL = "overlap + clipped + overflow + scrollbar + misalignment"
@@ -165,8 +165,8 @@ _ALL = "overlap + clipped + overflow + scrollbar + misalignment"
     SELECT page_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_defects, count(*) FILTER (WHERE n > 0) AS frames_with_defects, count(*) AS n_frames, coalesce(sum(n), 0) = 0 AS clean FROM t GROUP BY 1""",
 )
 def _(spark, sf):
-    b = stored(boxes(spark, sf))
-    d = docs(b).withColumn("error", F.when((F.col("page_id") + F.col("frame_ms")) % 9 == 0, "probe failed"))
+    b = boxes(spark, sf)
+    d = stored(docs(b)).withColumn("error", F.when((F.col("page_id") + F.col("frame_ms")) % 9 == 0, "probe failed"))
     return L.animation_total(L.defect_counts(b, d))
 
 
@@ -177,8 +177,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     width = F.when(F.col("frame_ms") == 0, "1920x1080").otherwise("375x812")
-    b = stored(boxes(spark, sf).withColumn("viewport", width))
-    d = docs(b).withColumn("error", F.when(F.col("page_id") % 7 == 0, "probe failed"))
+    b = boxes(spark, sf).withColumn("viewport", width)
+    d = stored(docs(b)).withColumn("error", F.when(F.col("page_id") % 7 == 0, "probe failed"))
     return L.web_total(L.defect_counts(b, d))
 
 
