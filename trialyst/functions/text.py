@@ -225,10 +225,10 @@ def flatten_content(text, parts) -> Column:
     return F.coalesce(_c(text), F.array_join(texts, "\n"))
 
 
-def with_reasoning(text, reasoning, cap: int) -> Column:
-    """Put capped reasoning in a think block before the content."""
+def with_reasoning(text, reasoning, cap: int | None = None) -> Column:
+    """Put the reasoning, whole or capped, in a think block before the content."""
     r, t = _c(reasoning), _c(text)
-    block = F.concat(F.lit("<think>\n"), rstrip(head(r, cap)), F.lit("\n</think>\n\n"), t)
+    block = F.concat(F.lit("<think>\n"), rstrip(r if cap is None else head(r, cap)), F.lit("\n</think>\n\n"), t)
     return F.when(F.length(r) > 0, block).otherwise(t)
 
 

@@ -249,12 +249,12 @@ def build_examples(traces: DataFrame, files: DataFrame, key: list[str]) -> DataF
 
 
 def gate_traces(
-    examples: DataFrame, max_steps: int = 20, max_chars: int = 80_000, judge_keep: bool = False, final_passed: bool = False
+    examples: DataFrame, max_steps: int | None = None, max_chars: int | None = None, judge_keep: bool = False, final_passed: bool = False
 ) -> DataFrame:
     """Adds ``reject_reason``, the first rule a trace breaks, or null: too many
-    steps, judge, final outcome, not buildable, too long."""
+    steps, judge, final outcome, not buildable, too long. Lengths are limited only where a limit is given."""
     no = F.lit(False)
-    reason = F.when(F.coalesce("n_steps", F.lit(0)) > max_steps, "steps")
+    reason = F.when(no if max_steps is None else F.coalesce("n_steps", F.lit(0)) > max_steps, "steps")
     if judge_keep:
         reason = reason.when(~F.coalesce(F.col("judge.keep"), no), "judge")
     if final_passed:
@@ -263,7 +263,7 @@ def gate_traces(
             ~code & ~F.coalesce(F.col("status") == "final", no), "final_passed"
         )
     reason = reason.when(~F.col("buildable"), "missing_image").when(
-        messages_length(F.col("messages")) > max_chars, "too_long"
+        no if max_chars is None else messages_length(F.col("messages")) > max_chars, "too_long"
     )
     return examples.withColumn("reject_reason", reason)
 
@@ -277,7 +277,7 @@ def gate_visual(traces: DataFrame, tasks: DataFrame, require_keep: bool = True)
     return traces.filter(good).join(tasks.select("category", "task_id"), ["category", "task_id"], "left_semi")
 
 
-def build_visual_examples(traces: DataFrame, systems: dict[str, str], reasoning_cap: int = 1500) -> DataFrame:
+def build_visual_examples(traces: DataFrame, systems: dict[str, str], reasoning_cap: int | None = None) -> DataFrame:
     """Conversation with one assistant turn per trace turn and feedback between
     turns. A trace is void if it has no turns, a blank assistant turn, or a
     turn before the last without an artifact. Image paths follow from

@@ -159,6 +159,11 @@ def sampler_summary(records: DataFrame) -> DataFrame:
     )
 
 
+def sampler_failures(records: DataFrame) -> DataFrame:
+    """The failed tasks of the sampler summary, one per row, with what they cost."""
+    return records.filter(~F.coalesce("passed", F.lit(False))).select("task_id", "tokens", "iterations", "n_candidates")
+
+
 def pass_matrix(trials: DataFrame, baselines: list[str], order: list[str]) -> DataFrame:
     """Problem x baseline 0/1; the first sample by ``order`` wins, missing is 0."""
     first = F.min_by(F.col("passed").cast("int"), F.struct(*order))

@@ -365,7 +365,7 @@ _VIS = """m AS (SELECT conv_id, 0 AS pos, 'system' AS role, CASE WHEN conv_id %
       UNION ALL SELECT vt.conv_id, 2 + 2 * i, 'assistant', concat(CASE WHEN i % 2 = 0 THEN concat('<think>', chr(10), {cut}, chr(10), '</think>', chr(10), chr(10)) ELSE '' END, 'see ',
         CASE WHEN art THEN concat('```', CASE WHEN code THEN 'python' ELSE 'html' END, chr(10), 'x', chr(10), '```') ELSE 'no artifact' END) FROM vt JOIN okc ON vt.conv_id = okc.conv_id
       UNION ALL SELECT vt.conv_id, 3 + 2 * i, 'user', CASE WHEN code THEN concat('fb', CAST(i + 1 AS VARCHAR)) ELSE concat('rendered screenshot(s):|slides_', CAST(vt.conv_id AS VARCHAR), '_turn', CAST(i AS VARCHAR), '_1920x1080_resized.png') END
-        FROM vt JOIN okc ON vt.conv_id = okc.conv_id WHERE i < n - 1)""".replace("{cut}", r"regexp_replace(left(text, 1500), '[\s\x0b\x1c-\x1f\x{85}\pZ]+\z', '')")
+        FROM vt JOIN okc ON vt.conv_id = okc.conv_id WHERE i < n - 1)""".replace("{cut}", r"regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\pZ]+\z', '')")
 _SYSTEMS = {"code": "code it", "slides": "draw it"}
 
 

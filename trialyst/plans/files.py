@@ -207,19 +207,24 @@ def _(spark, sf):
 
 @query(
     "case_documents",
-    """SELECT o_orderkey AS task_id, o_orderpriority AS modality, CASE WHEN o_orderkey % 2 = 0 THEN 'abcde' ELSE concat('abcdefghij', chr(10), chr(10), '… [truncated, 2 more characters]') END AS output FROM orders""",
+    """SELECT doc_id AS task_id, lang AS modality, md5(text) AS first_output,
+    md5(CASE WHEN length(text) > 500 THEN concat(left(text, 500), chr(10), chr(10), '… [truncated, ', format('{:,}', length(text) - 500), ' more characters]') ELSE text END) AS trimmed FROM documents""",
 )
 def _(spark, sf):
-    k = F.col("o_orderkey")
-    cases = fx.table(spark, sf, "orders").select(
-        k.alias("task_id"), F.col("o_orderpriority").alias("modality"), F.lit("n").alias("name"), F.lit("d").alias("description"),
-        F.array(F.lit("r")).alias("requirements"), F.lit("hard").alias("difficulty"),
-        F.array(F.struct(F.lit("generate").alias("step"), F.lit("f").alias("feedback"), F.when(k % 2 == 0, "abcde").otherwise("abcdefghijkl").alias("full_output"))).alias("trace"),
+    # given texts as outputs, whole in one set of documents and trimmed in another
+    cases = fx.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("task_id"), F.col("lang").alias("modality"), F.lit("n").alias("name"), F.left("text", F.lit(40)).alias("description"),
+        F.split("source", "c").alias("requirements"), F.lit("hard").alias("difficulty"),
+        F.array(F.struct(F.lit("generate").alias("step"), F.col("source").alias("feedback"), F.col("text").alias("full_output"))).alias("trace"),
     )
-    path = scratch_path(spark, "cases")
-    O.write_cases(O.case_detail(cases, 10), path)
-    d = spark.read.schema("task_id bigint, steps array<struct<output:string>>, modality string").json(path)
-    return d.select("task_id", "modality", F.get(F.col("steps"), F.lit(0))["output"].alias("output"))
+
+    def told(limit):
+        path = scratch_path(spark, "cases")
+        O.write_cases(O.case_detail(cases, limit), path)
+        d = spark.read.schema("task_id bigint, steps array<struct<output:string>>, modality string").json(path)
+        return d.select("task_id", "modality", F.md5(F.get(F.col("steps"), F.lit(0))["output"]).alias("output"))
+
+    return told(None).withColumnRenamed("output", "first_output").join(told(500).select("task_id", F.col("output").alias("trimmed")), "task_id")
 
 
 @query(

@@ -659,11 +659,23 @@ def _(spark, sf):
     avg(iterations) AS mean_iterations, avg(n_candidates) AS mean_candidates FROM t""",
 )
 def _(spark, sf):
-    t = fx.candidates(spark, sf).groupBy("task_id").agg(
+    return S.sampler_summary(_sampled(spark, sf))
+
+
+def _sampled(spark, sf):
+    return fx.candidates(spark, sf).groupBy("task_id").agg(
         F.max("all_pass").alias("passed"), F.sum("output_tokens").alias("tokens"),
         F.max("iter").alias("iterations"), F.count(F.lit(1)).alias("n_candidates"),
     )
-    return S.sampler_summary(t)
+
+
+@query(
+    "sampler_failures",
+    f"""WITH {fx.CANDIDATES} SELECT task_id, CAST(sum(output_tokens) AS BIGINT) AS tokens, max(iter) AS iterations, count(*) AS n_candidates
+    FROM candidates GROUP BY 1 HAVING NOT coalesce(bool_or(all_pass), false)""",
+)
+def _(spark, sf):
+    return S.sampler_failures(_sampled(spark, sf))
 
 
 @query(

@@ -54,15 +54,18 @@ def catalog(suites: dict[str, tuple[str, DataFrame]]) -> DataFrame:
     return out.groupBy("suite", "blurb").agg(F.count(F.lit(1)).alias("n"))
 
 
-def case_detail(df: DataFrame, max_chars: int = 12000) -> DataFrame:
-    """The published fields of a case, long outputs trimmed with a note."""
+def case_detail(df: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """The published fields of a case; with a limit, longer outputs are trimmed and say by how much."""
     from trialyst.functions.text import trim_note
 
+    def whole(s):
+        return F.coalesce(s["full_output"], F.lit(""))
+
     steps = F.transform(
         "trace",
         lambda s: F.struct(
             s["step"].alias("step"), s["feedback"].alias("feedback"),
-            trim_note(F.coalesce(s["full_output"], F.lit("")), max_chars).alias("output"),
+            (whole(s) if max_chars is None else trim_note(whole(s), max_chars)).alias("output"),
         ),
     )
     return df.select(
