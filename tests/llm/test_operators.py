@@ -531,6 +531,25 @@ def test_names_of_asides_are_whole():
     assert wrappers.main_text("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds", None) == "So x=1 holds"
 
 
+def test_articles_in_asides_stay_out():
+    """Where another article or main exists, an aside is one with whatever it holds."""
+    long = "body " * 30
+    for aside in ("<div class='sidebar'><article>teaser</article></div>", "<article class='promo'>teaser</article>", "<div class='sponsored'><article>teaser</article></div>"):
+        for page in (f"{aside}<article>{long}</article>", f"<main>{long}</main>{aside}", f"<div class='sidebar'>{aside}<main>{long}</main></div>"):
+            assert wrappers.main_text(f"<body>{page}</body>", None) == long.strip()
+    only = f"<body><div class='sidebar'><article>{long}</article></div><div class='comments'><article>first!</article></div></body>"
+    assert wrappers.main_text(only, None) == long.strip()
+
+
+def test_compound_names_inside_an_article():
+    long = "body " * 30
+    for name in ("user-comments", "comment-thread", "adbox", "cookie-banner-wrapper", "more-stories", "story_newsletter"):
+        assert wrappers.main_text(f"<main><p>{long}</p><div class='{name}'><p>other words</p></div></main>", None) == long.strip()
+    # not where the name's part is most of the text, or outside an article
+    assert wrappers.main_text(f"<article><div class='comment-text'><p>{long}</p></div><p>x</p></article>", None) == long.strip() + "\nx"
+    assert "kept" in wrappers.main_text(f"<body><div class='story-ad'><p>kept</p></div><p>{long}</p></body>", None)
+
+
 def test_pipeline_stages(spark, sf, docs):
     left = read(spark, sf, "documents")
     labels = read(spark, sf, "labels")

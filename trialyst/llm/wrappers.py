@@ -6,7 +6,7 @@ one side has becomes an optional group, neighbouring repeats of a group become o
 texts that differ become a slot. What remains is the host's wrapper. The wrapper's content nodes are its
 outermost article and main parts, or else the smallest node that holds all texts that differ between
 pages (all texts, if none does); page parts that serve as menus,
-headers, footers, sidebars, notices, adverts, forms or comments never count. A page's text is what stands
+headers, footers, sidebars, notices, adverts, forms or comments never count, also where they hold articles of their own. A page's text is what stands
 in its content nodes, block by block.
 
 Alignment is associative in effect, so each task folds its own pages, and the folds of a host meet in
@@ -74,6 +74,12 @@ ASIDE_NAME = re.compile(
 )
 #: Parts that hold articles of others; only `main` within shows that they don't.
 OTHERS = frozenset("related recommended recommendations trending comment comments commentlist disqus reply replies respond".split())
+#: Beginnings and ends of compound names of parts inside an article that aren't its text, if they hold less than half of it.
+MINOR_WORDS = frozenset(
+    "comment comments reply replies ad ads advert adverts advertisement sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe related recommended "
+    "recommendations trending sidebar breadcrumb breadcrumbs popup".split()
+)
+MINOR_NAME = re.compile(r"ads?(?:box|slot|unit|wrap|wrapper|container|banner|block|space|zone)|more[-_](?:stories|posts|articles|news|reading)")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'"<>])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -82,18 +88,19 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 class Node:
     """An element with blocks of text and elements in page order."""
 
-    __slots__ = ("aside", "key", "kids", "named", "tag")
+    __slots__ = ("aside", "key", "kids", "minor", "named", "tag")
 
-    def __init__(self, tag: str, key: str, aside: bool, named: str = ""):
-        self.tag, self.key, self.aside, self.named = tag, key, aside, named
+    def __init__(self, tag: str, key: str, aside: bool, named: str = "", minor: bool = False):
+        self.tag, self.key, self.aside, self.named, self.minor = tag, key, aside, named, minor
         self.kids: list[Node | str] = []
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool, str]:
-    """A key that equal parts of different pages share, whether the part isn't main text, and the name that alone says so."""
+def _named(tag: str, attributes: str) -> tuple[str, bool, str, bool]:
+    """A key that equal parts of different pages share, whether the part isn't main text, the name that alone says so, and whether a
+    name says so inside an article."""
     aside = tag in ASIDE_TAGS
     if not attributes.strip(" \t\n/"):
-        return tag, aside, ""
+        return tag, aside, "", False
     named = {k.lower(): entities.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(attributes)}
     names = (named.get("class", "") + " " + named.get("id", "")).lower()
     words = re.findall(r"[a-z]+", names)
@@ -107,7 +114,8 @@ def _named(tag: str, attributes: str) -> tuple[str, bool, str]:
     by_name = "" if aside else by_name
     aside = aside or by_name != ""
     key = ".".join([tag, *sorted(set(words))[:4], *([role] if role else [])])
-    return key, aside, by_name
+    minor = not aside and any(MINOR_NAME.fullmatch(x) or len(y := re.split("[-_]+", x)) > 1 and (y[0] in MINOR_WORDS or y[-1] in MINOR_WORDS) for x in names.split())
+    return key, aside, by_name, minor
 
 
 def parse(html: str) -> Node:
@@ -115,6 +123,8 @@ def parse(html: str) -> Node:
     root = Node("", "", False)
     stack, said, at = [root], [], 0
     beyond: list[str] = []  # open tags deeper than DEPTH
+    held: list[tuple[int, bool, list[Node]]] = []  # of articles and mains: asides around, whether an article, those that only a name marks
+    minors: list[tuple[Node, Node]] = []  # with the article or main around
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(said)).split())
@@ -156,8 +166,10 @@ def parse(html: str) -> Node:
         if tag == "br":
             said.append(" ")
         block = tag in BLOCKS
-        key, aside, by_name = _named(tag, m[3]) if block or m[3] else (tag, False, "")
-        if not block and not aside:
+        key, aside, by_name, minor = _named(tag, m[3]) if block or m[3] else (tag, False, "", False)
+        around = [n for n in stack if n.tag in ("article", "main")]
+        minor = minor and bool(around)
+        if not block and not aside and not minor:
             continue
         flush()
         if tag == "header":  # a page's header; an article's own holds its title
@@ -183,17 +195,34 @@ def parse(html: str) -> Node:
         if len(stack) > DEPTH:
             beyond.append(tag)
             continue
-        node = Node(tag, key, aside, by_name)
+        node = Node(tag, key, aside, by_name, minor)
+        if minor:
+            minors.append((node, around[-1]))
         stack[-1].kids.append(node)
         stack.append(node)
-        if tag in ("article", "main"):  # a name doesn't make its holder an aside
+        if tag in ("article", "main"):
             for n in stack:
-                if n.named and (tag == "main" or re.split("[-_]", n.named)[0] not in OTHERS):
-                    n.aside, n.named = False, ""
+                n.minor = False
+            asides = [n for n in stack if n.aside]
+            if all(n.named and (tag == "main" or re.split("[-_]", n.named)[0] not in OTHERS) for n in asides):
+                held.append((len(asides), tag == "article", asides))
     flush()
+    # A name doesn't make the holder of the page's text an aside: only if all articles stand in such, the outermost come out, mains first.
+    least = min((h[:2] for h in held), default=None)
+    for h in held:
+        if h[:2] == least:
+            for n in h[2]:
+                n.aside = False
+    for node, around in minors:
+        node.aside = node.aside or node.minor and 2 * mass(node) < mass(around)
     return root
 
 
+def mass(node: Node) -> int:
+    """Characters of the text in a node, without parts that aren't main text."""
+    return sum(len(k) if isinstance(k, str) else 0 if k.aside else mass(k) for k in node.kids)
+
+
 # A wrapper item: k key, o optional, r repeated, n characters, s digest of a constant text ("" for a slot), c items;
 # v in what only some pages have. The digest of repeats within a page is that of their digests.
 
