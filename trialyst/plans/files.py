@@ -152,7 +152,9 @@ def _(spark, sf):
 @query(
     "collect_all",
     f"""WITH {RESULTS}, n AS (SELECT 'code' AS task_type, {_NSTEPS} AS k, rv_meets AS ok FROM res
-      UNION ALL SELECT 'slide', CASE WHEN rv_iters > 1 AND q1 <> q2 THEN 6 ELSE 3 END, q2 >= 0.7 FROM res)
+      UNION ALL SELECT unnest(['slide', 'webpage', 'animation']), CASE WHEN rv_iters > 1 AND q1 <> q2 THEN 6 ELSE 3 END, q2 >= 0.7 FROM res
+      UNION ALL SELECT 'video', CASE WHEN rv_iters > 1 THEN 6 ELSE 3 END, q2 >= 0.7 FROM res
+      UNION ALL SELECT 'research', CASE WHEN rv_iters > 1 AND q2 > q1 THEN 6 ELSE 3 END, q2 >= 0.8 FROM res)
     SELECT task_type, count(*) AS n, CAST(sum(k) AS BIGINT) AS n_steps, count(*) FILTER (WHERE ok) AS n_success FROM n GROUP BY 1""",
 )
 def _(spark, sf):
@@ -165,13 +167,20 @@ def _(spark, sf):
         _one_file_each(files.select("value"), f"{base}/{name}")
 
     tasks = _tasks(spark, sf).select("task_id", "description", "test_code", "common_bugs", "requirements", "expected_issues")
-    put(tasks, "tasks/code/code_tasks.json")
-    put(tasks, "tasks/slides/slide_tasks.json")
+    for file, _, _ in I.FAMILIES.values():
+        put(tasks, f"tasks/{file}")
     r = _results(spark, sf)
     code = r.select("task_id", "ss_passed", "rv_passed", "rv_iters")
     put(code.filter(F.col("task_id") % 2 == 0), "results/code_swe_results.json")
     put(code.filter(F.col("task_id") % 2 == 1), "results/code_onpolicy_run1.json")
-    put(r.select("task_id", "ss_quality", "rv_quality", "rv_iters"), "results/slides_results.json")
+    scored, odd = r.select("task_id", "ss_quality", "rv_quality", "rv_iters"), F.col("task_id") % 2 == 1
+    put(scored, "results/slides_results.json")
+    put(scored.filter(~odd), "results/webpage_results_partial.json")  # the last fallback, and a further run
+    put(scored.filter(odd), "results/webpages_results_run2.json")
+    put(scored.filter(~odd), "results/animation_results.json")
+    put(scored.filter(odd), "results/animations_onpolicy_run1.json")
+    put(scored, "results/video_results.json")
+    put(scored, "results/research_results.json")
     t = I.collect_all(spark, f"{base}/results", f"{base}/tasks")
     return t.groupBy("task_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.size("steps")).alias("n_steps"), F.count_if("success").alias("n_success")
