@@ -321,11 +321,11 @@ def _(spark, sf):
     return X.first_json(d, "t", "obj").select("doc_id", "obj")
 
 
-CALLED = """m AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')"""
+CALLED = """m AS (SELECT conv_id, turn, text FROM conversations)"""
 
 
 def _called(spark, sf):
-    """Assistant turns with a good block, a broken one and an argument string."""
+    """All turns with a good block, a broken one and an argument string."""
     body = F.to_json(F.struct(F.lit("execute_code").alias("name"), F.struct(F.col("text").alias("code"), F.lit("assert 1").alias("test_code")).alias("arguments")))
     said = F.concat(F.col("turn").cast("string"), F.regexp_replace("text", r'["\\]', ""))
     broken = F.concat(F.lit('{"name": "execute_code", "arguments": {"code": "print("'), said, F.lit('")\\n\\\\n", "test_code": "t"}}'))
@@ -334,7 +334,7 @@ def _called(spark, sf):
     def block(b):
         return F.concat(F.lit("\n<tool_call>\n"), b, F.lit("\n</tool_call>"))
 
-    return fx.table(spark, sf, "conversations").filter(F.col("role") == "assistant").select(
+    return fx.table(spark, sf, "conversations").select(
         "conv_id", "turn", F.concat(F.lit("hi "), block(body), block(broken), block(text_args), F.lit(" bye ")).alias("out")
     )
 
@@ -375,15 +375,19 @@ def _(spark, sf):
 
 @query(
     "open_tool_calls",
-    f"""WITH {CALLED} SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, name, closed FROM m,
-    (VALUES (0, 'bash', true), (1, 'read_file', false)) v(pos, name, closed)""",
-)
-def _(spark, sf):
-    d = fx.table(spark, sf, "conversations").filter(F.col("role") == "assistant").select(
-        "conv_id", "turn",
-        F.concat("text", F.lit('<tool_call>{"name": "bash", "arguments": {"command": "ls"}}</tool_call> x <tool_call> {"name": "read_file", "arguments": "{}"} cut')).alias("out"),
-    )
-    return X.open_tool_calls(d, "out").select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "name", "closed")
+    f"""WITH {CALLED} SELECT conv_id, turn, CAST(0 AS BIGINT) AS pos, 'bash' AS name, md5(text) AS argument, true AS closed FROM m
+    UNION ALL SELECT conv_id, turn, 1, 'read_file', md5('a.txt'), false FROM m
+    UNION ALL SELECT conv_id, turn, 2, 'write_file', md5(concat(replace(replace(text, '"', ''), chr(92), ''), ' end')), false FROM m""",
+)
+def _(spark, sf):
+    # a whole call, one without its closing tag, and one that breaks off inside the given text
+    whole = F.to_json(F.struct(F.lit("bash").alias("name"), F.struct(F.col("text").alias("command")).alias("arguments")))
+    cut = F.concat(F.lit('{"name": "write_file", "arguments": {"path": "b.txt", "content": "'), F.regexp_replace("text", r'["\\]', ""), F.lit(" end"))
+    said = F.concat(F.lit("x <tool_call>"), whole, F.lit('</tool_call> y <tool_call> {"name": "read_file", "arguments": {"path": "a.txt"}} z <tool_call>'), cut)
+    d = fx.table(spark, sf, "conversations").select("conv_id", "turn", said.alias("out"))
+    key = F.when(F.col("name") == "bash", "command").when(F.col("name") == "read_file", "path").otherwise("content")
+    argument = F.element_at(F.from_json("arguments", "map<string,string>"), key)
+    return X.open_tool_calls(d, "out").select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "name", F.md5(argument).alias("argument"), "closed")
 
 
 @query("strip_tool_calls", f"WITH {CALLED} SELECT conv_id, turn, concat('hi ', repeat(chr(10), 3), ' bye') AS t FROM m")
