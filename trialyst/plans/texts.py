@@ -69,24 +69,26 @@ def _(spark, sf):
     return _fenced(spark, sf).select("doc_id", T.has_final("out").alias("final"))
 
 
-FUNCS = """funcs AS (SELECT doc_id, concat('import os', chr(10), CASE WHEN doc_id % 3 = 0 THEN 'def solve(x): return x  ' WHEN doc_id % 3 = 1
-      THEN concat('def solve(x, y):', chr(10), '    a = ', CAST(n_chars AS VARCHAR), chr(10), chr(10), '    return a', chr(10), 'print(1)', chr(10)) ELSE 'def other(): pass' END) AS src FROM documents)"""
+FUNCS = """funcs AS (SELECT doc_id, concat('import os', chr(10), CASE WHEN doc_id % 3 = 0 THEN concat('def solve(x): return x  # ', text) WHEN doc_id % 3 = 1
+      THEN concat('def solve(x, y):', chr(10), '    ', replace(text, chr(10), concat(chr(10), '    ')), chr(10), chr(10), '    return a', chr(10), 'print(1)', chr(10)) ELSE concat('def other(): pass', chr(10), text) END) AS src FROM documents)"""
 
 
 @query(
     "extract_function",
-    rf"""WITH {FUNCS} SELECT doc_id, regexp_replace(CASE WHEN regexp_matches(src, '(def solve{WS}*\(.*?\n(?:(?:    .*|)\n)*)') THEN regexp_extract(src, '(def solve{WS}*\(.*?\n(?:(?:    .*|)\n)*)', 1)
-      WHEN regexp_matches(src, '(def solve{WS}*\(.*?:.*)') THEN regexp_extract(src, '(def solve{WS}*\(.*?:.*)', 1) END, '{WS}+\z', '') AS fn FROM funcs""",
+    rf"""WITH {FUNCS} SELECT doc_id, md5(regexp_replace(CASE WHEN regexp_matches(src, '(def solve{WS}*\(.*?\n(?:(?:    .*|)\n)*)') THEN regexp_extract(src, '(def solve{WS}*\(.*?\n(?:(?:    .*|)\n)*)', 1)
+      WHEN regexp_matches(src, '(def solve{WS}*\(.*?:.*)') THEN regexp_extract(src, '(def solve{WS}*\(.*?:.*)', 1) END, '{WS}+\z', '')) AS fn FROM funcs""",
 )
 def _(spark, sf):
-    i, n = F.col("doc_id") % 3, F.col("n_chars").cast("string")
+    # given texts as a comment of one line and what follows it, as a body, and without the function
+    i, text = F.col("doc_id") % 3, F.col("text")
+    body = F.replace(text, F.lit("\n"), F.lit("\n    "))
     src = F.concat(
         F.lit("import os\n"),
-        F.when(i == 0, F.lit("def solve(x): return x  "))
-        .when(i == 1, F.concat(F.lit("def solve(x, y):\n    a = "), n, F.lit("\n\n    return a\nprint(1)\n")))
-        .otherwise(F.lit("def other(): pass")),
+        F.when(i == 0, F.concat(F.lit("def solve(x): return x  # "), text))
+        .when(i == 1, F.concat(F.lit("def solve(x, y):\n    "), body, F.lit("\n\n    return a\nprint(1)\n")))
+        .otherwise(F.concat(F.lit("def other(): pass\n"), text)),
     )
-    return fx.table(spark, sf, "documents").select("doc_id", T.extract_function(src, "solve").alias("fn"))
+    return fx.table(spark, sf, "documents").select("doc_id", _digest(T.extract_function(src, "solve")).alias("fn"))
 
 
 @query(
@@ -281,13 +283,14 @@ JUDGE = """j AS (SELECT doc_id, CAST(doc_id % 21 AS DOUBLE) / 10 AS q, doc_id %
 
 def _answers(spark, sf):
     i = F.col("doc_id")
+    said = F.regexp_replace("text", r'["\\\x00-\x1f]', " ")  # every answer holds the given text
     body = F.concat(
-        F.lit('{"quality_score": '), ((i % 21).cast("double") / 10).cast("string"), F.lit(', "overall_quality": '), ((i % 21).cast("double") / 10).cast("string"),
+        F.lit('{"comment": "'), said, F.lit('} {", "quality_score": '), ((i % 21).cast("double") / 10).cast("string"), F.lit(', "overall_quality": '), ((i % 21).cast("double") / 10).cast("string"),
         F.lit(', "meets_requirements": '), (i % 2 == 0).cast("string"), F.lit("}"),
     )
     k = i % 5
     text = F.when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Well: "), body, F.lit(" as said.")))
-    text = text.when(k == 3, F.concat(F.lit("no json "), F.col("text"))).otherwise(F.lit('{"issues": []}'))
+    text = text.when(k == 3, F.concat(F.lit("no json "), F.col("text"))).otherwise(F.concat(F.lit('{"issues": ["'), said, F.lit('"]}')))
     return fx.table(spark, sf, "documents").select("doc_id", text.alias("answer"))
 
 
