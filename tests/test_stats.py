@@ -1,4 +1,5 @@
 import math
+import random
 from fractions import Fraction
 
 import pytest
@@ -83,3 +84,26 @@ def test_published_kappa(spark):
     k = kappa(df, "a", "b", ["g"]).first()
     assert k["agreement"] == pytest.approx(31 / 36)
     assert k["kappa"] == pytest.approx(0.545, abs=5e-4)
+
+
+def test_binomial_tails_equal_the_sum_of_all_outcomes(spark):
+    rng = random.Random(1)
+    sizes = [rng.randrange(1, 60) for _ in range(60)] + [rng.randrange(60, 2001) for _ in range(30)]
+    rows = [(0, 0), (0, 1), (1, 1), (3, 3)] + [(rng.randrange(n + 1), n) for n in sizes] + [(round(n * q), n) for n in (500, 2000) for q in (0.28, 0.3, 0.31, 0.9)]
+    for p in (0.3, 0.9):
+
+        def want(k, n, p=p):
+            logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(n + 1)]
+            mass = [math.exp(x) for x in logs]
+            return min(1.0, math.fsum(m for m in mass if m <= mass[k] + 1e-12)) if n else 1.0
+
+        got = spark.createDataFrame(rows, "k int, n int").select("k", "n", stats.binom_test("k", "n", p).alias("p")).collect()
+        assert max(abs(r["p"] - want(r["k"], r["n"])) for r in got) < 1e-11
+
+
+def test_binomial_cost_does_not_follow_n(spark):
+    """A sequence of all outcomes would not fit anywhere."""
+    n = 10**11
+    k = round(0.3 * n + 2 * (0.21 * n) ** 0.5)  # two standard deviations off
+    p = spark.createDataFrame([(k, n)], "k bigint, n bigint").select(stats.binom_test("k", "n", 0.3).alias("p")).collect()[0]["p"]
+    assert abs(p - math.erfc(2 / 2**0.5)) < 1e-4

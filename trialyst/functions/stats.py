@@ -59,42 +59,71 @@ def sign_test(wins, losses) -> Column:
     )
 
 
+def binomial_pmf(k: Column, n: Column, p: float) -> Column:
+    """P(X = k) for n trials of chance p: the leading terms of the factorials by
+    their distance from the mean, the rest by Stirling's errors; accurate for very large n too."""
+    def deviance(x: Column, mean: Column) -> Column:
+        return x * F.ln(x / mean) + mean - x
+
+    log_scale = _stirling_error(n) - _stirling_error(k) - _stirling_error(n - k)
+    apart = deviance(k, n * p) + deviance(n - k, n * (1 - p))
+    inner = F.sqrt(n / (2 * math.pi * k * (n - k))) * F.exp(log_scale - apart)
+    return F.when(k == 0, F.exp(n * math.log1p(-p))).when(k == n, F.exp(n * math.log(p))).otherwise(inner)
+
+
 def binom_test(k, n, p: float = 0.5) -> Column:
     """Two-sided exact binomial test: the mass of all outcomes no likelier than
-    the observed one (slack 1e-12). n = 0 gives 1. At p = 1/2 this is the sign
-    test, which stays cheap for any n; other p walk all n + 1 outcomes."""
+    the observed one (slack 1e-12). n = 0 gives 1; p = 1/2 is the sign test.
+
+    Chances rise up to the mode and fall behind it, so the outcomes that count
+    are two tails, whose ends are found by halving. Each tail is summed outwards from its largest
+    term; as in the sign test 6*sqrt(n) + 64 terms are enough whatever n is."""
     k, n = _col(k).cast("bigint"), _col(n).cast("bigint")
     if p == 0.5:
         return sign_test(k, n - k)
-    log_odds, log_q = math.log(p) - math.log1p(-p), math.log1p(-p)
+    given = F.struct(
+        n.cast("double").alias("n"), F.floor((n + 1) * F.lit(p)).cast("double").alias("mode"), (binomial_pmf(k.cast("double"), n.cast("double"), p) + 1e-12).alias("limit")
+    )
+
+    def halve(g: Column, lo: Column, hi: Column, rises: bool) -> Column:
+        """The first whole number from lo on, below hi, whose chance is over the limit, or not over it where chances fall."""
+
+        def step(acc: Column, _: Column) -> Column:
+            mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("double")
+            within = binomial_pmf(mid, g["n"], p) <= g["limit"]
+            go_on, open_ = within if rises else ~within, acc["lo"] < acc["hi"]
+            return F.struct(F.when(open_ & go_on, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~go_on, mid).otherwise(acc["hi"]).alias("hi"))
+
+        # 53 halvings end any range of whole doubles
+        return F.aggregate(F.sequence(F.lit(1), F.least(F.lit(53), F.ceil(F.log2(hi - lo + 1)).cast("int") + 1)), F.struct(lo.alias("lo"), hi.alias("hi")), step, lambda acc: acc["lo"])
+
+    def tail(g: Column, start: Column, count: Column, ratio) -> Column:
+        terms = F.least(count, F.floor(F.sqrt(g["n"]) * 6 + 64).cast("double")).cast("int")
+        walk = F.aggregate(
+            F.sequence(F.lit(1), terms),
+            F.struct(start.alias("i"), binomial_pmf(start, g["n"], p).alias("t"), F.lit(0.0).alias("s")),
+            lambda acc, _: F.struct(ratio(acc["i"])[0].alias("i"), (acc["t"] * ratio(acc["i"])[1]).alias("t"), (acc["s"] + acc["t"]).alias("s")),
+            lambda acc: acc["s"],
+        )
+        return F.when(count > 0, walk).otherwise(F.lit(0.0))
 
-    def step(log_mass: Column, i: Column) -> Column:
-        return log_mass + F.ln((n - i + 1).cast("double") / i.cast("double")) + F.lit(log_odds)
+    odds = p / (1 - p)
 
-    start = n.cast("double") * F.lit(log_q)
-    one = F.lit(1).cast("bigint")
-    observed = F.exp(
-        F.when(k == 0, start).otherwise(
-            F.aggregate(F.sequence(one, F.greatest(k, one)), start, step)
+    def both(g: Column) -> Column:
+        ends = F.struct(
+            g["n"].alias("n"), g["limit"].alias("limit"),
+            halve(g, F.lit(0.0), g["mode"] + 1, True).alias("below"), halve(g, F.least(g["mode"] + 1, g["n"] + 1), g["n"] + 1, False).alias("from"),
         )
-    )
 
-    def add(acc: Column, log_mass: Column) -> Column:
-        mass = F.exp(log_mass)
-        return acc["s"] + F.when(mass <= acc["limit"], mass).otherwise(F.lit(0.0))
-
-    # the limit travels in the accumulator, so that it is computed once
-    total = F.aggregate(
-        F.sequence(F.lit(0).cast("bigint"), n),
-        F.struct(start.alias("lm"), F.lit(0.0).alias("s"), (observed + 1e-12).alias("limit")),
-        lambda acc, i: F.struct(
-            (acc["lm"] + F.ln((n - i).cast("double") / (i + 1).cast("double")) + F.lit(log_odds)).alias("lm"),
-            add(acc, acc["lm"]).alias("s"),
-            acc["limit"].alias("limit"),
-        ),
-        lambda acc: acc["s"],
-    )
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), total))
+        def summed(e: Column) -> Column:
+            down = tail(e, e["below"] - 1, e["below"], lambda i: (i - 1, i / ((e["n"] - i + 1) * odds)))
+            up = tail(e, e["from"], e["n"] + 1 - e["from"], lambda i: (i + 1, (e["n"] - i) * odds / (i + 1)))
+            return F.least(F.lit(1.0), down + up)
+
+        return F.get(F.transform(F.array(ends), summed), F.lit(0))
+
+    # one-element arrays carry what is needed several times, so that it is computed once
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.get(F.transform(F.array(given), both), F.lit(0)))
 
 
 def wilson(k, n, z: float = 1.96) -> Column:
