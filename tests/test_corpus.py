@@ -89,5 +89,7 @@ def test_gate_reports_the_first_broken_rule(spark):
         "*", F.lit("web").alias("category"), F.lit(False).alias("final_passed"), F.struct(F.col("k").alias("keep")).alias("judge"),
         F.array(C._message("assistant", F.lit("x" * 100))).alias("messages"),
     )
-    got = {r["task_id"]: r["reject_reason"] for r in C.gate_traces(df, max_chars=50, judge_keep=True, final_passed=True).collect()}
+    got = {r["task_id"]: r["reject_reason"] for r in C.gate_traces(df, max_steps=20, max_chars=50, judge_keep=True, final_passed=True).collect()}
     assert got == {"a": "steps", "b": "judge", "c": "missing_image", "d": "too_long"}
+    # without given limits no length is a reason
+    assert {r["task_id"]: r["reject_reason"] for r in C.gate_traces(df).collect()} == {"a": "missing_image", "b": "missing_image", "c": "missing_image", "d": None}
