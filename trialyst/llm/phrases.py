@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialyst.llm.common import column, stored
@@ -33,6 +33,8 @@ from trialyst.llm.common import column, stored
 LONGEST, LEAST, TOP = 5, 100, 2000
 OVERLAP, SPREAD = LONGEST - 1, 16
 BITMAP_BITS = 26
+#: Shares of a language, so that a language of many phrases is no hot key.
+SHARES = 64
 #: Bytes of text that a task handles together. A piece goes whole, however long.
 BYTES = 1 << 22
 
@@ -299,6 +301,10 @@ def frequent(chunks: DataFrame, least: int = LEAST, bits: int = BITMAP_BITS) ->
     return out, total
 
 
+def _share(phrase: str) -> Column:
+    return F.pmod(F.xxhash64(phrase), F.lit(SHARES)).cast("int")
+
+
 def scored(found: DataFrame, total: DataFrame) -> DataFrame:
     """lang, phrase, a, l, r, n, score of every phrase of two words or more that no longer one makes redundant."""
     words = F.split("phrase", " ")
@@ -316,8 +322,8 @@ def scored(found: DataFrame, total: DataFrame) -> DataFrame:
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"])
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
     # few rows; several of each language, so that the phrases of one language are not one key
-    spread = total.select("lang", "n", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("share"))
-    cuts = cuts.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(64)).cast("int")).join(spread, ["lang", "share"])
+    spread = total.select("lang", "n", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    cuts = cuts.withColumn("share", _share("phrase")).join(spread, ["lang", "share"])
     exact = {c: f"cast({c} as decimal({18 if c == 'n' else 15}, 0))" for c in "alrn"}
     cuts = cuts.withColumn("score", F.expr(f"(1000BD * {exact['a']} * {exact['n']}) div ({exact['l']} * {exact['r']})"))
     least = F.min(F.struct("score", "cut", "l", "r")).alias("c")
@@ -328,9 +334,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """lang, rank, phrase, a, l, r, n, score: the first `top` phrases of every language."""
     chunks = stored(dictionary(docs, text_col, lang_col, spread), "chunks")
     found, total = frequent(chunks, least, bits)
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    # the limit is applied before the shuffle as well
-    ranked = scored(found, total).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    order = [F.col("score").desc(), F.col("a").desc(), "phrase"]
+
+    def first(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+
+    # the first of each share, then of these: no language has more than SHARES * top rows in one task
+    shared = scored(found, total).withColumn("share", _share("phrase"))
+    ranked = first(first(shared, ["lang", "share"]), ["lang"])
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
