@@ -183,3 +183,14 @@ def test_errors_lead_back_to_the_first(spark):
     asked = spark.createDataFrame([("hot", 300), ("one", 1), ("hot", 0)], "run_id string, iteration int")
     texts = {(r["run_id"], r["iteration"]): r["history"] for r in errors_before(df, asked, 1).collect()}
     assert texts["hot", 300] == [e[:1] for _, i, e in rows[:300] if e is not None] and texts["one", 1] == texts["hot", 0] == []
+
+
+def test_error_history_holds_every_earlier_error(spark):
+    """Each iteration sees all earlier errors of its run in order, also across chunks."""
+    rng = random.Random(5)
+    rows = [("hot", i, rng.choice([None, "a", "b" * 300, f"e{i}"])) for i in range(400)] + [("none", 1, None), ("one", 1, "x"), ("one", 2, None)]
+    df = spark.createDataFrame(rows, "run_id string, iteration int, error string")
+    got = {(r["run_id"], r["iteration"]): r["history"] for r in error_history(df).collect()}
+    assert got["none", 1] == got["one", 1] == [] and got["one", 2] == ["x"]
+    for i in range(400):
+        assert got["hot", i] == [e for _, _, e in rows[:i] if e is not None]

@@ -225,17 +225,21 @@ def last_artifact(turns: DataFrame, key: str = "run_id", turn: str = "iteration"
 
 
 def error_history(iters: DataFrame) -> DataFrame:
-    """What each iteration can see of earlier failures, as an index: their
-    number, the latest of them (``previous``, from which the rows lead back to the first), and where its own whole error first came up.
-    Rows keep their size however long a run is; ``errors_before`` spells out the texts of chosen iterations."""
+    """What each iteration can see of earlier failures: all their whole texts in order (``history``), their
+    number, the latest of them (``previous``), and where its own whole error first came up.
+    A long run is cut into chunks whose texts are listed apart; the result itself grows with the square of a run's
+    failures. ``errors_before`` spells out the texts of chosen iterations only."""
     failed = F.col("error").isNotNull()
     seen = running(
         iters.select("run_id", "iteration", "error"), ["run_id"], ["iteration"],
-        {"__n": ("sum", failed.cast("bigint")), "previous": ("before", F.when(failed, F.col("iteration")))},
+        {
+            "__n": ("sum", failed.cast("bigint")), "previous": ("before", F.when(failed, F.col("iteration"))),
+            "history": ("earlier", F.col("error")),
+        },
     ).withColumn("__error", F.md5("error"))
     first = iters.filter(failed).groupBy("run_id", F.md5("error").alias("__error")).agg(F.min("iteration").alias("first_seen"))
     return seen.join(first, ["run_id", "__error"], "left").select(
-        "run_id", "iteration", "error", (F.col("__n") - failed.cast("bigint")).alias("n_prior"), "previous", "first_seen",
+        "run_id", "iteration", "error", "history", (F.col("__n") - failed.cast("bigint")).alias("n_prior"), "previous", "first_seen",
         F.coalesce(F.col("first_seen") < F.col("iteration"), F.lit(False)).alias("recurs"),
     )
 

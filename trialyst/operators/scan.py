@@ -37,7 +37,7 @@ def running(
 
     ``measures`` maps an output name to (kind, expression); kind is ``sum``,
     ``max``, ``count``, ``last`` (latest non-null), ``before`` (latest non-null
-    of earlier rows) or ``prev`` (the value of the row before). Order columns must be total. Without ``keys`` all rows are
+    of earlier rows), ``earlier`` (array of all non-null values of earlier rows, in their order) or ``prev`` (the value of the row before). Order columns must be total. Without ``keys`` all rows are
     one group. By default the chunks are cut by ``ranged``, which writes the rows once; a ``chunk``
     expression that does not decrease along ``order`` inside a group saves that.
     """
@@ -66,6 +66,10 @@ def running(
         elif kind == "before":
             totals.append(F.max_by(m, F.when(m.isNotNull(), position)).alias(f"__t_{name}"))
             local = local.withColumn(f"__l_{name}", F.last(m, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, -1)))
+        elif kind == "earlier":
+            known = F.array_sort(F.collect_list(F.when(m.isNotNull(), F.struct(position.alias("at"), m.alias("v")))))
+            totals.append(F.transform(known, lambda x: x["v"]).alias(f"__t_{name}"))
+            local = local.withColumn(f"__l_{name}", F.collect_list(m).over(inner.rowsBetween(Window.unboundedPreceding, -1)))
         elif kind == "prev":
             step = Window.partitionBy(*keys, _RESERVED).orderBy(*order)
             totals.append(F.max_by(F.struct(m.alias("v")), position).alias(f"__t_{name}"))
@@ -85,9 +89,10 @@ def running(
             "max": F.max(t),
             "last": F.last(t, ignorenulls=True),
             "before": F.last(t, ignorenulls=True),
+            "earlier": F.collect_list(t),
             "prev": F.last(t),
-        }[kind]
-        offsets = offsets.withColumn(f"__o_{name}", fold.over(before))
+        }[kind].over(before)
+        offsets = offsets.withColumn(f"__o_{name}", F.flatten(fold) if kind == "earlier" else fold)
     offsets = offsets.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         F.col(_RESERVED).alias("__k_chunk"),
@@ -106,6 +111,8 @@ def running(
             value = F.greatest(here, prior)
         elif kind == "prev":
             value = F.coalesce(here, prior)["v"]
+        elif kind == "earlier":
+            value = F.concat(prior, here)
         else:
             value = F.coalesce(here, prior)
         out.append(value.alias(name))

@@ -257,13 +257,13 @@ def _(spark, sf):
 
 @query(
     "error_history",
-    f"""WITH {fx.ITERS} SELECT run_id, iteration, error, n_prior, previous, first_seen, coalesce(first_seen < iteration, false) AS recurs FROM (
-      SELECT run_id, iteration, error, count(error) OVER w AS n_prior, max(iteration) FILTER (WHERE error IS NOT NULL) OVER w AS previous,
+    f"""WITH {fx.ITERS} SELECT run_id, iteration, error, array_to_string(h, ',') AS history, n_prior, previous, first_seen, coalesce(first_seen < iteration, false) AS recurs FROM (
+      SELECT run_id, iteration, error, coalesce(list(error) FILTER (WHERE error IS NOT NULL) OVER w, []) AS h, count(error) OVER w AS n_prior, max(iteration) FILTER (WHERE error IS NOT NULL) OVER w AS previous,
       CASE WHEN error IS NOT NULL THEN min(iteration) OVER (PARTITION BY run_id, error) END AS first_seen FROM iters
       WINDOW w AS (PARTITION BY run_id ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
 )
 def _(spark, sf):
-    return R.error_history(fx.iters(spark, sf))
+    return R.error_history(fx.iters(spark, sf)).withColumn("history", F.array_join("history", ","))
 
 
 @query(
