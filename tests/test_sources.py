@@ -1,11 +1,13 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from trialyst.operators import normalize as N
 from trialyst.operators import raters as M
 from trialyst.operators.rank import dedupe_runs
 from trialyst.operators.summary import category_summary
+from trialyst.plans import catalog, files  # noqa: F401  (files needs the catalog's order)
 from trialyst.sources import readers as I
 from trialyst.sources import writers as O
 from trialyst.streaming import live
@@ -119,6 +121,17 @@ def test_collect_all_families(spark, tmp_path):
     assert len(got[("slide", "slide_1")]["steps"]) == 6 and "go()" in got[("code", "code_1")]["steps"][0]["output_text"]
 
 
+def test_lists_are_written_compressed_and_read_whole(spark, tmp_path):
+    """Lists of records repeat their field names; what goes to the disk is a small part of that."""
+    rec = F.struct(F.col("id").cast("string").alias("task_id"), (F.col("id") % 7).alias("ss_n_defects"), F.lit(True).alias("ss_passed"))
+    lists = spark.range(20000).groupBy((F.col("id") % 2).alias("c")).agg(F.to_json(F.collect_list(rec)).alias("value"))
+    path = files._one_file_each(lists.select("value"), str(tmp_path / "lists"))
+    back = I.read_runs(spark, [path])
+    assert (back.count(), back.agg(F.sum("ss_n_defects")).first()[0], back.select("file").distinct().count()) == (20000, 59997, 2)
+    written = sum(f.stat().st_size for f in (tmp_path / "lists").glob("part-*"))
+    assert written * 5 < lists.agg(F.sum(F.length("value"))).first()[0]
+
+
 def test_markdown_starts_with_its_header(spark, tmp_path):
     df = spark.createDataFrame([("b", 2), ("a", 1)], "k string, n int")
     O.write_summary(df, str(tmp_path / "md"), "markdown")

@@ -9,7 +9,7 @@ from trialyst.operators.summary import any_pass_rate, baseline_summary, metrics_
 from trialyst.plans import fixtures as fx
 from trialyst.plans.corpora import _NSTEPS, RESULTS, _results, _tasks
 from trialyst.plans.registry import ORACLES, query
-from trialyst.session import scratch_path
+from trialyst.session import scratch_path, stored
 from trialyst.sources import readers as I
 from trialyst.sources import writers as O
 from trialyst.streaming import live
@@ -23,8 +23,8 @@ def _chunk(key: str = "l_orderkey"):
 
 
 def _one_file_each(df, path: str, *by: str) -> str:
-    """Write each row's ``value`` as a file of its own."""
-    w = df.write.option("maxRecordsPerFile", 1)
+    """Write each row's ``value`` as a file of its own, compressed: field names make up most of a list of records."""
+    w = df.write.option("maxRecordsPerFile", 1).option("compression", "gzip")
     (w.partitionBy(*by) if by else w).text(path)
     return path
 
@@ -43,7 +43,7 @@ def _(spark, sf):
     files = li.groupBy(_chunk().alias("c"), "l_returnflag").agg(F.to_json(F.struct(F.collect_list(rec).alias("results"), F.struct(F.lit(1).alias("x")).alias("summary"))).alias("value"))
     path = scratch_path(spark, "bundles")
     _one_file_each(files.select("value"), path)
-    t = I.read_bundles(spark, path, "*.txt")
+    t = I.read_bundles(spark, path, "*.txt.gz")
     return t.groupBy("baseline").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("n_passed"), F.sum("total_tokens").alias("sum_tokens")
     )
@@ -58,7 +58,7 @@ def _(spark, sf):
     files = fx.pairs(spark, sf).groupBy(_chunk("task_id").alias("c")).agg(F.to_json(F.collect_list(rec)).alias("value"))
     path = scratch_path(spark, "runs")
     _one_file_each(files.select("value"), path)
-    r = I.read_runs(spark, [f"{path}/*.txt", f"{path}/absent.json"])
+    r = I.read_runs(spark, [f"{path}/*.txt.gz", f"{path}/absent.json"])
     return r.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("ss_n_defects").alias("ss"), F.sum("rv_n_defects").alias("rv"))
 
 
@@ -74,7 +74,7 @@ def _(spark, sf):
     value = F.when(k == 1, F.substring("v", F.lit(1), F.length("v") - 1)).when(k == 2, F.concat(F.lit('{"records": '), "v", F.lit("}"))).otherwise(F.col("v"))
     path = scratch_path(spark, "lists")
     _one_file_each(texts.select(value.alias("value")), path)
-    return I.read_rejects(spark, [f"{path}/*.txt"]).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return I.read_rejects(spark, [f"{path}/*.txt.gz"]).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -108,7 +108,7 @@ def _(spark, sf):
     files = g.select(F.when(k == 0, F.to_json("l")).when(k == 1, boxed).otherwise(first).alias("value"))
     path = scratch_path(spark, "tasks")
     _one_file_each(files, path)
-    t = I.read_tasks(spark, [f"{path}/*.txt"])
+    t = I.read_tasks(spark, [f"{path}/*.txt.gz"])
     return t.select(F.col("task_id").cast("bigint").alias("task_id"), "description", F.size("requirements").cast("bigint").alias("n_requirements"))
 
 
@@ -159,28 +159,33 @@ def _(spark, sf):
 )
 def _(spark, sf):
     base = scratch_path(spark, "families")
-    text = F.col("task_id").cast("string").alias("task_id")
 
-    def put(df, name):
-        rec = F.struct(text, *[c for c in df.columns if c != "task_id"])
-        files = df.groupBy(_chunk("task_id").alias("c")).agg(F.to_json(F.collect_list(rec)).alias("value"))
-        _one_file_each(files.select("value"), f"{base}/{name}")
+    def grouped(df):
+        """Records by file, grouped once; every file list derives from this in place."""
+        rec = F.struct(F.col("task_id").cast("string").alias("task_id"), *[c for c in df.columns if c != "task_id"])
+        return stored(df.groupBy(_chunk("task_id").alias("c")).agg(F.collect_list(rec).alias("records")), "records")
 
-    tasks = _tasks(spark, sf).select("task_id", "description", "test_code", "common_bugs", "requirements", "expected_issues")
+    def put(groups, name, columns, rest=None):
+        """The given columns of all records, or of those with task_id % 2 == rest."""
+        kept = F.col("records") if rest is None else F.filter("records", lambda r: r["task_id"].cast("bigint") % 2 == rest)
+        listed = F.transform(kept, lambda r: F.struct(*[r[c].alias(c) for c in ["task_id", *columns]]))
+        _one_file_each(groups.filter(F.size(kept) > 0).select(F.to_json(listed).alias("value")), f"{base}/{name}")
+
+    about = ["description", "test_code", "common_bugs", "requirements", "expected_issues"]
+    tasks = grouped(_tasks(spark, sf).select("task_id", *about))
     for file, _, _ in I.FAMILIES.values():
-        put(tasks, f"tasks/{file}")
-    r = _results(spark, sf)
-    code = r.select("task_id", "ss_passed", "rv_passed", "rv_iters")
-    put(code.filter(F.col("task_id") % 2 == 0), "results/code_swe_results.json")
-    put(code.filter(F.col("task_id") % 2 == 1), "results/code_onpolicy_run1.json")
-    scored, odd = r.select("task_id", "ss_quality", "rv_quality", "rv_iters"), F.col("task_id") % 2 == 1
-    put(scored, "results/slides_results.json")
-    put(scored.filter(~odd), "results/webpage_results_partial.json")  # the last fallback, and a further run
-    put(scored.filter(odd), "results/webpages_results_run2.json")
-    put(scored.filter(~odd), "results/animation_results.json")
-    put(scored.filter(odd), "results/animations_onpolicy_run1.json")
-    put(scored, "results/video_results.json")
-    put(scored, "results/research_results.json")
+        put(tasks, f"tasks/{file}", about)
+    flags, scores = ["ss_passed", "rv_passed", "rv_iters"], ["ss_quality", "rv_quality", "rv_iters"]
+    r = grouped(_results(spark, sf).select("task_id", *dict.fromkeys(flags + scores)))
+    put(r, "results/code_swe_results.json", flags, 0)
+    put(r, "results/code_onpolicy_run1.json", flags, 1)
+    put(r, "results/slides_results.json", scores)
+    put(r, "results/webpage_results_partial.json", scores, 0)  # the last fallback, and a further run
+    put(r, "results/webpages_results_run2.json", scores, 1)
+    put(r, "results/animation_results.json", scores, 0)
+    put(r, "results/animations_onpolicy_run1.json", scores, 1)
+    put(r, "results/video_results.json", scores)
+    put(r, "results/research_results.json", scores)
     t = I.collect_all(spark, f"{base}/results", f"{base}/tasks")
     return t.groupBy("task_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.size("steps")).alias("n_steps"), F.count_if("success").alias("n_success")

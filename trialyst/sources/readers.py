@@ -197,7 +197,8 @@ def collect_all(spark: SparkSession, results_dir: str, tasks_dir: str) -> DataFr
             continue
         globs = [f"{prefix}_results_run*.json", f"{prefix}_onpolicy_run*.json"]
         results = normalize_pairs(read_with_fallback(spark, results_dir, names, globs))
-        tasks = read_tasks(spark, [tasks_path])
+        # compressed files look small to Spark, which would broadcast large tables
+        tasks = read_tasks(spark, [tasks_path]).hint("merge")
         if family == "code":
             # without pass flags a quality of exactly 1 counts as passed
             results = results.withColumn("ss_passed", F.coalesce("ss_passed", F.col("ss_quality") == 1.0)).withColumn(
