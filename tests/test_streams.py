@@ -125,3 +125,23 @@ def test_first_wins_store_stays_small(spark, tmp_path):
     current = live._current(spark.read.parquet(str(tmp_path / "store"))).select(live.BUCKET, live.BATCH).distinct().count()
     assert current <= 2 * (3 + 1)
     assert len(list((tmp_path / "store").glob("*/*"))) < 2 * 10  # of 24 additions and their copies
+
+
+def test_keys_share_the_state_of_a_group(spark, tmp_path, monkeypatch):
+    """Many keys with a few records each meet in a few pages, and each key still has its own first and its own total."""
+    monkeypatch.setattr(live, "GROUPS", 4)
+    _write(tmp_path / "in", "a.json", [{"k": f"k{i % 300}", "id": i, "ts": _ts(BASE + i // 300 * 40)} for i in range(900)])
+    _write(tmp_path / "in", "b.json", [{"k": "end", "id": -1, "ts": _ts(FAR)}])
+    s = live.stream_trials(spark, str(tmp_path / "in"), "k string, id bigint, ts timestamp", per_trigger=1)
+    q = live.stream_dedupe(s, ["k"], "ts", "1 minute", ["id"]).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "mark"))
+    q = q.trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]) < 100
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("id", "status").collect()))
+    assert got == [(i, "duplicate" if 300 <= i < 600 else "first") for i in range(900)]
+    calls = [{"run_id": i % 50, "seq": i, "ts": _ts(BASE + i), "tokens": 1} for i in range(200)]
+    _write(tmp_path / "calls", "a.json", calls)
+    _write(tmp_path / "calls", "b.json", [{"run_id": 50, "seq": 999, "ts": _ts(FAR), "tokens": 0}])
+    budgets = spark.range(51).selectExpr("id AS run_id", "50L AS budget")
+    c = live.stream_trials(spark, str(tmp_path / "calls"), CALL)
+    assert {tuple(r) for r in _run(live.stream_ledger(c, budgets), tmp_path / "told", tmp_path / "mark2").collect()} == _want(calls)

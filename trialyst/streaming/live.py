@@ -37,27 +37,30 @@ def stream_scoreboard(trials: DataFrame, by: list[str]) -> DataFrame:
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of a page of waiting rows, and the size below which pages are put together.
 PAGE_ROWS, SMALL_PAGE = 1000, 100
+#: Keys share the state of so many groups: each access to it costs as much as many rows.
+GROUP, GROUPS = "__group", 65536
 
 
 class InOrder(StatefulProcessor):
-    """Rows of a key in the order of their event time, whatever order they
+    """Rows of a group of keys in the order of their event time, whatever order they
     arrive in.
 
     Rows wait in the state, in sorted pages of at most PAGE_ROWS, until the
-    watermark has passed them; a timer at the first row of each page wakes the key. Settling loads a page
+    watermark has passed them; a timer at the first row of each page wakes the group. Settling loads a page
     when its first row is next, so a task holds the pages that overlap in time and never a whole
     run. A row behind the watermark is late: it is handed to `late` at once."""
 
-    def __init__(self, row: StructType, at: str, order: list[str]):
-        self.row, self.at, self.order = row, row.fieldNames().index(at), [row.fieldNames().index(c) for c in order]
+    def __init__(self, row: StructType, keys: list[str], at: str, order: list[str]):
+        place = row.fieldNames().index
+        self.row, self.keys, self.at, self.order = row, [place(c) for c in keys], place(at), [place(c) for c in order]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "first bigint, n bigint, k bigint", StructType([StructField("rows", ArrayType(self.row))]))
 
     def place(self, row: tuple) -> tuple:
-        """Sorts rows: their time in milliseconds, then the order columns, nulls first."""
-        return round(row[self.at].timestamp() * 1000), [(row[i] is not None, row[i]) for i in self.order]
+        """Sorts rows: their time in whole milliseconds, then the order columns, nulls first."""
+        return row[self.at] // 1000, [(row[i] is not None, row[i]) for i in self.order]
 
     def _take(self, page: tuple) -> list[tuple]:
         rows = [tuple(r) for r in self.waiting.getValue(page)[0]]
@@ -80,10 +83,11 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         mark, held = timerValues.getCurrentWatermarkInMs(), []
         for row in rows:
+            row = tuple(row)[: len(self.row)]  # without the group
             if self.place(row)[0] <= mark:
-                yield from self.late(tuple(row))
+                yield from self.late(row)
                 continue
-            held.append(tuple(row))
+            held.append(row)
             if len(held) == PAGE_ROWS:
                 self._wait(held)
                 held = []
@@ -127,46 +131,57 @@ class _Ledger(InOrder):
 
     def init(self, handle):
         super().init(handle)
-        self.used = handle.getValueState("used", "consumed bigint")
+        self.used = handle.getMapState("used", StructType([self.row[i] for i in self.keys]), "consumed bigint")
 
     def settle(self, rows, late=False):
-        used = before = self.used.get()[0] if self.used.exists() else 0
+        before, now = {}, {}
         for _, (run, seq, _, tokens, budget) in rows:
-            used += tokens or 0
+            if run not in now:
+                known = self.used.getValue((run,))
+                before[run] = now[run] = known[0] if known else 0
+            now[run] = used = now[run] + (tokens or 0)
             yield Row(run_id=run, seq=seq, tokens=tokens, consumed=used, budget=budget, exhausted=used >= budget, overshoot=used > budget, late=late)
-        if used != before:
-            self.used.update((used,))
+        for run, used in now.items():
+            if used != before[run]:
+                self.used.updateValue((run,), (used,))
 
     def late(self, row):
         return self.settle([(0, row)], True)
 
 
 class _First(InOrder):
-    """The state of a key is when its first record was, until the delay is over."""
+    """The state of a key is when its first record was, until the delay is over. The keys of a group share one value."""
 
-    def __init__(self, row, at, order, delay_ms: int):
-        super().__init__(row, at, order)
+    def __init__(self, row, keys, at, order, delay_ms: int):
+        super().__init__(row, keys, at, order)
         self.delay = delay_ms
 
     def init(self, handle):
         super().init(handle)
-        self.first = handle.getValueState("first", "at bigint")
+        entry = StructType([StructField("key", StructType([self.row[i] for i in self.keys])), StructField("at", LongType())])
+        self.firsts = handle.getValueState("firsts", StructType([StructField("keys", ArrayType(entry))]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
-        # all rows up to here are settled, and the next is a first one
-        if self.first.exists() and self.first.get()[0] + self.delay <= timerValues.getCurrentWatermarkInMs():
-            self.first.clear()
-
-    def settle(self, rows):
-        first = before = self.first.get()[0] if self.first.exists() else None
+        mark = timerValues.getCurrentWatermarkInMs()
+        known = self.firsts.get()
+        firsts = {tuple(k): at for k, at in known[0]} if known else {}
+        before = dict(firsts)
+        yield from self.settle(self._due(mark), firsts)
+        # all rows up to here are settled, and the next of a key whose delay is over is a first one
+        firsts = {k: at for k, at in firsts.items() if at + self.delay > mark}
+        if firsts and firsts != before:
+            self.firsts.update(([(k, at) for k, at in firsts.items()],))
+            self.handle.registerTimer(min(firsts.values()) + self.delay)
+        elif known and not firsts:
+            self.firsts.clear()
+
+    def settle(self, rows, firsts):
         for at, row in rows:
-            known = first is not None and at < first + self.delay
-            first = first if known else at
+            key = tuple(row[i] for i in self.keys)
+            known = key in firsts and at < firsts[key] + self.delay
+            if not known:
+                firsts[key] = at
             yield self._told(row, "duplicate" if known else "first")
-        if first != before:
-            self.first.update((first,))
-            self.handle.registerTimer(first + self.delay)
 
     def late(self, row):
         yield self._told(row, "late")
@@ -177,14 +192,15 @@ class _First(InOrder):
 
 def _in_order(stream: DataFrame, keys: list[str], processor: InOrder, out: StructType) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # timers need it
-    return stream.groupBy(*keys).transformWithState(processor, out, "append", "eventTime")
+    group = F.pmod(F.xxhash64(*keys), F.lit(GROUPS)).cast("int")
+    return stream.withColumn(GROUP, group).groupBy(GROUP).transformWithState(processor, out, "append", "eventTime")
 
 
 def _seen(stream: DataFrame, event_time: str, delay: str) -> DataFrame:
-    """The watermark over the event time, whose column becomes a plain one: Spark itself would
-    drop late rows before they can be told."""
+    """The watermark over the event time, whose column becomes a plain one of microseconds: Spark itself would
+    drop late rows before they can be told, and Python takes numbers faster than timestamps."""
     marked = stream.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay)
-    return marked.withColumn(event_time, F.timestamp_micros(F.unix_micros(event_time)))
+    return marked.withColumn(event_time, F.unix_micros(event_time))
 
 
 def stream_ledger(calls: DataFrame, budgets: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -198,7 +214,7 @@ def stream_ledger(calls: DataFrame, budgets: DataFrame, delay: str = "1 hour") -
         [kind["run_id"], kind["seq"], kind["tokens"], StructField("consumed", LongType()), kind["budget"]]
         + [StructField(c, BooleanType()) for c in ("exhausted", "overshoot", "late")]
     )
-    return _in_order(known, ["run_id"], _Ledger(kind, "ts", ["seq"]), out)
+    return _in_order(known, ["run_id"], _Ledger(kind, ["run_id"], "ts", ["seq"]), out)
 
 
 def stream_dedupe(stream: DataFrame, keys: list[str], event_time: str | None = None, delay: str = "1 hour", order: list[str] | None = None) -> DataFrame:
@@ -213,7 +229,8 @@ def stream_dedupe(stream: DataFrame, keys: list[str], event_time: str | None = N
     rows = _seen(stream, event_time, delay)
     ms = int(stream.sparkSession.sql(f"SELECT unix_millis(timestamp '1970-01-02' + interval {delay}) - unix_millis(timestamp '1970-01-02')").collect()[0][0])
     out = StructType([*rows.schema.fields, StructField("status", StringType())])
-    return _in_order(rows, keys, _First(rows.schema, event_time, order or keys, ms), out)
+    told = _in_order(rows, keys, _First(rows.schema, keys, event_time, order or keys, ms), out)
+    return told.withColumn(event_time, F.timestamp_micros(event_time))
 
 
 BUCKET, BATCH, WHOLE = "__bucket", "__batch", "__whole"
