@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trialyst.functions import stats
 from trialyst.operators.inference import kappa
+from trialyst.operators.summary import verification_gap
 
 
 def _value(spark, col):
@@ -107,3 +108,13 @@ def test_binomial_cost_does_not_follow_n(spark):
     k = round(0.3 * n + 2 * (0.21 * n) ** 0.5)  # two standard deviations off
     p = spark.createDataFrame([(k, n)], "k bigint, n bigint").select(stats.binom_test("k", "n", 0.3).alias("p")).collect()[0]["p"]
     assert abs(p - math.erfc(2 / 2**0.5)) < 1e-4
+
+
+def test_candidates_are_sorted_once_for_the_choice(spark):
+    """Best score, lowest index on ties; what made the candidates stands in another stage than the only sort."""
+    rows = [("s", 1, 1, False, 5), ("s", 1, 2, True, 5), ("s", 2, 1, False, 3), ("s", 2, 2, True, 4), ("s", 3, 1, False, None)]
+    made = spark.createDataFrame(rows, "selector string, task_id bigint, idx bigint, passed boolean, score bigint")
+    gap = verification_gap(made)
+    r = gap.first()
+    assert (r["n_tasks"], r["pass_any"], r["choose_rate"]) == (3, 2 / 3, 1 / 3)
+    assert gap._jdf.queryExecution().executedPlan().toString().split("AdaptiveSparkPlan")[1].count("Sort [") == 1

@@ -480,8 +480,9 @@ def allocation_spread(cells: DataFrame) -> DataFrame:
 def verification_gap(candidates: DataFrame, by: str = "selector") -> DataFrame:
     """Any-correct rate minus the rate of each selector's choice (best score,
     lowest index on ties). One row per selector; ``candidates`` has a row per
-    (selector, task, index)."""
-    per = candidates.groupBy(by, "task_id").agg(
+    (selector, task, index). The rows are dealt by task before they are sorted for the choice, so the sort
+    does not share a task's memory with whatever made the candidates, and they are sorted once."""
+    per = candidates.repartition(by, "task_id").groupBy(by, "task_id").agg(
         F.max(F.coalesce("passed", F.lit(False))).alias("any_ok"),
         F.max_by("passed", F.struct(F.col("score"), -F.col("idx"))).alias("chosen_ok"),
     )
